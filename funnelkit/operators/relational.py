@@ -69,8 +69,9 @@ def calendar_join(df: DataFrame, calendar: DataFrame, on: Column, prefix: str =
     The calendar is a generated day table over a fixed range (thousands of rows),
     so broadcasting it is safe at any data size.
     """
-    cal = F.broadcast(calendar.select("date_key", *[F.col(c).alias(prefix + c) for c in columns]))
-    return df.join(cal, on == cal["date_key"], "left").drop(cal["date_key"])
+    key = f"_{prefix}date_key"
+    cal = F.broadcast(calendar.select(F.col("date_key").alias(key), *[F.col(c).alias(prefix + c) for c in columns]))
+    return df.join(cal, on == F.col(key), "left").drop(key)
 
 
 def union_all(*branches: DataFrame) -> DataFrame:

@@ -37,14 +37,16 @@ def discovery_call_rows(crm, window: DateWindow, activity_window: DateWindow | N
     a = crm.account.select(F.col("id").alias("a_id"), F.col("segment").alias("disco_account_segment"),
                            F.col("vertical").alias("disco_account_vertical"),
                            F.col("amount").alias("disco_account_tas"))
-    own = owners(crm)
+    own = owners(crm).select("owner_id", F.col("owner_current_role").alias("call_owner_role"),
+                             F.col("owner_previous_role").alias("call_owner_previous_role"),
+                             F.col("owner_previous_role_end_date").alias("call_owner_previous_role_end_date"))
     c = crm.contact.select(F.col("id").alias("c_id"))
     ac = first_activity_per_contact(qualified_activities(crm, activity_window))
 
     calls = (t.join(a, t["accountid"] == a["a_id"], "inner")
               .join(own, t["ownerid"] == own["owner_id"], "left")
-              .where(X.call_owner_qualifies(F.col("owner_current_role"), F.col("owner_previous_role"),
-                                            F.col("owner_previous_role_end_date"), F.col("createddate")))
+              .where(X.call_owner_qualifies(F.col("call_owner_role"), F.col("call_owner_previous_role"),
+                                            F.col("call_owner_previous_role_end_date"), F.col("createddate")))
               .join(c, t["whoid"] == c["c_id"], "left")
               .join(ac, F.col("c_id") == ac["activity_contact_id"], "left")
               .select("a_id", "disco_account_segment", "disco_account_vertical", "disco_account_tas",

@@ -104,8 +104,9 @@ class FunnelInputs:
         self.leads = self._lead_base(crm, window)
         v = sales_opps(crm).select(F.col("opportunity_id").alias("v_opp"))
         oc = crm.opportunity_contact_role
-        # contact-role path: (contact, sales opportunity) pairs
-        self.voc = oc.join(v, oc["opportunityid"] == v["v_opp"], "inner").select(
+        # contact-role path: (contact, sales opportunity) pairs; a role on a non-sales
+        # opportunity leaves v_opp NULL (the lead row exists, unmatched)
+        self.voc = oc.join(v, oc["opportunityid"] == v["v_opp"], "left").select(
             F.col("contactid").alias("voc_contact"), "v_opp")
         # account path: sales opportunities under the GMV cap, by account
         self.vao = (sales_opps(crm).where(F.col("est_gmv") < ACCOUNT_PATH_MAX_GMV)
@@ -137,7 +138,8 @@ class FunnelInputs:
         """Per opportunity: its own segment code and the segment sets of each side."""
         sd = _bits("sd", self.calls, "disco_created_opp_id", seg_code(F.col("disco_account_segment")))
         cl = _bits("cl", self.leads, "lead_cc", F.col("lc"))
-        sl = (self.voc.join(cl, self.voc["voc_contact"] == cl["cl_key"], "inner")
+        sl = (self.voc.where(F.col("v_opp").isNotNull())
+              .join(cl, self.voc["voc_contact"] == cl["cl_key"], "inner")
               .groupBy(F.col("v_opp").alias("sl_key")).agg(F.bit_or("cl").alias("sl")))
         call_ = _bits("call", self.leads, "lead_account", F.col("lc"))
         sa = _bits("sa", self.activities, "activity_account_id", seg_code(F.col("activity_account_segment")))

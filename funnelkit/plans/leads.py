@@ -77,7 +77,8 @@ def lead_rows(crm, window: DateWindow | None, disco: DataFrame, with_dates: bool
     own = owners(crm).select("owner_id", F.col("owner_current_role").alias("lead_owner_role"))
     oc = crm.opportunity_contact_role
     v = _sales_opps(crm).select(F.col("opportunity_id").alias("v_opportunity_id"))
-    v_oc = oc.join(v, oc["opportunityid"] == v["v_opportunity_id"], "inner").select(
+    # a contact role on a non-sales opportunity still yields a lead row (with no opportunity)
+    v_oc = oc.join(v, oc["opportunityid"] == v["v_opportunity_id"], "left").select(
         F.col("contactid").alias("oc_contactid"), "v_opportunity_id")
     vao = (_sales_opps(crm).where(F.col("est_gmv") < ACCOUNT_PATH_MAX_GMV)
            .select(F.col("account_id").alias("vao_account_id"),

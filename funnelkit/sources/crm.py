@@ -182,9 +182,9 @@ VIEWS: dict[str, View] = {
         ("email", "CASE WHEN p.p_partkey % 7 = 5 THEN NULL ELSE 'lead' || cast(p.p_partkey as string) || '@' || "
                   + _case("p.p_partkey % 7", EMAILS) + " END"),
         ("createddate",
-         "cast(DATE '1995-01-01' + cast(p.p_partkey % 2400 as int) as {TS}) + INTERVAL '1' SECOND * cast((p.p_partkey * 7919) % 86400 as int)"),
+         "cast(DATE '1995-01-01' + cast((p.p_partkey * 37) % 2400 as int) as {TS}) + INTERVAL '1' SECOND * cast((p.p_partkey * 7919) % 86400 as int)"),
         ("marketing_qualified_date",
-         "CASE WHEN p.p_partkey % 3 <> 0 THEN DATE '1995-01-01' + cast(p.p_partkey % 2400 + 10 as int) END"),
+         "CASE WHEN p.p_partkey % 3 <> 0 THEN DATE '1995-01-01' + cast((p.p_partkey * 37) % 2400 + 10 as int) END"),
         ("annual_sales_band", _case("p.p_size % 11", SALES_BANDS)),
         ("eligibility_status", "CASE WHEN p.p_partkey % 7 <> 0 THEN 'Eligible' ELSE 'Ineligible' END"),
         ("passed_mql", "p.p_partkey % 3 <> 0"),

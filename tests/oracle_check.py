@@ -28,10 +28,11 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _norm(v):
     if v is None or v is pd.NaT or v is pd.NA:
         return "∅"
-    if isinstance(v, float):
-        if math.isnan(v):
+    if isinstance(v, (float, int)) and not isinstance(v, bool):
+        f = float(v)
+        if math.isnan(f):
             return "∅"
-        return f"{v:.6g}"
+        return str(int(f)) if f.is_integer() else f"{f:.6g}"
     if isinstance(v, pd.Timestamp):
         return v.isoformat()
     if hasattr(v, "isoformat"):

@@ -26,6 +26,19 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], rn: str =
     return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).drop(rn)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage (reliable checkpoint).
+
+    Used for intermediates that several branches of one report read.  The files
+    go to the cluster's shared ``spark.checkpoint.dir``; a lost executor is
+    recovered from them instead of recomputing the whole upstream plan.
+    """
+    from funnelkit.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def month_index(ts: Column) -> Column:
     return F.year(ts) * 12 + F.month(ts)
 

@@ -30,7 +30,8 @@ def first_activity_per_contact(activities: DataFrame) -> DataFrame:
 
 
 def discovery_call_rows(crm, window: DateWindow, activity_window: DateWindow | None = None,
-                        with_fiscal: bool = False) -> DataFrame:
+                        with_fiscal: bool = False, activities: DataFrame | None = None) -> DataFrame:
+    """B5; ``activities`` may pass in already computed qualified activities."""
     activity_window = activity_window or window
     t = crm.event.where(X.ilike_any(F.col("subject"), X.DISCOVERY_SUBJECTS)
                         & ts_window(window, F.col("createddate")))
@@ -41,7 +42,9 @@ def discovery_call_rows(crm, window: DateWindow, activity_window: DateWindow | N
                              F.col("owner_previous_role").alias("call_owner_previous_role"),
                              F.col("owner_previous_role_end_date").alias("call_owner_previous_role_end_date"))
     c = crm.contact.select(F.col("id").alias("c_id"))
-    ac = first_activity_per_contact(qualified_activities(crm, activity_window))
+    if activities is None:
+        activities = qualified_activities(crm, activity_window)
+    ac = first_activity_per_contact(activities)
 
     calls = (t.join(a, t["accountid"] == a["a_id"], "inner")
               .join(own, t["ownerid"] == own["owner_id"], "left")

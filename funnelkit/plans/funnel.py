@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.functions import exprs as X
+from funnelkit.operators.relational import materialize
 from funnelkit.plans.activities import DateWindow, owners, qualified_activities
 from funnelkit.plans.calls import discovery_call_rows
 from funnelkit.plans.leads import (ACCOUNT_PATH_MAX_GMV, discovery_ids, filtered_leads)
@@ -98,10 +99,12 @@ class FunnelInputs:
     def __init__(self, crm, window: DateWindow):
         self.crm = crm
         self.window = window
+        self._summary = None
         self.opps = opportunity_stage_rows(crm, window, extra=("est_gmv",))
-        self.calls = discovery_call_rows(crm, window)
-        self.activities = qualified_activities(crm, window)
-        self.leads = self._lead_base(crm, window)
+        # each side is read by several branches: compute it once
+        self.activities = materialize(qualified_activities(crm, window))
+        self.calls = materialize(discovery_call_rows(crm, window, activities=self.activities))
+        self.leads = materialize(self._lead_base(crm, window))
         v = sales_opps(crm).select(F.col("opportunity_id").alias("v_opp"))
         oc = crm.opportunity_contact_role
         # contact-role path: (contact, sales opportunity) pairs; a role on a non-sales
@@ -136,6 +139,11 @@ class FunnelInputs:
 
     def opp_summary(self) -> DataFrame:
         """Per opportunity: its own segment code and the segment sets of each side."""
+        if self._summary is None:
+            self._summary = materialize(self._opp_summary())
+        return self._summary
+
+    def _opp_summary(self) -> DataFrame:
         sd = _bits("sd", self.calls, "disco_created_opp_id", seg_code(F.col("disco_account_segment")))
         cl = _bits("cl", self.leads, "lead_cc", F.col("lc"))
         sl = (self.voc.where(F.col("v_opp").isNotNull())

@@ -112,5 +112,6 @@ def distinct_count_long(df: DataFrame, group: str, metrics: dict[str, Column]) -
     counts = (long.where(F.col("value").isNotNull()).distinct()
               .groupBy(group, "metric").count()
               .groupBy(group).pivot("metric", names).agg(F.first("count")))
-    out = present.join(counts, group, "left")
+    counts = counts.withColumnRenamed(group, "_g")
+    out = present.join(counts, present[group].eqNullSafe(counts["_g"]), "left")
     return out.select(group, *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in names])

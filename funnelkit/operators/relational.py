@@ -48,31 +48,28 @@ def interval_join(left: DataFrame, right: DataFrame, *, left_key: str, right_key
                   how: str = "left") -> DataFrame:
     """Rows of ``right`` with the same key and ``left_ts < right_ts < left_ts + months``.
 
-    The right side is tagged with the month of ``right_ts``; each left row is
-    replicated into the ``months + 1`` month buckets its window can touch, and the
-    join runs on (key, bucket) with the exact range as a residual predicate.  A
-    right row sits in exactly one bucket, so each matching pair is produced once.
-    Replication is a fixed factor, and a key that holds a third of all rows is
-    spread over its months instead of one task.  With ``how="left"`` left rows
-    without any match are kept once with NULL right columns (``left_id`` must be
-    unique per left row).
+    The right side is tagged with the month of ``right_ts``; each left row's
+    (id, key, time) is replicated into the ``months + 1`` month buckets its window
+    can touch, and the join runs on (key, bucket) with the exact range as a
+    residual predicate.  A right row sits in exactly one bucket, so each matching
+    pair is produced once.  Replication is a fixed factor, and a key holding a
+    third of all rows is spread over its months instead of landing in one task.
+    The narrow pairs are then joined back to the full left rows on ``left_id``
+    (unique per left row): ``how="left"`` keeps unmatched left rows once with
+    NULL right columns, ``how="inner"`` drops them.
     """
     bucket = "_month_bucket"
-    lo = month_index(F.col(left_ts))
-    hi = month_index(F.col(left_ts) + F.make_ym_interval(F.lit(0), F.lit(months)))
-    l_exp = left.withColumn(bucket, F.explode(F.sequence(lo, hi)))
+    lid, lk, lt = "_l_id", "_l_key", "_l_ts"
+    upper = F.col(lt) + F.make_ym_interval(F.lit(0), F.lit(months))
+    l_exp = (left.select(F.col(left_id).alias(lid), F.col(left_key).alias(lk), F.col(left_ts).alias(lt))
+             .where(F.col(lk).isNotNull())
+             .withColumn(bucket, F.explode(F.sequence(month_index(F.col(lt)), month_index(upper)))))
     r_tag = right.withColumn(bucket, month_index(F.col(right_ts)))
-    upper = F.col(left_ts) + F.make_ym_interval(F.lit(0), F.lit(months))
-    cond = ((l_exp[left_key] == r_tag[right_key]) & (l_exp[bucket] == r_tag[bucket])
-            & (r_tag[right_ts] > l_exp[left_ts]) & (r_tag[right_ts] < upper))
-    pairs = l_exp.join(r_tag, cond, "inner").drop(l_exp[bucket]).drop(r_tag[bucket])
-    if how == "inner":
-        return pairs
-    unmatched = left.join(pairs.select(F.col(left_id)), left_id, "left_anti")
-    for f in right.schema.fields:
-        if f.name not in unmatched.columns:
-            unmatched = unmatched.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return pairs.unionByName(unmatched.select(*pairs.columns))
+    cond = ((l_exp[lk] == r_tag[right_key]) & (l_exp[bucket] == r_tag[bucket])
+            & (r_tag[right_ts] > l_exp[lt]) & (r_tag[right_ts] < upper))
+    pairs = l_exp.join(r_tag, cond, "inner").select(lid, *right.columns)
+    out = left.join(pairs, left[left_id] == pairs[lid], "left" if how == "left" else "inner")
+    return out.drop(lid)
 
 
 def calendar_join(df: DataFrame, calendar: DataFrame, on: Column, prefix: str = "",

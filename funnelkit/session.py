@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 
 def get_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "funnelkit") -> SparkSession:
+    """Local session: AQE on (coalescing, skew-join splitting), UI off, UTC."""
     spark = (SparkSession.builder.master(f"local[{cores}]").appName(app)
              .config("spark.ui.enabled", "false")
              .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -23,10 +24,23 @@ def get_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "funne
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only set a local one when none is configured (tests)."""
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """Make sure reliable checkpoints have a directory.
+
+    Uses the directory already set on the context, else the cluster's
+    ``spark.checkpoint.dir``.  Only a local-mode session (tests, benchmark) with
+    neither gets a fresh folder under /tmp; on a cluster a missing setting is an
+    error rather than a silent machine-local path.
+    """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
     if current:
         return current
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        sc.setCheckpointDir(configured)
+        return configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="funnelkit-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path

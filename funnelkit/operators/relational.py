@@ -35,7 +35,10 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     from funnelkit.session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(df.sparkSession)
+    try:
+        ensure_checkpoint_dir(df.sparkSession)
+    except AttributeError:
+        pass  # no SparkContext in this session type: the server's spark.checkpoint.dir applies
     return df.checkpoint(eager=True)
 
 

@@ -330,3 +330,53 @@ def won_with_lead(crm, window: DateWindow) -> DataFrame:
     return pairs.where(ok).select(
         "won_opps_id", "eligible_lead_ids", X.segment_by_tas(tas).alias("segment_based_tas"),
         "opp_account_tas", "close_date").distinct()
+
+
+def full_funnel_literal(crm, window: DateWindow) -> DataFrame:
+    """Q6 as the reference writes it: the full outer chain, then 21 COUNT(DISTINCT).
+
+    Kept for equality tests and for measuring the fan-out the factored plan
+    avoids; it is quadratic in activities per account, so ``full_funnel`` is the
+    one to run at scale.
+    """
+    from funnelkit.plans.leads import lead_rows
+
+    acts = qualified_activities(crm, window)
+    opps = opportunity_stage_rows(crm, window)
+    a = crm.account.select(F.col("id").alias("_a_id"))
+    c = crm.contact.select(F.col("id").alias("_c_id"), F.col("accountid").alias("_c_acct"))
+    ac = acts.select(F.col("whoid").alias("_ac_who"), F.col("activity_id").alias("_ac_id"))
+    o = (opps.join(a, opps["opp_account_id"] == a["_a_id"], "left")
+         .join(c, F.col("_a_id") == c["_c_acct"], "left")
+         .join(ac, F.col("_c_id") == ac["_ac_who"], "left")
+         .select(*opps.columns, X.id_when(F.col("_ac_id").isNotNull(), F.col("created_opps")).alias("activity_created_opps")))
+    d = discovery_call_rows(crm, window, activities=acts)
+    leads = lead_rows(crm, window, discovery_ids(crm, window))
+    l = leads.select(*[F.col(x).alias(f"l_{x}") for x in leads.columns])
+    lao = leads.select(*[F.col(x).alias(f"lao_{x}") for x in leads.columns])
+    av = acts.select(*[F.col(x).alias(f"a_{x}") for x in ("activity_id", "activity_account_id",
+                                                        "activity_contact_id", "activity_account_segment")])
+    j = (o.join(d, o["created_opps"] == d["disco_created_opp_id"], "full")
+          .join(l, F.col("created_opps") == l["l_opportunity_id_lead_opp"], "full")
+          .join(lao, F.col("created_opps") == lao["lao_opportunity_id_lead_account"], "full")
+          .join(av, F.col("opp_account_id") == av["a_activity_account_id"], "full"))
+    raw = F.coalesce("opp_account_segment", "disco_account_segment", "l_lead_account_segment1",
+                     "lao_lead_account_segment1", "a_activity_account_segment")
+    j = j.where(raw.isin(X.FUNNEL_SEGMENTS)).withColumn("account_based_segment", X.relabel(raw, "Self-Service", "SMB"))
+    source = {
+        "all_activities": "a_activity_id", "all_accounts_reached": "a_activity_account_id",
+        "all_contacts_reached": "a_activity_contact_id", "all_account_with_disco": "activity_disco_account_ids",
+        "all_contacts_with_disco": "activity_disco_contact_ids", "all_eligible_leads": "l_eligible_lead_ids",
+        "all_mql_leads": "l_mql_lead_id", "all_sal_leads": "l_sal_lead_id", "all_sql_leads": "l_sql_lead_id",
+        "all_leads_to_disco_call": "l_discovery_ids_lead",
+        "all_leads_to_opps_artificially_low": "l_total_converted_opp_opp_id",
+        "all_leads_to_opps_artificially_high": "lao_total_converted_acc_opp_id",
+        "all_discos": "discovery_ids", "all_disco_to_opps": "disco_created_opp_id",
+        "all_created_opps": "created_opps", "all_bda_support_op": "bda_supported_opp",
+        "all_open_opps": "open_opps_id", "all_won_opps": "won_opps_id", "all_lost_opps": "lost_opps_id",
+        "all_launched_opps": "launched_opp_ids", "all_captured_opps": "captured_opp_ids",
+    }
+    agg = j.groupBy("account_based_segment").agg(
+        *[F.count_distinct(col).alias(m) for m, col in source.items()])
+    return agg.select("account_based_segment", *FUNNEL_METRICS).withColumn(
+        "outbound_discos", F.col("all_discos") - F.col("all_leads_to_disco_call"))

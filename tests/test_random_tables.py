@@ -124,3 +124,12 @@ def test_funnel_and_calls_on_random_tables(spark, random_dir, p):
     for name in ["q5_discovery_calls", "q6_full_funnel", "q7_lead_validation", "q8_inbound_leads",
                  "q9_won_with_lead", "q10_opps_created", "q11_win_rate", "q1_rep_count_by_quarter"]:
         _check(reports.REPORTS[name](views, p), con, built[name])
+
+
+def test_literal_chain_equals_factored_funnel(spark, random_dir):
+    from funnelkit.plans.funnel import full_funnel, full_funnel_literal
+    views = crm_views.load(spark, random_dir)
+    p = ReportParams("1995-01-01", "2002-01-01", "1994-01-01")
+    a = oc.fingerprint(full_funnel(views, p.window).toPandas())
+    b = oc.fingerprint(full_funnel_literal(views, p.window).toPandas())
+    assert a == b

@@ -27,7 +27,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1].split(",") if len(sys.argv) > 1 else HEADLINE
-    spark = get_session(cores=cpus, shuffle_partitions=int(cpus) * 2, app="funnelkit-bench")
+    spark = get_session(cores=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2)), app="funnelkit-bench")
     # JVM / reader warm-up, not timed
     catalog.run(spark, sf_dir, "q11_win_rate").write.format("noop").mode("overwrite").save()
     times = {}

@@ -30,8 +30,13 @@ def first_activity_per_contact(activities: DataFrame) -> DataFrame:
 
 
 def discovery_call_rows(crm, window: DateWindow, activity_window: DateWindow | None = None,
-                        with_fiscal: bool = False, activities: DataFrame | None = None) -> DataFrame:
-    """B5; ``activities`` may pass in already computed qualified activities."""
+                        with_fiscal: bool = False, activities: DataFrame | None = None,
+                        with_activity: bool = True) -> DataFrame:
+    """B5; ``activities`` may pass in already computed qualified activities.
+
+    ``with_activity=False`` is for callers that read none of the activity
+    columns (they come back NULL): the per-contact activity pick is not built.
+    """
     activity_window = activity_window or window
     t = crm.event.where(X.ilike_any(F.col("subject"), X.DISCOVERY_SUBJECTS)
                         & ts_window(window, F.col("createddate")))
@@ -42,9 +47,14 @@ def discovery_call_rows(crm, window: DateWindow, activity_window: DateWindow | N
                              F.col("owner_previous_role").alias("call_owner_previous_role"),
                              F.col("owner_previous_role_end_date").alias("call_owner_previous_role_end_date"))
     c = crm.contact.select(F.col("id").alias("c_id"))
-    if activities is None:
-        activities = qualified_activities(crm, activity_window)
-    ac = first_activity_per_contact(activities)
+    if with_activity:
+        if activities is None:
+            activities = qualified_activities(crm, activity_window)
+        ac = first_activity_per_contact(activities)
+    else:
+        ac = crm.contact.sparkSession.createDataFrame(
+            [], "activity_contact_id string, activity_id string, owner_name string, owner_role string, "
+                "activity_account_id string").where(F.lit(False))
 
     calls = (t.join(a, t["accountid"] == a["a_id"], "inner")
               .join(own, t["ownerid"] == own["owner_id"], "left")

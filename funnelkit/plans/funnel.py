@@ -96,14 +96,20 @@ def _bits(name: str, df: DataFrame, key: str, code: Column) -> DataFrame:
 class FunnelInputs:
     """The four sides of the chain, reduced to what the metrics need, plus per-key summaries."""
 
-    def __init__(self, crm, window: DateWindow):
+    def __init__(self, crm, window: DateWindow, activity_rows: bool = True):
+        """``activity_rows=False``: the caller needs activities only as per-account
+        segment sets and no activity column of the call rows."""
         self.crm = crm
         self.window = window
         self._summary = None
         self.opps = opportunity_stage_rows(crm, window, extra=("est_gmv",))
         # each side is read by several branches: compute it once
-        self.activities = materialize(qualified_activities(crm, window))
-        self.calls = materialize(discovery_call_rows(crm, window, activities=self.activities))
+        if activity_rows:
+            self.activities = materialize(qualified_activities(crm, window))
+            self.calls = materialize(discovery_call_rows(crm, window, activities=self.activities))
+        else:
+            self.activities = qualified_activities(crm, window)
+            self.calls = materialize(discovery_call_rows(crm, window, with_activity=False))
         self.leads = materialize(self._lead_base(crm, window))
         v = sales_opps(crm).select(F.col("opportunity_id").alias("v_opp"))
         oc = crm.opportunity_contact_role
@@ -310,7 +316,7 @@ def won_with_lead(crm, window: DateWindow) -> DataFrame:
     matter through their (TAS, segment) values, the account-path leads and
     activities only through their segment sets.
     """
-    inp = FunnelInputs(crm, window)
+    inp = FunnelInputs(crm, window, activity_rows=False)
     os_ = inp.opp_summary().where(F.col("won_opps_id").isNotNull())
     dred = inp.calls.where(F.col("disco_created_opp_id").isNotNull()).select(
         F.col("disco_created_opp_id").alias("dr_opp"), F.col("disco_account_tas").alias("d_tas"),

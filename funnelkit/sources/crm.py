@@ -139,7 +139,7 @@ VIEWS: dict[str, View] = {
     "opportunity_contact_role": View("orders", "o", [
         ("contactid", f"'003' || {pad('2 * o.o_custkey + o.o_orderkey % 2')}"),
         ("opportunityid", f"'006' || {pad('o.o_orderkey')}"),
-    ], where="o.o_orderkey % 3 <> 0"),
+    ]),
     "opportunity_fact": View("orders", "o", [
         ("opportunity_id", f"'006' || {pad('o.o_orderkey')}"),
         ("opportunity_name", "'Opportunity ' || cast(o.o_orderkey as string)"),
@@ -276,6 +276,25 @@ def lead_source_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEAD_SOURCE_MAP, "leadsource string, lead_source_mapped string")
 
 
+REQUIRED_COLUMNS = {name: [c for c, _ in v.columns] for name, v in VIEWS.items()}
+REQUIRED_COLUMNS["calendar"] = [c for c, _ in CALENDAR_COLUMNS]
+REQUIRED_COLUMNS["lead_source_map"] = ["leadsource", "lead_source_mapped"]
+
+
+def from_tables(tables: dict[str, DataFrame]) -> SimpleNamespace:
+    """CRM views from existing DataFrames (e.g. ``spark.table("crm.task")`` with renamed columns).
+
+    Every view listed in ``REQUIRED_COLUMNS`` must be present with at least
+    those columns; extra columns are ignored (and pruned by Catalyst).
+    """
+    missing = {n: [c for c in cols if c not in tables[n].columns] if n in tables else ["<table>"]
+               for n, cols in REQUIRED_COLUMNS.items()}
+    missing = {n: m for n, m in missing.items() if m}
+    if missing:
+        raise ValueError(f"CRM tables missing columns: {missing}")
+    return SimpleNamespace(**{n: tables[n].select(*REQUIRED_COLUMNS[n]) for n in REQUIRED_COLUMNS})
+
+
 def load(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
     """All CRM views as lazily evaluated DataFrames (no action runs here)."""
     cache: dict[str, DataFrame] = {}

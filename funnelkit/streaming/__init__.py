@@ -1,0 +1,8 @@
+"""Streaming: nothing to build.
+
+The reports are batch SELECTs over warehouse tables; the reference has no
+streams, watermarks, event-time windows or stateful operators ("task" is a CRM
+object, not a scheduler).  The report functions take any DataFrame, so a caller
+can apply them to a Structured Streaming source per micro-batch with
+``foreachBatch`` if fresher reports are wanted.
+"""

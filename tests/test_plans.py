@@ -85,3 +85,13 @@ def test_checkpoint_dir_respected(spark):
 def test_catalog_names_match_entry():
     assert set(catalog.names()) == set(E.queries())
     assert DEFAULT.start < DEFAULT.end
+
+
+def test_from_tables_accepts_the_views_and_checks_columns(crm001):
+    from funnelkit.sources import crm
+    tables = {n: getattr(crm001, n) for n in crm.REQUIRED_COLUMNS}
+    views = crm.from_tables(tables)
+    assert reports.q11_win_rate(views).count() == reports.q11_win_rate(crm001).count()
+    bad = dict(tables, lead=tables["lead"].drop("email"))
+    with pytest.raises(ValueError):
+        crm.from_tables(bad)

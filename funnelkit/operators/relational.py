@@ -94,24 +94,26 @@ def union_all(*branches: DataFrame) -> DataFrame:
     return out
 
 
-def distinct_count_long(df: DataFrame, group: str, metrics: dict[str, Column]) -> DataFrame:
-    """COUNT(DISTINCT m) for many m by ``group``, as one narrow long relation.
-
-    Each input row emits (group, metric, value) for its non-NULL metric values;
-    ``distinct`` shuffles on all three columns (so a hot group is spread by
-    value), then a count with map-side partial aggregation and a pivot back to
-    one column per metric.  Groups present only with NULL metrics are kept with
-    zero counts.
+def pivot_distinct_counts(long: DataFrame, group: str, names: list[str]) -> DataFrame:
+    """(group, metric, value) rows -> one row per group with COUNT(DISTINCT value) per metric.
+
+    ``distinct`` shuffles on all three columns, so a hot group is spread by
+    value (and duplicates collapse map-side first); the count per (group,
+    metric) aggregates partially before a tiny shuffle.  Rows with a NULL value
+    (or a metric outside ``names``) only mark the group as present, which keeps
+    groups whose metrics are all NULL, with zero counts, in one pass.
     """
-    names = list(metrics)
+    counts = (long.distinct()
+              .groupBy(group, "metric").agg(F.count("value").alias("n"))
+              .groupBy(group).pivot("metric", names).agg(F.sum("n")))
+    return counts.select(group, *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in names])
+
+
+def distinct_count_long(df: DataFrame, group: str, metrics: dict[str, Column]) -> DataFrame:
+    """COUNT(DISTINCT m) for many m by ``group`` through one narrow long relation
+    instead of an Expand per distinct aggregate (A3)."""
     pairs = F.array(*[F.struct(F.lit(n).alias("metric"), c.cast("string").alias("value"))
                       for n, c in metrics.items()])
     long = (df.select(F.col(group), F.explode(pairs).alias("mv"))
             .select(group, "mv.metric", "mv.value"))
-    present = df.select(group).distinct()
-    counts = (long.where(F.col("value").isNotNull()).distinct()
-              .groupBy(group, "metric").count()
-              .groupBy(group).pivot("metric", names).agg(F.first("count")))
-    counts = counts.withColumnRenamed(group, "_g")
-    out = present.join(counts, present[group].eqNullSafe(counts["_g"]), "left")
-    return out.select(group, *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in names])
+    return pivot_distinct_counts(long, group, list(metrics))

@@ -63,21 +63,24 @@ def activity_union(crm) -> DataFrame:
     """B1: tasks and calendar events in one 16-column shape.
 
     A task keeps the role stored on it; an event takes its owner's current role.
+    The two sources are unioned first and the owner lookup (J2) is joined once.
     The task branch's role lookup contributes no column and role ids are unique,
-    so it is not joined (J15).
+    so it is not needed (J15).
     """
     own = owners(crm)
-
-    def branch(src: DataFrame, role_col) -> DataFrame:
-        j = src.join(own, src["ownerid"] == own["owner_id"], "left")
-        return j.select(
-            F.col("id").alias("activity_id"), "owner_name", role_col.alias("owner_role"),
-            "owner_previous_role", "owner_previous_role_end_date",
-            F.col("activitydate").alias("date"), "subject", F.col("type").alias("activity_type"),
-            "whoid", "whatid", *_keys(j))
-
-    return union_all(branch(crm.task, F.col("owner_role")),
-                     branch(crm.event, F.col("owner_current_role")))
+    cols = ["activitydate", "subject", "type", "whoid", "whatid"]
+    tasks = crm.task.select("id", "ownerid", F.col("owner_role").alias("_stored_role"),
+                            F.lit(True).alias("_task"), *cols)
+    events = crm.event.select("id", "ownerid", F.lit(None).cast("string").alias("_stored_role"),
+                              F.lit(False).alias("_task"), *cols)
+    both = union_all(tasks, events)
+    j = both.join(own, both["ownerid"] == own["owner_id"], "left")
+    role = F.when(F.col("_task"), F.col("_stored_role")).otherwise(F.col("owner_current_role"))
+    return j.select(
+        F.col("id").alias("activity_id"), "owner_name", role.alias("owner_role"),
+        "owner_previous_role", "owner_previous_role_end_date",
+        F.col("activitydate").alias("date"), "subject", F.col("type").alias("activity_type"),
+        "whoid", "whatid", *_keys(j))
 
 
 def qualified_activities(crm, window: DateWindow, with_fiscal: bool = False) -> DataFrame:

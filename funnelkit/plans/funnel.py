@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.functions import exprs as X
-from funnelkit.operators.relational import materialize
+from funnelkit.operators.relational import materialize, pivot_distinct_counts
 from funnelkit.plans.activities import DateWindow, owners, qualified_activities
 from funnelkit.plans.calls import discovery_call_rows
 from funnelkit.plans.leads import (ACCOUNT_PATH_MAX_GMV, discovery_ids, filtered_leads)
@@ -298,13 +298,7 @@ def funnel_long(inp: FunnelInputs) -> DataFrame:
 def full_funnel(crm, window: DateWindow) -> DataFrame:
     """Q6 (B7 + B8): distinct counts per account-based segment."""
     long = funnel_long(FunnelInputs(crm, window))
-    seg = "account_based_segment"
-    present = long.select(seg).distinct()
-    counts = (long.where(F.col("value").isNotNull() & (F.col("metric") != "_present")).distinct()
-              .groupBy(seg, "metric").count()
-              .groupBy(seg).pivot("metric", FUNNEL_METRICS).agg(F.first("count")))
-    wide = present.join(counts, seg, "left").select(
-        seg, *[F.coalesce(F.col(m), F.lit(0)).cast("bigint").alias(m) for m in FUNNEL_METRICS])
+    wide = pivot_distinct_counts(long, "account_based_segment", FUNNEL_METRICS)
     return wide.withColumn("outbound_discos", F.col("all_discos") - F.col("all_leads_to_disco_call"))
 
 

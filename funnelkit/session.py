@@ -11,6 +11,7 @@ def get_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "funne
     """Local session: AQE on (coalescing, skew-join splitting), UI off, UTC."""
     spark = (SparkSession.builder.master(f"local[{cores}]").appName(app)
              .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -99,10 +99,11 @@ def pivot_distinct_counts(long: DataFrame, group: str, names: list[str]) -> Data
 
     ``distinct`` shuffles on all three columns, so a hot group is spread by
     value (and duplicates collapse map-side first); the count per (group,
-    metric) aggregates partially before a tiny shuffle.  Rows with a NULL value
-    (or a metric outside ``names``) only mark the group as present, which keeps
-    groups whose metrics are all NULL, with zero counts, in one pass.
+    metric) aggregates partially before a tiny shuffle.  NULL values of counted
+    metrics are dropped first; a row of a metric outside ``names`` (a presence
+    marker) keeps groups whose metrics are all NULL, with zero counts, in one pass.
     """
+    long = long.where(F.col("value").isNotNull() | ~F.col("metric").isin(names))
     counts = (long.distinct()
               .groupBy(group, "metric").agg(F.count("value").alias("n"))
               .groupBy(group).pivot("metric", names).agg(F.sum("n")))
@@ -112,7 +113,8 @@ def pivot_distinct_counts(long: DataFrame, group: str, names: list[str]) -> Data
 def distinct_count_long(df: DataFrame, group: str, metrics: dict[str, Column]) -> DataFrame:
     """COUNT(DISTINCT m) for many m by ``group`` through one narrow long relation
     instead of an Expand per distinct aggregate (A3)."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), c.cast("string").alias("value"))
+    pairs = F.array(F.struct(F.lit("_present").alias("metric"), F.lit(None).cast("string").alias("value")),
+                    *[F.struct(F.lit(n).alias("metric"), c.cast("string").alias("value"))
                       for n, c in metrics.items()])
     long = (df.select(F.col(group), F.explode(pairs).alias("mv"))
             .select(group, "mv.metric", "mv.value"))

@@ -101,3 +101,12 @@ def test_coalesce_segment_sets(spark):
     assert got == [4, 2 | 8, 2, 1]
     codes = _col(spark, [("SMB",), ("N/A",), (None,), ("Enterprise",)], "s string", seg_code(F.col("s")))
     assert codes == [2, 32, 1, 16]
+
+
+def test_distinct_count_long_keeps_all_null_groups_and_null_key(spark):
+    from funnelkit.operators.relational import distinct_count_long
+    df = spark.createDataFrame([("g1", None, None), ("g2", "a", "x"), ("g2", "a", "y"), ("g2", "b", None),
+                                (None, "c", "z"), (None, "c", "z")], "g string, m1 string, m2 string")
+    out = {r["g"]: (r["n1"], r["n2"]) for r in
+           distinct_count_long(df, "g", {"n1": F.col("m1"), "n2": F.col("m2")}).collect()}
+    assert out == {"g1": (0, 0), "g2": (2, 2), None: (1, 1)}

@@ -110,3 +110,33 @@ def test_distinct_count_long_keeps_all_null_groups_and_null_key(spark):
     out = {r["g"]: (r["n1"], r["n2"]) for r in
            distinct_count_long(df, "g", {"n1": F.col("m1"), "n2": F.col("m2")}).collect()}
     assert out == {"g1": (0, 0), "g2": (2, 2), None: (1, 1)}
+
+
+def test_win_rate_no_closed_quarter_and_closed_upper_bound(spark):
+    from types import SimpleNamespace
+
+    from funnelkit.plans.opportunities import win_rate
+    schema = ("opportunity_id string, stage string, opportunity_amount double, close_date timestamp_ntz, "
+              "created_date timestamp_ntz, opportunity_owner string, opportunity_owner_role string, "
+              "opportunity_owner_segment string, self_service_flag boolean, est_gmv double, "
+              "total_sales_cycle_days int, account_id string, vertical string, fiscal_quarter_name_close_date string, "
+              "fiscal_year_close_date int, fiscal_quarter_name_create_date string, fiscal_year_create_date int, "
+              "opportunity_sales_flag boolean")
+    ts = dt.datetime
+
+    def opp(i, stage, created, q, gmv=10.0, days=5):
+        return (f"006{i}", stage, 1.0, created, created, "o", "Account Executive", "SMB", False, gmv, days,
+                "001", "v", q, 1998, q, 1998, True)
+
+    rows = [opp(1, "Negotiation", ts(1997, 8, 1), "Q1"),                 # quarter with no closed deal
+            opp(2, "Closed Won", ts(1997, 11, 1), "Q2", 30.0, 10),
+            opp(3, "Closed Lost", ts(1997, 11, 2), "Q2", 10.0, 20),
+            opp(4, "Closed Won", ts(1998, 10, 1), "Q3"),                  # exactly the closed upper bound: kept
+            opp(5, "Closed Won", ts(1998, 10, 1, 0, 0, 1), "Q4")]         # one second later: dropped
+    crm = SimpleNamespace(opportunity_fact=spark.createDataFrame(rows, schema))
+    out = {r["fq_create"]: r for r in win_rate(crm, "1997-07-01", "1998-10-01").collect()}
+    assert set(out) == {"Q1-1998", "Q2-1998", "Q3-1998"}
+    assert out["Q1-1998"]["win_rate"] is None and out["Q1-1998"]["open"] == 1
+    assert out["Q2-1998"]["win_rate"] == 0.5 and out["Q2-1998"]["win_rate_est_gmv"] == 0.75
+    assert out["Q2-1998"]["avg_cycle_closed_won"] == 10.0 and out["Q2-1998"]["avg_cycle_closed_lost"] == 20.0
+    assert out["Q3-1998"]["won"] == 1

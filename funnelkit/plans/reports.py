@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from funnelkit.functions import exprs as X
 from funnelkit.operators.relational import calendar_join, first_per_key
 from funnelkit.params import DEFAULT, ReportParams
-from funnelkit.plans.activities import DateWindow, qualified_activities
+from funnelkit.plans.activities import qualified_activities
 from funnelkit.plans.calls import discovery_call_rows
 from funnelkit.plans.funnel import full_funnel, won_with_lead
 from funnelkit.plans.leads import (ACCOUNT_PATH_MAX_GMV, discovery_ids, filtered_leads, lead_rows)

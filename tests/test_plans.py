@@ -1,7 +1,6 @@
 """Physical-plan properties and data invariants the scale design relies on."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF001
 from funnelkit import catalog

@@ -267,7 +267,8 @@ def funnel_long(inp: FunnelInputs) -> DataFrame:
     va_mask = F.when(matched, _anchored(so, _or(_nn(sd), _if(_has_null(sd), _or(
         _nn(sl), _if(_has_null(sl), _or(_nn(cqm), _if(_has_null(cqm), sa)))))))).otherwise(cqm)
     parts.append(_emit(va, va_mask, {"all_leads_to_opps_artificially_high": F.col("vao_opp")}))
-    # unmatched account-path rows of leads whose account has no cap-passing opportunity in OPPS
+    # account-path rows that match no OPPS row stand alone with the lead's segment: a lead has one
+    # when its account has no account-path opportunity, or one created outside OPPS
     vao_state = (inp.vao.join(summ, inp.vao["vao_opp"] == summ["m_opp"], "left")
                  .groupBy(F.col("vao_account").alias("vs_account"))
                  .agg(F.bool_or(F.col("m_opp").isNull()).alias("vs_unmatched")))

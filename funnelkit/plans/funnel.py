@@ -111,15 +111,21 @@ class FunnelInputs:
             self.activities = qualified_activities(crm, window)
             self.calls = materialize(discovery_call_rows(crm, window, with_activity=False))
         self.leads = materialize(self._lead_base(crm, window))
+        # Both lead paths are only ever read for contacts / accounts that have a lead in
+        # the window, so they are semi-joined to the lead base before anything else.
+        lead_contacts = self.leads.where(F.col("lead_cc").isNotNull()).select(F.col("lead_cc").alias("voc_contact"))
+        lead_accounts = self.leads.select(F.col("lead_account").alias("vao_account"))
         v = sales_opps(crm).select(F.col("opportunity_id").alias("v_opp"))
-        oc = crm.opportunity_contact_role
+        oc = crm.opportunity_contact_role.select(F.col("contactid").alias("voc_contact"), "opportunityid")
         # contact-role path: (contact, sales opportunity) pairs; a role on a non-sales
         # opportunity leaves v_opp NULL (the lead row exists, unmatched)
-        self.voc = oc.join(v, oc["opportunityid"] == v["v_opp"], "left").select(
-            F.col("contactid").alias("voc_contact"), "v_opp")
+        self.voc = materialize(oc.join(lead_contacts, "voc_contact", "left_semi")
+                               .join(v, F.col("opportunityid") == v["v_opp"], "left")
+                               .select("voc_contact", "v_opp"))
         # account path: sales opportunities under the GMV cap, by account
         self.vao = (sales_opps(crm).where(F.col("est_gmv") < ACCOUNT_PATH_MAX_GMV)
-                    .select(F.col("account_id").alias("vao_account"), F.col("opportunity_id").alias("vao_opp")))
+                    .select(F.col("account_id").alias("vao_account"), F.col("opportunity_id").alias("vao_opp"))
+                    .join(lead_accounts, "vao_account", "left_semi"))
 
     @staticmethod
     def _lead_base(crm, window) -> DataFrame:

@@ -67,19 +67,19 @@ def filtered_leads(crm, window: DateWindow | None) -> DataFrame:
 def lead_rows(crm, window: DateWindow | None, disco: DataFrame, with_dates: bool = False) -> DataFrame:
     """One row per lead x contact-role opportunity x account opportunity x call (bag).
 
-    Many-to-one lookups (contact, lead-source map, owner) run first; the three
-    one-to-many joins that fan the lead out run last.
+    Many-to-one lookups (contact, lead-source map, owner) run first; the
+    one-to-many joins that fan the lead out run last, starting from the leads
+    (lead -> contact role -> opportunity), so the contact-role table is never
+    joined to all opportunities.
     """
     l = filtered_leads(crm, window)
     c = crm.contact.select(F.col("id").alias("c_id"), F.col("passed_sql").alias("c_passed_sql"),
                            F.col("leadsource").alias("c_leadsource"))
     lm = crm.lead_source_map
     own = owners(crm).select("owner_id", F.col("owner_current_role").alias("lead_owner_role"))
-    oc = crm.opportunity_contact_role
+    oc = crm.opportunity_contact_role.select(F.col("contactid").alias("oc_contactid"),
+                                             F.col("opportunityid").alias("oc_opportunityid"))
     v = _sales_opps(crm).select(F.col("opportunity_id").alias("v_opportunity_id"))
-    # a contact role on a non-sales opportunity still yields a lead row (with no opportunity)
-    v_oc = oc.join(v, oc["opportunityid"] == v["v_opportunity_id"], "left").select(
-        F.col("contactid").alias("oc_contactid"), "v_opportunity_id")
     vao = (_sales_opps(crm).where(F.col("est_gmv") < ACCOUNT_PATH_MAX_GMV)
            .select(F.col("account_id").alias("vao_account_id"),
                    F.col("opportunity_id").alias("vao_opportunity_id")))
@@ -88,7 +88,9 @@ def lead_rows(crm, window: DateWindow | None, disco: DataFrame, with_dates: bool
     j = (l.join(c, F.col("convertedcontactid") == c["c_id"], "left")
           .join(lm, F.col("c_leadsource") == lm["leadsource"], "left").drop(lm["leadsource"])
           .join(own, F.col("ownerid") == own["owner_id"], "left")
-          .join(v_oc, F.col("convertedcontactid") == v_oc["oc_contactid"], "left")
+          .join(oc, F.col("convertedcontactid") == oc["oc_contactid"], "left")
+          # a contact role on a non-sales opportunity still yields a lead row (with no opportunity)
+          .join(v, F.col("oc_opportunityid") == v["v_opportunity_id"], "left")
           .join(vao, F.col("al_id") == vao["vao_account_id"], "left")
           .join(d, F.col("c_id") == d["d_whoid"], "left"))
 

@@ -59,15 +59,15 @@ def q7_lead_validation(crm, p: ReportParams = DEFAULT) -> DataFrame:
     l = filtered_leads(crm, None)
     c = crm.contact.select(F.col("id").alias("c_id"), F.col("passed_sql").alias("c_passed_sql"))
     v = sales_opps(crm).select(F.col("opportunity_id").alias("v_opp"))
-    oc = crm.opportunity_contact_role
-    v_oc = oc.join(v, oc["opportunityid"] == v["v_opp"], "inner").select(
-        F.col("contactid").alias("oc_contactid"), "v_opp")
+    oc = crm.opportunity_contact_role.select(F.col("contactid").alias("oc_contactid"),
+                                             F.col("opportunityid").alias("oc_opp"))
     vao_accounts = (sales_opps(crm).where(F.col("est_gmv") < ACCOUNT_PATH_MAX_GMV)
                     .select(F.col("account_id").alias("al_id")))
     credited = (l.join(vao_accounts, "al_id", "left_semi")
                  .join(c, F.col("convertedcontactid") == c["c_id"], "left")
                  .where((F.col("c_passed_sql") == F.lit(True)) & X.free_mail_ok(F.col("email"), "exact"))
-                 .join(v_oc, F.col("convertedcontactid") == v_oc["oc_contactid"], "inner")
+                 .join(oc, F.col("convertedcontactid") == oc["oc_contactid"], "inner")
+                 .join(v, F.col("oc_opp") == v["v_opp"], "inner")
                  .select(X.id_when(F.col("eligibility_status") == "Eligible", F.col("id")).alias("eligible_lead_ids"),
                          F.col("v_opp").alias("total_converted_acc_opp_id")))
     fact = crm.opportunity_fact.select("opportunity_name", "opportunity_id", "est_gmv", "account_segment")

@@ -12,6 +12,20 @@ from funnelkit.plans.activities import DateWindow, owners, qualified_activities,
 LOOKAHEAD_MONTHS = 6
 
 
+def lookahead_range(window: DateWindow, created):
+    """Opportunities a call in ``window`` can reach: start < created < end + 6 months.
+
+    Implied by the interval condition (call time >= start, call time < end and
+    adding months is monotone), so it is exact; it lets the opportunity scan
+    skip everything outside the reachable range instead of shuffling it.
+    """
+    cond = created > F.lit(window.start).cast("timestamp_ntz")
+    if window.end is not None:
+        cond = cond & (created < F.lit(window.end).cast("timestamp_ntz")
+                       + F.make_ym_interval(F.lit(0), F.lit(LOOKAHEAD_MONTHS)))
+    return cond
+
+
 def first_activity_per_contact(activities: DataFrame) -> DataFrame:
     """The qualified activity a call row keeps, per contact.
 
@@ -68,7 +82,8 @@ def discovery_call_rows(crm, window: DateWindow, activity_window: DateWindow | N
     if with_fiscal:
         calls = calendar_join(calls, crm.calendar, F.to_date(F.col("disco_create_date")))
 
-    opps = (crm.opportunity_fact.where(F.col("opportunity_sales_flag") == F.lit(True))
+    opps = (crm.opportunity_fact.where((F.col("opportunity_sales_flag") == F.lit(True))
+                                       & lookahead_range(window, F.col("created_date")))
             .select(F.col("opportunity_id").alias("disco_created_opp_id"),
                     F.col("account_id").alias("v_account_id"), "created_date"))
     j = interval_join(calls, opps, left_key="a_id", right_key="v_account_id",

@@ -10,6 +10,7 @@ from funnelkit.operators.relational import calendar_join, interval_join
 from funnelkit.plans.activities import DateWindow, owners, qualified_activities, ts_window
 
 LOOKAHEAD_MONTHS = 6
+ACTIVITY_PICK = ["activity_contact_id", "activity_id", "owner_name", "owner_role", "activity_account_id"]
 
 
 def lookahead_range(window: DateWindow, created):
@@ -37,7 +38,7 @@ def first_activity_per_contact(activities: DataFrame) -> DataFrame:
     the fan-out, and ``min`` of a struct aggregates map-side, so a contact with a
     third of all activities still ships one row per partition.
     """
-    best = F.min(F.struct("activity_id", "owner_name", "owner_role", "activity_account_id")).alias("b")
+    best = F.min(F.struct(*ACTIVITY_PICK[1:])).alias("b")
     return (activities.where(F.col("activity_contact_id").isNotNull())
             .groupBy("activity_contact_id").agg(best)
             .select("activity_contact_id", "b.*"))
@@ -61,21 +62,20 @@ def discovery_call_rows(crm, window: DateWindow, activity_window: DateWindow | N
                              F.col("owner_previous_role").alias("call_owner_previous_role"),
                              F.col("owner_previous_role_end_date").alias("call_owner_previous_role_end_date"))
     c = crm.contact.select(F.col("id").alias("c_id"))
-    if with_activity:
-        if activities is None:
-            activities = qualified_activities(crm, activity_window)
-        ac = first_activity_per_contact(activities)
-    else:
-        ac = crm.contact.sparkSession.createDataFrame(
-            [], "activity_contact_id string, activity_id string, owner_name string, owner_role string, "
-                "activity_account_id string").where(F.lit(False))
 
     calls = (t.join(a, t["accountid"] == a["a_id"], "inner")
               .join(own, t["ownerid"] == own["owner_id"], "left")
               .where(X.call_owner_qualifies(F.col("call_owner_role"), F.col("call_owner_previous_role"),
                                             F.col("call_owner_previous_role_end_date"), F.col("createddate")))
-              .join(c, t["whoid"] == c["c_id"], "left")
-              .join(ac, F.col("c_id") == ac["activity_contact_id"], "left")
+              .join(c, t["whoid"] == c["c_id"], "left"))
+    if with_activity:
+        if activities is None:
+            activities = qualified_activities(crm, activity_window)
+        ac = first_activity_per_contact(activities)
+        calls = calls.join(ac, F.col("c_id") == ac["activity_contact_id"], "left")
+    else:
+        calls = calls.select("*", *[F.lit(None).cast("string").alias(n) for n in ACTIVITY_PICK])
+    calls = (calls
               .select("a_id", "disco_account_segment", "disco_account_vertical", "disco_account_tas",
                       F.col("id").alias("discovery_ids"), F.col("createddate").alias("disco_create_date"),
                       "activity_id", "owner_name", "owner_role", "activity_account_id", "activity_contact_id"))

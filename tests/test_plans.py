@@ -94,3 +94,19 @@ def test_from_tables_accepts_the_views_and_checks_columns(crm001):
     bad = dict(tables, lead=tables["lead"].drop("email"))
     with pytest.raises(ValueError):
         crm.from_tables(bad)
+
+
+def test_interval_join_is_keyed_by_account_and_month(crm001):
+    plan = reports.q5_discovery_calls(crm001)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    joins = [ln for ln in plan.splitlines() if "Join" in ln and "_month_bucket" in ln]
+    # call side: (account, month) under the join's own names; opportunity side: (account, month)
+    assert joins and all("_l_key" in ln and "v_account_id" in ln for ln in joins)
+
+
+def test_factored_funnel_has_no_full_outer_join(crm001):
+    from funnelkit.plans.funnel import full_funnel_literal
+    factored = reports.q6_full_funnel(crm001)._jdf.queryExecution().optimizedPlan().toString()
+    literal = full_funnel_literal(crm001, DEFAULT.window)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in factored
+    assert literal.count("FullOuter") == 4

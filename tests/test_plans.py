@@ -110,3 +110,11 @@ def test_factored_funnel_has_no_full_outer_join(crm001):
     literal = full_funnel_literal(crm001, DEFAULT.window)._jdf.queryExecution().optimizedPlan().toString()
     assert "FullOuter" not in factored
     assert literal.count("FullOuter") == 4
+
+
+def test_cluster_settings_scale_with_input():
+    from funnelkit.session import cluster_settings
+    small, big = cluster_settings(10 * 1024 ** 3), cluster_settings(100 * 1024 ** 4)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * 1024 ** 2)
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"

@@ -210,9 +210,9 @@ _ACTIVITY_COMMON = [
     ("activitydate", "DATE '1995-01-01' + cast((x.event_id * 37) % 2400 as int)"),
     ("subject", _case("x.event_id % 5", SUBJECTS)),
     ("type", _case("cast(floor(x.event_id / 3) as bigint) % 4", ACTIVITY_TYPES)),
-    ("whoid", f"CASE WHEN x.event_id % 9 = 0 THEN '00Q' || {pad('(x.event_id * 7) % 200')} "
+    ("whoid", f"CASE WHEN x.event_id % 9 = 0 THEN '00Q' || {pad('x.event_id')} "
               f"WHEN x.event_id % 13 = 0 THEN NULL ELSE '003' || {pad('2 * x.user_id + x.event_id % 2')} END"),
-    ("whatid", f"CASE x.event_id % 4 WHEN 0 THEN '006' || {pad('(x.event_id * 3) % 1500')} "
+    ("whatid", f"CASE x.event_id % 4 WHEN 0 THEN '006' || {pad('x.event_id')} "
                f"WHEN 1 THEN '001' || {pad('x.user_id')} WHEN 2 THEN NULL ELSE '701' || {pad('x.event_id')} END"),
 ]
 VIEWS["task"] = View("events", "x", [

@@ -1,7 +1,8 @@
 """Run registered Spark queries and their DuckDB oracle on the same parquet files and compare.
 
-Compares row count, column names and an order-insensitive hash of the values
-(floats rounded), the way the driver's correctness gate does.
+Compares row count, column names and an order-insensitive hash of the exact
+values (floats by their round-trip representation; both sides round floating
+aggregates to the same scale in SQL), the way the driver's correctness gate does.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ def _norm(v):
     if v is None or v is pd.NaT or v is pd.NA:
         return "∅"
     if isinstance(v, (float, int)) and not isinstance(v, bool):
+        # exact: integral values print as integers (pandas turns nullable bigint into
+        # float), everything else by its shortest round-trip representation
         f = float(v)
         if math.isnan(f):
             return "∅"
-        return str(int(f)) if f.is_integer() else f"{f:.6g}"
+        return str(int(v)) if f.is_integer() else repr(f)
     if isinstance(v, pd.Timestamp):
         return v.isoformat()
     if hasattr(v, "isoformat"):

@@ -302,14 +302,14 @@ def funnel_long(inp: FunnelInputs) -> DataFrame:
     return out
 
 
-def full_funnel(crm, window: DateWindow) -> DataFrame:
+def full_funnel(crm, window: DateWindow, inputs: FunnelInputs | None = None) -> DataFrame:
     """Q6 (B7 + B8): distinct counts per account-based segment."""
-    long = funnel_long(FunnelInputs(crm, window))
+    long = funnel_long(inputs or FunnelInputs(crm, window))
     wide = pivot_distinct_counts(long, "account_based_segment", FUNNEL_METRICS)
     return wide.withColumn("outbound_discos", F.col("all_discos") - F.col("all_leads_to_disco_call"))
 
 
-def won_with_lead(crm, window: DateWindow) -> DataFrame:
+def won_with_lead(crm, window: DateWindow, inputs: FunnelInputs | None = None) -> DataFrame:
     """Q9 (B13): won opportunities with an eligible contact-path lead, with the TAS band.
 
     Same factoring as ``full_funnel``: rows pair a won opportunity with an
@@ -317,7 +317,7 @@ def won_with_lead(crm, window: DateWindow) -> DataFrame:
     matter through their (TAS, segment) values, the account-path leads and
     activities only through their segment sets.
     """
-    inp = FunnelInputs(crm, window, activity_rows=False)
+    inp = inputs or FunnelInputs(crm, window, activity_rows=False)
     os_ = inp.opp_summary().where(F.col("won_opps_id").isNotNull())
     dred = inp.calls.where(F.col("disco_created_opp_id").isNotNull()).select(
         F.col("disco_created_opp_id").alias("dr_opp"), F.col("disco_account_tas").alias("d_tas"),
@@ -339,6 +339,12 @@ def won_with_lead(crm, window: DateWindow) -> DataFrame:
         "opp_account_tas", "close_date").distinct()
 
 
+def funnel_reports(crm, window: DateWindow) -> dict[str, DataFrame]:
+    """Q6 and Q9 from one set of materialised sides (the two reports share every CTE)."""
+    inp = FunnelInputs(crm, window)
+    return {"q6_full_funnel": full_funnel(crm, window, inp), "q9_won_with_lead": won_with_lead(crm, window, inp)}
+
+
 def full_funnel_literal(crm, window: DateWindow) -> DataFrame:
     """Q6 as the reference writes it: the full outer chain, then 21 COUNT(DISTINCT).
 

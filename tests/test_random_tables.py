@@ -133,3 +133,12 @@ def test_literal_chain_equals_factored_funnel(spark, random_dir):
     a = oc.fingerprint(full_funnel(views, p.window).toPandas())
     b = oc.fingerprint(full_funnel_literal(views, p.window).toPandas())
     assert a == b
+
+
+def test_shared_funnel_inputs_give_the_same_reports(spark, random_dir):
+    from funnelkit.plans.funnel import funnel_reports, full_funnel, won_with_lead
+    views = crm_views.load(spark, random_dir)
+    w = ReportParams("1995-01-01", "2002-01-01", "1994-01-01").window
+    both = funnel_reports(views, w)
+    assert oc.fingerprint(both["q6_full_funnel"].toPandas()) == oc.fingerprint(full_funnel(views, w).toPandas())
+    assert oc.fingerprint(both["q9_won_with_lead"].toPandas()) == oc.fingerprint(won_with_lead(views, w).toPandas())

@@ -113,8 +113,10 @@ class FunnelInputs:
         self.leads = materialize(self._lead_base(crm, window))
         # Both lead paths are only ever read for contacts / accounts that have a lead in
         # the window, so they are semi-joined to the lead base before anything else.
-        lead_contacts = self.leads.where(F.col("lead_cc").isNotNull()).select(F.col("lead_cc").alias("voc_contact"))
-        lead_accounts = self.leads.select(F.col("lead_account").alias("vao_account"))
+        # (distinct first: deduplicated map-side, so an account with many leads ships one row)
+        lead_contacts = (self.leads.where(F.col("lead_cc").isNotNull())
+                         .select(F.col("lead_cc").alias("voc_contact")).distinct())
+        lead_accounts = self.leads.select(F.col("lead_account").alias("vao_account")).distinct()
         v = sales_opps(crm).select(F.col("opportunity_id").alias("v_opp"))
         oc = crm.opportunity_contact_role.select(F.col("contactid").alias("voc_contact"), "opportunityid")
         # contact-role path: (contact, sales opportunity) pairs; a role on a non-sales

@@ -61,8 +61,10 @@ def q7_lead_validation(crm, p: ReportParams = DEFAULT) -> DataFrame:
     v = sales_opps(crm).select(F.col("opportunity_id").alias("v_opp"))
     oc = crm.opportunity_contact_role.select(F.col("contactid").alias("oc_contactid"),
                                              F.col("opportunityid").alias("oc_opp"))
+    # accounts with an account-path opportunity; distinct first so a busy account
+    # collapses map-side instead of shipping all its opportunities to one task
     vao_accounts = (sales_opps(crm).where(F.col("est_gmv") < ACCOUNT_PATH_MAX_GMV)
-                    .select(F.col("account_id").alias("al_id")))
+                    .select(F.col("account_id").alias("al_id")).distinct())
     credited = (l.join(vao_accounts, "al_id", "left_semi")
                  .join(c, F.col("convertedcontactid") == c["c_id"], "left")
                  .where((F.col("c_passed_sql") == F.lit(True)) & X.free_mail_ok(F.col("email"), "exact"))

@@ -17,6 +17,7 @@ def get_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "funne
              .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
              .config("spark.sql.adaptive.skewJoin.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
              .config("spark.driver.memory", "16g")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
@@ -66,4 +67,6 @@ def cluster_settings(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        # checkpointed funnel sides are deleted once their DataFrames are garbage-collected
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.functions import exprs as X
-from funnelkit.operators.relational import calendar_join, first_per_key
+from funnelkit.operators.relational import calendar_join, first_per_key, materialize
 from funnelkit.params import DEFAULT, ReportParams
 from funnelkit.plans.activities import qualified_activities
 from funnelkit.plans.calls import discovery_call_rows
@@ -19,28 +19,37 @@ def q1_rep_count_by_quarter(crm, p: ReportParams = DEFAULT) -> DataFrame:
     return rep_count_by_quarter(crm, p.history_start, p.end, p.window)
 
 
-def q2_accounts_touched(crm, p: ReportParams = DEFAULT) -> DataFrame:
-    a = qualified_activities(crm, p.window, with_fiscal=True)
+def q2_accounts_touched(crm, p: ReportParams = DEFAULT, activities: DataFrame | None = None) -> DataFrame:
+    a = activities if activities is not None else qualified_activities(crm, p.window, with_fiscal=True)
     return a.select("activity_account_id", "activity_account_segment", "activity_account_vertical",
                     "owner_role", "fiscal_year", "fiscal_quarter").distinct()
 
 
-def q3_activity_volume(crm, p: ReportParams = DEFAULT) -> DataFrame:
-    a = qualified_activities(crm, p.window, with_fiscal=True).where(F.col("activity_account_id").isNotNull())
+def q3_activity_volume(crm, p: ReportParams = DEFAULT, activities: DataFrame | None = None) -> DataFrame:
+    a = activities if activities is not None else qualified_activities(crm, p.window, with_fiscal=True)
+    a = a.where(F.col("activity_account_id").isNotNull())
     return (a.groupBy("activity_account_id", "activity_account_segment", "activity_account_vertical",
                       "owner_name", "owner_role", "activity_type")
              .agg(F.count("activity_id").alias("activity_count")))
 
 
-def q4_active_reps(crm, p: ReportParams = DEFAULT) -> DataFrame:
-    a = qualified_activities(crm, p.window, with_fiscal=True).where(
-        (F.col("owner_role") == "Account Executive") | (F.col("owner_role") == "BDA"))
+def q4_active_reps(crm, p: ReportParams = DEFAULT, activities: DataFrame | None = None) -> DataFrame:
+    a = activities if activities is not None else qualified_activities(crm, p.window, with_fiscal=True)
+    a = a.where((F.col("owner_role") == "Account Executive") | (F.col("owner_role") == "BDA"))
     keys = ["owner_name", "owner_role", "activity_account_segment", "fiscal_year", "fiscal_quarter"]
     return (a.groupBy(*keys).agg(F.count("owner_name").alias("owner_activity_count"))
              .orderBy(F.col("owner_name").asc_nulls_last(), F.col("fiscal_year").asc_nulls_last(),
                       F.col("fiscal_quarter").asc_nulls_last()))
 
 
+def activity_reports(crm, p: ReportParams = DEFAULT) -> dict[str, DataFrame]:
+    """Q2-Q4 from one qualified-activity table (the three reports share it), computed once."""
+    a = materialize(qualified_activities(crm, p.window, with_fiscal=True))
+    return {"q2_accounts_touched": q2_accounts_touched(crm, p, a),
+            "q3_activity_volume": q3_activity_volume(crm, p, a),
+            "q4_active_reps": q4_active_reps(crm, p, a)}
+
+
 def q5_discovery_calls(crm, p: ReportParams = DEFAULT) -> DataFrame:
     return discovery_call_rows(crm, p.window, with_fiscal=True)
 

@@ -118,3 +118,10 @@ def test_cluster_settings_scale_with_input():
     assert small["spark.sql.shuffle.partitions"] == "200"
     assert int(big["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * 1024 ** 2)
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_activity_reports_share_one_table(crm001):
+    import oracle_check as oc
+    both = reports.activity_reports(crm001)
+    for name, df in both.items():
+        assert oc.fingerprint(df.toPandas()) == oc.fingerprint(reports.REPORTS[name](crm001).toPandas())

@@ -87,7 +87,7 @@ def win_rate(crm, start: str, end: str, dimensions: tuple[str, ...] = ()) -> Dat
         return F.sum(F.when(stage.isin(stages), 1).otherwise(0)).cast("bigint")
 
     def gmv_in(stages):
-        return F.sum(F.when(stage.isin(stages), gmv).otherwise(0.0))
+        return F.sum(F.when(stage.isin(stages), gmv).otherwise(F.lit(0)))  # keeps decimal money decimal
 
     def avg_cycle(stages):
         return F.avg(F.when(stage.isin(stages), F.col("total_sales_cycle_days")))

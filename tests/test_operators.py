@@ -140,3 +140,27 @@ def test_win_rate_no_closed_quarter_and_closed_upper_bound(spark):
     assert out["Q2-1998"]["win_rate"] == 0.5 and out["Q2-1998"]["win_rate_est_gmv"] == 0.75
     assert out["Q2-1998"]["avg_cycle_closed_won"] == 10.0 and out["Q2-1998"]["avg_cycle_closed_lost"] == 20.0
     assert out["Q3-1998"]["won"] == 1
+
+
+def test_win_rate_keeps_decimal_money(spark):
+    from decimal import Decimal
+    from types import SimpleNamespace
+
+    from pyspark.sql import types as T
+
+    from funnelkit.plans.opportunities import win_rate
+    schema = ("opportunity_id string, stage string, opportunity_amount decimal(38,2), close_date timestamp_ntz, "
+              "created_date timestamp_ntz, opportunity_owner string, opportunity_owner_role string, "
+              "opportunity_owner_segment string, self_service_flag boolean, est_gmv decimal(38,2), "
+              "total_sales_cycle_days int, account_id string, vertical string, fiscal_quarter_name_close_date string, "
+              "fiscal_year_close_date int, fiscal_quarter_name_create_date string, fiscal_year_create_date int, "
+              "opportunity_sales_flag boolean")
+    t = dt.datetime(1997, 11, 1)
+    rows = [("a", "Closed Won", Decimal("1.00"), t, t, "o", "AE", "SMB", False, Decimal("10.25"), 3, "x", "v",
+             "Q2", 1998, "Q2", 1998, True),
+            ("b", "Closed Lost", Decimal("1.00"), t, t, "o", "AE", "SMB", False, Decimal("30.75"), 3, "x", "v",
+             "Q2", 1998, "Q2", 1998, True)]
+    out = win_rate(SimpleNamespace(opportunity_fact=spark.createDataFrame(rows, schema)), "1997-07-01", "1998-10-01")
+    assert isinstance(out.schema["won_est_gmv"].dataType, T.DecimalType)
+    r = out.collect()[0]
+    assert r["won_est_gmv"] == Decimal("10.25") and r["lost_est_gmv"] == Decimal("30.75") and r["win_rate"] == 0.5

@@ -295,19 +295,37 @@ def from_tables(tables: dict[str, DataFrame]) -> SimpleNamespace:
     return SimpleNamespace(**{n: tables[n].select(*REQUIRED_COLUMNS[n]) for n in REQUIRED_COLUMNS})
 
 
-def load(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
-    """All CRM views as lazily evaluated DataFrames (no action runs here)."""
-    cache: dict[str, DataFrame] = {}
-
-    def read(name: str) -> DataFrame:
-        if name not in cache:
-            cache[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        return cache[name]
-
-    views = {name: _spark_view(spark, sf_dir, v, read) for name, v in VIEWS.items()}
-    views["calendar"] = calendar(spark)
-    views["lead_source_map"] = lead_source_map(spark)
-    return SimpleNamespace(**views)
+class CrmViews:
+    """CRM views built on first access (a report touching two views reads two tables)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
+        self._views: dict[str, DataFrame] = {}
+
+    def _read(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return self._tables[name]
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        if name not in self._views:
+            if name == "calendar":
+                self._views[name] = calendar(self._spark)
+            elif name == "lead_source_map":
+                self._views[name] = lead_source_map(self._spark)
+            elif name in VIEWS:
+                self._views[name] = _spark_view(self._spark, self._dir, VIEWS[name], self._read)
+            else:
+                raise AttributeError(name)
+        return self._views[name]
+
+
+def load(spark: SparkSession, sf_dir: str) -> CrmViews:
+    """All CRM views over the driver tables in ``sf_dir``, as lazily built DataFrames."""
+    return CrmViews(spark, sf_dir)
 
 
 # ---------------------------------------------------------------- DuckDB side

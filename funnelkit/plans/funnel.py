@@ -92,6 +92,12 @@ def _bits(name: str, df: DataFrame, key: str, code: Column) -> DataFrame:
 
 # --- inputs ----------------------------------------------------------------------
 
+# columns of the activity and call sides that the funnel metrics read
+ACTIVITY_COLUMNS = ["activity_id", "activity_account_id", "activity_contact_id", "activity_account_segment",
+                    "owner_name", "owner_role"]
+CALL_COLUMNS = ["discovery_ids", "disco_created_opp_id", "disco_account_segment", "disco_account_tas",
+                "activity_disco_account_ids", "activity_disco_contact_ids"]
+
 
 class FunnelInputs:
     """The four sides of the chain, reduced to what the metrics need, plus per-key summaries."""
@@ -104,12 +110,15 @@ class FunnelInputs:
         self._summary = None
         self.opps = opportunity_stage_rows(crm, window, extra=("est_gmv",))
         # each side is read by several branches: compute it once
+        # Only the columns the metrics read are materialised (a checkpoint is not pruned later).
+        activities = qualified_activities(crm, window).select(*ACTIVITY_COLUMNS)
         if activity_rows:
-            self.activities = materialize(qualified_activities(crm, window))
-            self.calls = materialize(discovery_call_rows(crm, window, activities=self.activities))
+            self.activities = materialize(activities)
+            calls = discovery_call_rows(crm, window, activities=self.activities)
         else:
-            self.activities = qualified_activities(crm, window)
-            self.calls = materialize(discovery_call_rows(crm, window, with_activity=False))
+            self.activities = activities
+            calls = discovery_call_rows(crm, window, with_activity=False)
+        self.calls = materialize(calls.select(*CALL_COLUMNS))
         self.leads = materialize(self._lead_base(crm, window))
         # Both lead paths are only ever read for contacts / accounts that have a lead in
         # the window, so they are semi-joined to the lead base before anything else.

@@ -44,7 +44,9 @@ def q4_active_reps(crm, p: ReportParams = DEFAULT, activities: DataFrame | None
 
 def activity_reports(crm, p: ReportParams = DEFAULT) -> dict[str, DataFrame]:
     """Q2-Q4 from one qualified-activity table (the three reports share it), computed once."""
-    a = materialize(qualified_activities(crm, p.window, with_fiscal=True))
+    cols = ["activity_id", "activity_account_id", "activity_account_segment", "activity_account_vertical",
+            "owner_name", "owner_role", "activity_type", "fiscal_year", "fiscal_quarter"]
+    a = materialize(qualified_activities(crm, p.window, with_fiscal=True).select(*cols))
     return {"q2_accounts_touched": q2_accounts_touched(crm, p, a),
             "q3_activity_volume": q3_activity_volume(crm, p, a),
             "q4_active_reps": q4_active_reps(crm, p, a)}

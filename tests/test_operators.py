@@ -92,6 +92,10 @@ def test_interval_join_bounds_and_unmatched(spark):
     got = sorted((r["call"], r["opp"]) for r in out.collect())
     # c2's window ends 1997-07-15; c3 has no match and is kept once
     assert got == sorted([("c1", "o_1s"), ("c1", "o_in"), ("c2", "o_c2"), ("c3", None)])
+    inner = interval_join(calls, opps, left_key="acct", right_key="oacct", left_ts="t", right_ts="ot",
+                          months=6, left_id="call", how="inner")
+    assert sorted((r["call"], r["opp"]) for r in inner.collect()) == [("c1", "o_1s"), ("c1", "o_in"), ("c2", "o_c2")]
+    assert inner.columns == calls.columns + opps.columns
 
 
 def test_coalesce_segment_sets(spark):

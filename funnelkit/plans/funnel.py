@@ -47,8 +47,9 @@ SEGMENT_BITS = {"SMB": 2, "Key": 4, "Self-Service": 8, "Enterprise": 16}
 OTHER_BIT = 32
 KEEP = sum(SEGMENT_BITS.values())
 NOT_NULL = 63 ^ NULL_BIT
-# ACCOUNT_BASED_SEGMENT relabels Self-Service as SMB
-BIT_LABELS = [(2, "SMB"), (4, "Key"), (8, "SMB"), (16, "Enterprise")]
+# ACCOUNT_BASED_SEGMENT relabels Self-Service as SMB: one label per group of bits, so an id
+# reaching both SMB and Self-Service is emitted once
+BIT_LABELS = [(2 | 8, "SMB"), (4, "Key"), (16, "Enterprise")]
 
 
 def seg_code(seg: Column) -> Column:
@@ -198,7 +199,7 @@ def _anchored(so: Column, rest: Column) -> Column:
 
 def _emit(df: DataFrame, mask: Column, metrics: dict[str, Column]) -> DataFrame:
     """(segment label, metric, value) rows for every kept segment bit in ``mask``."""
-    labels = F.array(*[F.struct(F.lit(bit).alias("bit"), F.lit(lbl).alias("label")) for bit, lbl in BIT_LABELS])
+    labels = F.array(*[F.struct(F.lit(bits).alias("bit"), F.lit(lbl).alias("label")) for bits, lbl in BIT_LABELS])
     mv = F.array(F.struct(F.lit("_present").alias("metric"), F.lit(None).cast("string").alias("value")),
                  *[F.struct(F.lit(n).alias("metric"), c.cast("string").alias("value")) for n, c in metrics.items()])
     return (df.select(mask.alias("_mask"), mv.alias("_mv"))

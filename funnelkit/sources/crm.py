@@ -136,10 +136,11 @@ VIEWS: dict[str, View] = {
         ("passed_sql", "(c.c_custkey + {K}) % 3 = 0"),
         ("leadsource", _source("c.c_custkey * 5 + {K}")),
     ], copies=(0, 1)),
+    # both contacts of the ordering customer hold a role on each opportunity
     "opportunity_contact_role": View("orders", "o", [
-        ("contactid", f"'003' || {pad('2 * o.o_custkey + o.o_orderkey % 2')}"),
+        ("contactid", f"'003' || {pad('2 * o.o_custkey + (o.o_orderkey + {K}) % 2')}"),
         ("opportunityid", f"'006' || {pad('o.o_orderkey')}"),
-    ]),
+    ], copies=(0, 1)),
     "opportunity_fact": View("orders", "o", [
         ("opportunity_id", f"'006' || {pad('o.o_orderkey')}"),
         ("opportunity_name", "'Opportunity ' || cast(o.o_orderkey as string)"),

@@ -20,6 +20,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from funnelkit.llm.shared import BLANKS, text_key
 
@@ -70,7 +71,7 @@ def _gone(starts: Column, window: int) -> Column:
     return F.flatten(F.zip_with(starts, after, lambda a, b: F.sequence(a, a + F.least(F.lit(window), b - a) - 1)))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
     """Texts without the solid lines at the given indexes, and without blank lines that follow one."""
     out = []

@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,14 +100,15 @@ _ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items",
                     ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def _parts(benchmark: DataFrame) -> list[list[tuple[str | None, str | None]]]:
-    """The items in parts of PART_BYTES of text at most (a single longer item is a part), read part by part."""
+def _parts(benchmark: DataFrame) -> list[tuple[str, Broadcast]]:
+    """A name and a broadcast of (id, text) items for each part of the benchmark, read part by part."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").filter("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-total // (PART_BYTES // 2)) or 1
     dealt = items.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(count)))
-    return [spark.sparkContext.broadcast([(r.id, r.text) for r in dealt.filter(F.col("part") == k).collect()]) for k in range(count)]
+    return [(uuid.uuid4().hex, spark.sparkContext.broadcast([(r.id, r.text) for r in dealt.filter(F.col("part") == k).collect()]))
+            for k in range(count)]
 
 
 def scan_column(text: Column, benchmark: DataFrame, window: int = WINDOW) -> Column:
@@ -114,7 +117,7 @@ def scan_column(text: Column, benchmark: DataFrame, window: int = WINDOW) -> Col
 
     @F.arrow_udf(RESULT)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scanners = [_scanner(p, window) for p in parts]
+        scanners = [_scanner(name, part, window) for name, part in parts]
         for texts in batches:
             out = []
             for raw in texts.cast(pa.binary()).to_pylist():
@@ -130,17 +133,16 @@ def scan_column(text: Column, benchmark: DataFrame, window: int = WINDOW) -> Col
     return scan(text)
 
 
-_scanners: dict[tuple[int, int], Scanner] = {}
+_scanners: dict[str, Scanner] = {}
 
 
-def _scanner(part, window: int) -> Scanner:
-    """The scanner of this Python process for a broadcast part; the latest few are kept."""
-    key = part.id if hasattr(part, "id") else id(part), window
-    if key not in _scanners:
+def _scanner(name: str, part: Broadcast, window: int) -> Scanner:
+    """The scanner of this Python process for a part; the latest few are kept."""
+    if name not in _scanners:
         if len(_scanners) >= 4:
             _scanners.pop(next(iter(_scanners)))
-        _scanners[key] = Scanner(part.value, window)
-    return _scanners[key]
+        _scanners[name] = Scanner(part.value, window)
+    return _scanners[name]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where that is unset and no checkpoint folder was given (tests, one machine) is one made
     and set."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="funnelkit-llm-")
         context.setCheckpointDir(named)

@@ -83,7 +83,7 @@ def near(queries: np.ndarray, block: np.ndarray, n: int, radius: int = RADIUS) -
 
     A saturating carry-save counter: ``counters[i]`` holds bit i of every distance; ``over`` has the
     lanes that passed the radius.  None once every lane is over."""
-    width = radius.bit_length()
+    width = max(1, radius.bit_length())
     counters = [np.zeros((len(queries), block.shape[1]), dtype=np.uint64) for _ in range(width)]
     over = np.zeros_like(counters[0])
     tail = n % 64

@@ -4,37 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from funnelkit import oracle
-from funnelkit.plans import reports
+from funnelkit import oracle as report_sql
+from funnelkit.plans import operator_queries, reports
 from funnelkit.sources import crm as crm_views
 
-_REGISTRY = dict(reports.REPORTS)
-_ORACLE = dict(oracle.QUERIES)
-
-
-def register(name: str, fn, sql: str | None) -> None:
-    _REGISTRY[name] = fn
-    if sql is not None:
-        _ORACLE[name] = sql
+_REGISTRY = {**reports.REPORTS, **{name: fn for name, (fn, _) in operator_queries.OPERATORS.items()}}
+_ORACLE = {**report_sql.QUERIES, **{name: sql for name, (_, sql) in operator_queries.OPERATORS.items()}}
 
 
 def names() -> list[str]:
-    _load_operator_queries()
     return list(_REGISTRY)
 
 
 def oracle() -> dict[str, str]:
-    _load_operator_queries()
     return dict(_ORACLE)
 
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    _load_operator_queries()
     return _REGISTRY[name](crm_views.load(spark, sf_dir))
-
-
-def _load_operator_queries() -> None:
-    try:
-        from funnelkit.plans import operator_queries  # noqa: F401  (registers on import)
-    except ImportError:
-        pass

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from funnelkit.functions import exprs as X
-from funnelkit.operators.relational import first_per_key, interval_join
+from funnelkit.operators.relational import first_per_key, full_outer_join, interval_join
 from funnelkit.plans.funnel import coal, seg_code
 
 
@@ -92,10 +92,28 @@ def test_interval_join_bounds_and_unmatched(spark):
     got = sorted((r["call"], r["opp"]) for r in out.collect())
     # c2's window ends 1997-07-15; c3 has no match and is kept once
     assert got == sorted([("c1", "o_1s"), ("c1", "o_in"), ("c2", "o_c2"), ("c3", None)])
-    inner = interval_join(calls, opps, left_key="acct", right_key="oacct", left_ts="t", right_ts="ot",
-                          months=6, left_id="call", how="inner")
-    assert sorted((r["call"], r["opp"]) for r in inner.collect()) == [("c1", "o_1s"), ("c1", "o_in"), ("c2", "o_c2")]
-    assert inner.columns == calls.columns + opps.columns
+    assert out.columns == calls.columns + opps.columns
+
+
+def test_interval_join_repeated_left_ids_and_null_keys(spark):
+    ts = dt.datetime
+    calls = spark.createDataFrame([("c1", "A", ts(1997, 1, 1)), ("c1", "A", ts(1997, 1, 1)), ("c1", "B", ts(1997, 1, 1)),
+                                   ("c2", None, ts(1997, 1, 1)), ("c3", "A", None), (None, "A", ts(1999, 1, 1))],
+                                  "call string, acct string, t timestamp_ntz")
+    opps = spark.createDataFrame([("o1", "A", ts(1997, 2, 1)), ("o2", "A", ts(1997, 3, 1)), ("o3", None, ts(1997, 2, 1))],
+                                 "opp string, oacct string, ot timestamp_ntz")
+    out = interval_join(calls, opps, left_key="acct", right_key="oacct", left_ts="t", right_ts="ot", months=6, left_id="call")
+    got = sorted((str(r["call"]), str(r["acct"]), str(r["opp"])) for r in out.collect())
+    assert got == sorted([("c1", "A", "o1"), ("c1", "A", "o2")] * 2 + [
+        ("c1", "B", "None"), ("c2", "None", "None"), ("c3", "A", "None"), ("None", "A", "None")])
+
+
+def test_full_outer_join_keeps_null_keys_apart(spark):
+    left = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), (None, 4)], "k string, x int")
+    right = spark.createDataFrame([("a", 10), ("c", 20), (None, 30)], "j string, y int")
+    joined = full_outer_join(left, right, "k", "j")
+    assert sorted(map(str, map(tuple, joined.collect()))) == sorted(map(str, [
+        ("a", 1, "a", 10), ("b", 2, None, None), (None, None, "c", 20), (None, 3, None, None), (None, 4, None, None), (None, None, None, 30)]))
 
 
 def test_coalesce_segment_sets(spark):
@@ -117,9 +135,8 @@ def test_distinct_count_long_keeps_all_null_groups_and_null_key(spark):
 
 
 def test_win_rate_no_closed_quarter_and_closed_upper_bound(spark):
-    from types import SimpleNamespace
-
     from funnelkit.plans.opportunities import win_rate
+    from funnelkit.sources.crm import GivenViews
     schema = ("opportunity_id string, stage string, opportunity_amount double, close_date timestamp_ntz, "
               "created_date timestamp_ntz, opportunity_owner string, opportunity_owner_role string, "
               "opportunity_owner_segment string, self_service_flag boolean, est_gmv double, "
@@ -137,7 +154,7 @@ def test_win_rate_no_closed_quarter_and_closed_upper_bound(spark):
             opp(3, "Closed Lost", ts(1997, 11, 2), "Q2", 10.0, 20),
             opp(4, "Closed Won", ts(1998, 10, 1), "Q3"),                  # exactly the closed upper bound: kept
             opp(5, "Closed Won", ts(1998, 10, 1, 0, 0, 1), "Q4")]         # one second later: dropped
-    crm = SimpleNamespace(opportunity_fact=spark.createDataFrame(rows, schema))
+    crm = GivenViews({"opportunity_fact": spark.createDataFrame(rows, schema)})
     out = {r["fq_create"]: r for r in win_rate(crm, "1997-07-01", "1998-10-01").collect()}
     assert set(out) == {"Q1-1998", "Q2-1998", "Q3-1998"}
     assert out["Q1-1998"]["win_rate"] is None and out["Q1-1998"]["open"] == 1
@@ -148,11 +165,10 @@ def test_win_rate_no_closed_quarter_and_closed_upper_bound(spark):
 
 def test_win_rate_keeps_decimal_money(spark):
     from decimal import Decimal
-    from types import SimpleNamespace
-
     from pyspark.sql import types as T
 
     from funnelkit.plans.opportunities import win_rate
+    from funnelkit.sources.crm import GivenViews
     schema = ("opportunity_id string, stage string, opportunity_amount decimal(38,2), close_date timestamp_ntz, "
               "created_date timestamp_ntz, opportunity_owner string, opportunity_owner_role string, "
               "opportunity_owner_segment string, self_service_flag boolean, est_gmv decimal(38,2), "
@@ -164,7 +180,7 @@ def test_win_rate_keeps_decimal_money(spark):
              "Q2", 1998, "Q2", 1998, True),
             ("b", "Closed Lost", Decimal("1.00"), t, t, "o", "AE", "SMB", False, Decimal("30.75"), 3, "x", "v",
              "Q2", 1998, "Q2", 1998, True)]
-    out = win_rate(SimpleNamespace(opportunity_fact=spark.createDataFrame(rows, schema)), "1997-07-01", "1998-10-01")
+    out = win_rate(GivenViews({"opportunity_fact": spark.createDataFrame(rows, schema)}), "1997-07-01", "1998-10-01")
     assert isinstance(out.schema["won_est_gmv"].dataType, T.DecimalType)
     r = out.collect()[0]
     assert r["won_est_gmv"] == Decimal("10.25") and r["lost_est_gmv"] == Decimal("30.75") and r["win_rate"] == 0.5

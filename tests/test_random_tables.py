@@ -19,12 +19,11 @@ import pyarrow.parquet as pq
 import pytest
 
 import oracle_check as oc
-from funnelkit import oracle
+from funnelkit import catalog, oracle
 from funnelkit.params import ReportParams
 from funnelkit.plans import reports
 from funnelkit.sources import crm as crm_views
 
-import __spark_entry__ as E
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
@@ -109,9 +108,8 @@ def _check(spark_df, con, sql):
 
 def test_all_queries_on_random_tables(spark, random_dir):
     con = _duck(random_dir)
-    qs, sql = E.queries(), E.oracle_sql()
-    for name in sorted(qs):
-        _check(qs[name](spark, random_dir), con, sql[name])
+    for name in sorted(catalog.names()):
+        _check(catalog.run(spark, random_dir, name), con, catalog.oracle()[name])
 
 
 @pytest.mark.parametrize("p", [ReportParams("1995-01-01", "2002-01-01", "1994-01-01"),
@@ -124,21 +122,3 @@ def test_funnel_and_calls_on_random_tables(spark, random_dir, p):
     for name in ["q5_discovery_calls", "q6_full_funnel", "q7_lead_validation", "q8_inbound_leads",
                  "q9_won_with_lead", "q10_opps_created", "q11_win_rate", "q1_rep_count_by_quarter"]:
         _check(reports.REPORTS[name](views, p), con, built[name])
-
-
-def test_literal_chain_equals_factored_funnel(spark, random_dir):
-    from funnelkit.plans.funnel import full_funnel, full_funnel_literal
-    views = crm_views.load(spark, random_dir)
-    p = ReportParams("1995-01-01", "2002-01-01", "1994-01-01")
-    a = oc.fingerprint(full_funnel(views, p.window).toPandas())
-    b = oc.fingerprint(full_funnel_literal(views, p.window).toPandas())
-    assert a == b
-
-
-def test_shared_funnel_inputs_give_the_same_reports(spark, random_dir):
-    from funnelkit.plans.funnel import funnel_reports, full_funnel, won_with_lead
-    views = crm_views.load(spark, random_dir)
-    w = ReportParams("1995-01-01", "2002-01-01", "1994-01-01").window
-    both = funnel_reports(views, w)
-    assert oc.fingerprint(both["q6_full_funnel"].toPandas()) == oc.fingerprint(full_funnel(views, w).toPandas())
-    assert oc.fingerprint(both["q9_won_with_lead"].toPandas()) == oc.fingerprint(won_with_lead(views, w).toPandas())

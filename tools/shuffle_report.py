@@ -1,11 +1,10 @@
 """Wall time and shuffle volume per query, from Spark's event log.
 
-Runs the named queries (registered keys, plus ``q6_literal`` for the literal
-full-outer chain) through the noop sink with the event log written to a fresh
+Runs the named queries through the noop sink with the event log written to a fresh
 scratch folder, tags each query's jobs with ``setJobDescription`` and sums the
 task metrics of their stages.
 
-    python tools/shuffle_report.py /root/testdata/sf0.1 q5_discovery_calls,q6_full_funnel,q6_literal
+    python tools/shuffle_report.py /root/testdata/sf0.1 q5_discovery_calls,q6_full_funnel
 """
 
 from __future__ import annotations
@@ -23,9 +22,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from funnelkit import catalog  # noqa: E402
-from funnelkit.params import DEFAULT  # noqa: E402
-from funnelkit.plans.funnel import full_funnel_literal  # noqa: E402
-from funnelkit.session import ensure_checkpoint_dir  # noqa: E402
 from funnelkit.sources import crm  # noqa: E402
 
 
@@ -38,7 +34,6 @@ def session(log_dir: str) -> SparkSession:
              .config("spark.eventLog.rolling.enabled", "false").config("spark.eventLog.compress", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -74,7 +69,7 @@ def main() -> None:
     for name in names:
         sc.setJobDescription(name)
         t0 = time.perf_counter()
-        df = full_funnel_literal(views, DEFAULT.window) if name == "q6_literal" else catalog.run(spark, sf_dir, name)
+        df = catalog.run(spark, sf_dir, name)
         df.write.format("noop").mode("overwrite").save()
         timing[name] = round(time.perf_counter() - t0, 2)
     sc.setJobDescription(None)

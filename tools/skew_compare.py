@@ -1,13 +1,6 @@
-"""Factored vs literal full funnel on a skewed copy of the driver tables.
+"""Time every report on the driver tables and on a copy in which one customer holds a third of orders and events.
 
-Derives, with Spark, a copy of ``sf_dir`` in which a third of the orders
-(by a hash of the order key) belong to one customer and a third of the events to
-one user -- one hot account holding a third of the activity -- writes it to a
-fresh scratch folder, and times ``full_funnel`` (factored) against
-``full_funnel_literal`` (the reference's full outer chain) on the original and
-the skewed copy.  The literal run is cancelled after ``--timeout`` seconds.
-
-    python tools/skew_compare.py /root/testdata/sf0.01 --timeout 300
+``python tools/skew_compare.py SF_DIR [--timeout SEC]`` prints one JSON line with seconds per report for both.
 """
 
 from __future__ import annotations
@@ -24,8 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from funnelkit.params import DEFAULT  # noqa: E402
-from funnelkit.plans.funnel import full_funnel, full_funnel_literal  # noqa: E402
+from funnelkit.plans import reports  # noqa: E402
 from funnelkit.session import get_session  # noqa: E402
 from funnelkit.sources import crm  # noqa: E402
 
@@ -68,14 +60,10 @@ def main() -> None:
     spark = get_session(cores="8", shuffle_partitions=16, app="funnelkit-skew")
     scratch = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     skewed_copy(spark, args.sf_dir, scratch)
-    w = DEFAULT.window
     out = {}
     for label, d in (("original", args.sf_dir), ("skewed", scratch)):
         views = crm.load(spark, d)
-        out[label] = {
-            "factored_sec": timed(spark, lambda: full_funnel(views, w), args.timeout),
-            "literal_sec": timed(spark, lambda: full_funnel_literal(views, w), args.timeout),
-        }
+        out[label] = {name: timed(spark, lambda: report(views), args.timeout) for name, report in reports.REPORTS.items()}
     print(json.dumps({"sf_dir": args.sf_dir, "scratch": scratch, **out}))
 
 

@@ -4,7 +4,6 @@ Entry points:
 
 * ``funnelkit.sources.crm.load(spark, folder)`` / ``from_tables({...})`` -> CRM views
 * ``funnelkit.plans.reports.REPORTS`` -> the eleven reports, ``(views, ReportParams) -> DataFrame``
-* ``funnelkit.plans.funnel.funnel_reports`` / ``reports.activity_reports`` -> reports that share inputs
 * ``funnelkit.catalog`` -> every registered query with its DuckDB oracle SQL
 * ``python -m funnelkit`` -> run one report from the command line
 """

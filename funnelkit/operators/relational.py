@@ -3,7 +3,8 @@
 * ``first_per_key``  -- QUALIFY ROW_NUMBER() OVER (PARTITION BY k ORDER BY o) = 1 (W1/W2)
 * ``interval_join``  -- equi key + open time range relative to the left row (J5),
                         binned by month so one hot key does not land in one task
-* ``calendar_join``  -- date / timestamp -> fiscal attributes from a bounded calendar (J6-J8)
+* ``calendar_join``  -- date / timestamp -> fiscal attributes from a calendar (J6-J8)
+* ``full_outer_join`` -- two relations, NULL keys kept out of the shuffle (J11)
 * ``union_all``      -- positional bag union of conformed branches (U1)
 * ``distinct_count_long`` -- many COUNT(DISTINCT) over one grouping, as a long
                         (group, metric, value) relation instead of an Expand per metric (A3)
@@ -26,65 +27,70 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], rn: str =
     return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).drop(rn)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage (reliable checkpoint).
-
-    Used for intermediates that several branches of one report read.  The files
-    go to the cluster's shared ``spark.checkpoint.dir``; a lost executor is
-    recovered from them instead of recomputing the whole upstream plan.
-    """
-    from funnelkit.session import ensure_checkpoint_dir
-
-    try:
-        ensure_checkpoint_dir(df.sparkSession)
-    except AttributeError:
-        pass  # no SparkContext in this session type: the server's spark.checkpoint.dir applies
-    return df.checkpoint(eager=True)
-
-
 def month_index(ts: Column) -> Column:
     return F.year(ts) * 12 + F.month(ts)
 
 
 def interval_join(left: DataFrame, right: DataFrame, *, left_key: str, right_key: str,
-                  left_ts: str, right_ts: str, months: int, left_id: str,
-                  how: str = "left") -> DataFrame:
-    """Rows of ``right`` with the same key and ``left_ts < right_ts < left_ts + months``.
-
-    The right side is tagged with the month of ``right_ts``; each left row's
-    (id, key, time) is replicated into the ``months + 1`` month buckets its window
-    can touch, and the join runs on (key, bucket) with the exact range as a
-    residual predicate.  A right row sits in exactly one bucket, so each matching
-    pair is produced once.  Replication is a fixed factor, and a key holding a
-    third of all rows is spread over its months instead of landing in one task.
-    The narrow pairs are then joined back to the full left rows on ``left_id``
-    (unique per left row): ``how="left"`` keeps unmatched left rows once with
-    NULL right columns, ``how="inner"`` drops them.
+                  left_ts: str, right_ts: str, months: int, left_id: str) -> DataFrame:
+    """Left join of ``right`` rows with the same key and ``left_ts < right_ts < left_ts + months``.
+
+    The right side is tagged with the month of ``right_ts``; each left row is
+    replicated into the ``months + 1`` month buckets its window can touch, and the
+    join runs once on (key, bucket) with the exact range as a residual predicate.
+    A right row sits in exactly one bucket, so each matching pair is produced
+    once.  Replication is a fixed factor, and a key holding a third of all rows
+    is spread over its months instead of landing in one task.
+
+    Whether a left row matches depends on its key and time alone, so one window
+    over (``left_id``, key, time) tells which rows found nothing: those keep the
+    copy of their first bucket.  ``left_id`` need not be unique; repeated left
+    rows each keep their own matches.  Rows with a NULL key or time match
+    nothing and are spread over buckets of their own.
     """
-    bucket = "_month_bucket"
-    lid, lk, lt = "_l_id", "_l_key", "_l_ts"
-    upper = F.col(lt) + F.make_ym_interval(F.lit(0), F.lit(months))
-    l_exp = (left.select(F.col(left_id).alias(lid), F.col(left_key).alias(lk), F.col(left_ts).alias(lt))
-             .where(F.col(lk).isNotNull())
-             .withColumn(bucket, F.explode(F.sequence(month_index(F.col(lt)), month_index(upper)))))
-    r_tag = right.withColumn(bucket, month_index(F.col(right_ts)))
-    cond = ((l_exp[lk] == r_tag[right_key]) & (l_exp[bucket] == r_tag[bucket])
-            & (r_tag[right_ts] > l_exp[lt]) & (r_tag[right_ts] < upper))
-    pairs = l_exp.join(r_tag, cond, "inner").select(lid, *right.columns)
-    out = left.join(pairs, left[left_id] == pairs[lid], "left" if how == "left" else "inner")
-    return out.drop(lid)
+    bucket, home, some = "_bucket", "_home", "_some"
+    lk, lt = F.col(left_key), F.col(left_ts)
+    upper = lt + F.make_ym_interval(F.lit(0), F.lit(months))
+    first = month_index(lt)
+    alone = F.array(-F.pmod(F.xxhash64(left_id), F.lit(997)).cast("int") - 1)
+    buckets = F.when(lk.isNull() | lt.isNull(), alone).otherwise(F.sequence(first, month_index(upper)))
+    l_exp = left.select("*", F.posexplode(buckets).alias(home, bucket)).alias("l")
+    hit = "_hit"
+    r_tag = right.withColumns({"_r_bucket": month_index(F.col(right_ts)), hit: F.lit(True)}).alias("r")
+    cond = ((lk == F.col(f"r.{right_key}")) & (F.col(bucket) == F.col("_r_bucket"))
+            & (F.col(f"r.{right_ts}") > lt) & (F.col(f"r.{right_ts}") < upper))
+    pairs = l_exp.join(r_tag, cond, "left")
+    same = Window.partitionBy(*[F.col(f"l.{c}") for c in dict.fromkeys([left_id, left_key, left_ts])])
+    pairs = pairs.withColumn(some, F.max(hit).over(same))
+    kept = pairs.where(F.col(hit) | (F.col(some).isNull() & (F.col(home) == 0)))
+    return kept.select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in right.columns])
 
 
 def calendar_join(df: DataFrame, calendar: DataFrame, on: Column, prefix: str = "",
                   columns: tuple[str, ...] = ("fiscal_year", "fiscal_quarter")) -> DataFrame:
     """Left join to the calendar on a date expression (``F.to_date(ts)`` for timestamps).
 
-    The calendar is a generated day table over a fixed range (thousands of rows),
-    so broadcasting it is safe at any data size.
+    Spark chooses the join from the calendar's size.  A NULL date has NULL attributes; a date that
+    the calendar does not have is an error, not a NULL label.
     """
-    key = f"_{prefix}date_key"
-    cal = F.broadcast(calendar.select(F.col("date_key").alias(key), *[F.col(c).alias(prefix + c) for c in columns]))
-    return df.join(cal, on == F.col(key), "left").drop(key)
+    key, day = f"_{prefix}date_key", f"_{prefix}day"
+    cal = calendar.select(F.col("date_key").alias(key), *[F.col(c).alias(f"_{prefix}{c}") for c in columns])
+    joined = df.withColumn(day, on).join(cal, F.col(day) == F.col(key), "left")
+    missing = F.raise_error(F.concat(F.lit("no calendar entry for "), F.col(day).cast("string")))
+    for c in columns:
+        found = F.col(f"_{prefix}{c}")
+        joined = joined.withColumn(prefix + c, F.when(F.col(day).isNotNull() & F.col(key).isNull(), missing.cast("int")).otherwise(found))
+    return joined.drop(key, day, *[f"_{prefix}{c}" for c in columns])
+
+
+def full_outer_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """FULL OUTER JOIN on one key.  Rows whose key is NULL match nothing and go past the join, so they do not
+    meet in one task (Spark does not split a full outer join)."""
+    both = left.where(F.col(left_key).isNotNull()).join(
+        right.where(F.col(right_key).isNotNull()), F.col(left_key) == F.col(right_key), "full")
+    lone_left = left.where(F.col(left_key).isNull())
+    lone_right = right.where(F.col(right_key).isNull())
+    return both.unionByName(lone_left, allowMissingColumns=True).unionByName(lone_right, allowMissingColumns=True)
 
 
 def union_all(*branches: DataFrame) -> DataFrame:

@@ -83,9 +83,13 @@ def activity_union(crm) -> DataFrame:
         "whoid", "whatid", *_keys(j))
 
 
-def qualified_activities(crm, window: DateWindow, with_fiscal: bool = False) -> DataFrame:
+def qualified_activities(crm, window: DateWindow, with_fiscal: bool = False, lookups: bool = True,
+                         accounts: DataFrame | None = None) -> DataFrame:
     """Outbound activities by a sales role (at the time of the activity), with account.
 
+    ``lookups=False`` leaves out contact and account.  ``accounts`` (one column of distinct
+    account ids) keeps the activities of those accounts only, found through their contacts.
+
     Filters on union columns are applied before the contact/account lookups and
     are pushed through the union into both scans by Catalyst.
     """
@@ -100,11 +104,15 @@ def qualified_activities(crm, window: DateWindow, with_fiscal: bool = False) ->
     )
     if with_fiscal:
         ac = calendar_join(ac, crm.calendar, F.col("date"))
+    if not lookups:
+        return ac
     c = crm.contact.select(F.col("id").alias("activity_contact_id"), F.col("accountid").alias("_c_account"))
+    if accounts is not None:
+        c = c.join(accounts, c["_c_account"] == accounts[accounts.columns[0]], "left_semi")
     a = crm.account.select(F.col("id").alias("activity_account_id"),
                            F.col("segment").alias("activity_account_segment"),
                            F.col("vertical").alias("activity_account_vertical"))
-    out = (ac.join(c, ac["whoid"] == c["activity_contact_id"], "left")
+    out = (ac.join(c, ac["whoid"] == c["activity_contact_id"], "left" if accounts is None else "inner")
              .join(a, F.col("_c_account") == a["activity_account_id"], "left")
              .drop("_c_account"))
     extra = ["fiscal_year", "fiscal_quarter"] if with_fiscal else []

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.functions import exprs as X
-from funnelkit.operators.relational import calendar_join, interval_join
+from funnelkit.operators.relational import calendar_join, first_per_key, interval_join
 from funnelkit.plans.activities import DateWindow, owners, qualified_activities, ts_window
+from funnelkit.plans.opportunities import sales_opps
 
 LOOKAHEAD_MONTHS = 6
 ACTIVITY_PICK = ["activity_contact_id", "activity_id", "owner_name", "owner_role", "activity_account_id"]
@@ -35,20 +36,25 @@ def first_activity_per_contact(activities: DataFrame) -> DataFrame:
     date, which is constant inside the group; with the tie-break on
     ``activity_id`` the survivor is the contact's smallest activity id whatever
     the opportunity.  Taking it per contact up front is the same result without
-    the fan-out, and ``min`` of a struct aggregates map-side, so a contact with a
-    third of all activities still ships one row per partition.
+    the fan-out.  Planned as a top-1 per contact inside each map partition, so a
+    contact with a third of all activities ships one row per partition.
     """
-    best = F.min(F.struct(*ACTIVITY_PICK[1:])).alias("b")
-    return (activities.where(F.col("activity_contact_id").isNotNull())
-            .groupBy("activity_contact_id").agg(best)
-            .select("activity_contact_id", "b.*"))
+    rows = activities.where(F.col("activity_contact_id").isNotNull()).select(*ACTIVITY_PICK)
+    return first_per_key(rows, ["activity_contact_id"], [F.col(c).asc_nulls_first() for c in ACTIVITY_PICK[1:]])
 
 
 def discovery_call_rows(crm, window: DateWindow, activity_window: DateWindow | None = None,
                         with_fiscal: bool = False, activities: DataFrame | None = None,
-                        with_activity: bool = True) -> DataFrame:
+                        with_activity: bool = True, accounts: DataFrame | None = None) -> DataFrame:
     """B5; ``activities`` may pass in already computed qualified activities.
 
+    One row per (call, opportunity), as the reference's QUALIFY keeps: the call side is brought
+    down to one row per call before the interval join (a call row does not depend on the
+    opportunity), and (call, opportunity) pairs are deduplicated after it, so repeated user,
+    account, contact or opportunity rows repeat nothing.
+
+    ``accounts`` (one column of distinct account ids) restricts the calls to those accounts.
+
     ``with_activity=False`` is for callers that read none of the activity
     columns (they come back NULL): the per-contact activity pick is not built.
     """
@@ -58,10 +64,12 @@ def discovery_call_rows(crm, window: DateWindow, activity_window: DateWindow | N
     a = crm.account.select(F.col("id").alias("a_id"), F.col("segment").alias("disco_account_segment"),
                            F.col("vertical").alias("disco_account_vertical"),
                            F.col("amount").alias("disco_account_tas"))
+    if accounts is not None:
+        t = t.join(accounts, t["accountid"] == accounts[accounts.columns[0]], "left_semi")
     own = owners(crm).select("owner_id", F.col("owner_current_role").alias("call_owner_role"),
                              F.col("owner_previous_role").alias("call_owner_previous_role"),
                              F.col("owner_previous_role_end_date").alias("call_owner_previous_role_end_date"))
-    c = crm.contact.select(F.col("id").alias("c_id"))
+    c = crm.contact.select(F.col("id").alias("c_id"), F.col("createddate").alias("c_created"))
 
     calls = (t.join(a, t["accountid"] == a["a_id"], "inner")
               .join(own, t["ownerid"] == own["owner_id"], "left")
@@ -78,17 +86,19 @@ def discovery_call_rows(crm, window: DateWindow, activity_window: DateWindow | N
     calls = (calls
               .select("a_id", "disco_account_segment", "disco_account_vertical", "disco_account_tas",
                       F.col("id").alias("discovery_ids"), F.col("createddate").alias("disco_create_date"),
-                      "activity_id", "owner_name", "owner_role", "activity_account_id", "activity_contact_id"))
+                      "activity_id", "owner_name", "owner_role", "activity_account_id", "activity_contact_id", "c_created"))
+    calls = first_per_key(calls, ["discovery_ids"], [F.col("c_created").asc_nulls_last(), F.col("activity_id").asc_nulls_last()]).drop("c_created")
     if with_fiscal:
         calls = calendar_join(calls, crm.calendar, F.to_date(F.col("disco_create_date")))
 
-    opps = (crm.opportunity_fact.where((F.col("opportunity_sales_flag") == F.lit(True))
-                                       & lookahead_range(window, F.col("created_date")))
+    opps = (sales_opps(crm, "opportunity_id", "account_id", "created_date")
+            .where(lookahead_range(window, F.col("created_date")))
             .select(F.col("opportunity_id").alias("disco_created_opp_id"),
                     F.col("account_id").alias("v_account_id"), "created_date"))
     j = interval_join(calls, opps, left_key="a_id", right_key="v_account_id",
                       left_ts="disco_create_date", right_ts="created_date",
                       months=LOOKAHEAD_MONTHS, left_id="discovery_ids")
+    j = j.distinct()  # one row per pair where opportunity rows repeat; the pairs are already dealt by call
     hit = F.col("activity_id").isNotNull()
     extra = ["fiscal_year", "fiscal_quarter"] if with_fiscal else []
     return j.select(

@@ -31,15 +31,15 @@ CRM object ids are unique in their tables, as primary keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelkit.functions import exprs as X
-from funnelkit.operators.relational import materialize, pivot_distinct_counts
-from funnelkit.plans.activities import DateWindow, owners, qualified_activities
+from funnelkit.operators.relational import pivot_distinct_counts
+from funnelkit.plans.activities import DateWindow, owners, qualified_activities, ts_window
 from funnelkit.plans.calls import discovery_call_rows
 from funnelkit.plans.leads import (ACCOUNT_PATH_MAX_GMV, discovery_ids, filtered_leads)
-from funnelkit.plans.opportunities import opportunity_stage_rows, sales_opps
+from funnelkit.plans.opportunities import stage_ids, opportunity_stage_rows, sales_opps
 
 # --- segment bitmasks ------------------------------------------------------------
 NULL_BIT = 1
@@ -100,96 +100,56 @@ CALL_COLUMNS = ["discovery_ids", "disco_created_opp_id", "disco_account_segment"
                 "activity_disco_account_ids", "activity_disco_contact_ids"]
 
 
-class FunnelInputs:
-    """The four sides of the chain, reduced to what the metrics need, plus per-key summaries."""
-
-    def __init__(self, crm, window: DateWindow, activity_rows: bool = True):
-        """``activity_rows=False``: the caller needs activities only as per-account
-        segment sets and no activity column of the call rows."""
-        self.crm = crm
-        self.window = window
-        self._summary = None
-        self.opps = opportunity_stage_rows(crm, window, extra=("est_gmv",))
-        # each side is read by several branches: compute it once
-        # Only the columns the metrics read are materialised (a checkpoint is not pruned later).
-        activities = qualified_activities(crm, window).select(*ACTIVITY_COLUMNS)
-        if activity_rows:
-            self.activities = materialize(activities)
-            calls = discovery_call_rows(crm, window, activities=self.activities)
-        else:
-            self.activities = activities
-            calls = discovery_call_rows(crm, window, with_activity=False)
-        self.calls = materialize(calls.select(*CALL_COLUMNS))
-        self.leads = materialize(self._lead_base(crm, window))
-        # Both lead paths are only ever read for contacts / accounts that have a lead in
-        # the window, so they are semi-joined to the lead base before anything else.
-        # (distinct first: deduplicated map-side, so an account with many leads ships one row)
-        lead_contacts = (self.leads.where(F.col("lead_cc").isNotNull())
-                         .select(F.col("lead_cc").alias("voc_contact")).distinct())
-        lead_accounts = self.leads.select(F.col("lead_account").alias("vao_account")).distinct()
-        v = sales_opps(crm).select(F.col("opportunity_id").alias("v_opp"))
-        oc = crm.opportunity_contact_role.select(F.col("contactid").alias("voc_contact"), "opportunityid")
-        # contact-role path: (contact, sales opportunity) pairs; a role on a non-sales
-        # opportunity leaves v_opp NULL (the lead row exists, unmatched)
-        self.voc = materialize(oc.join(lead_contacts, "voc_contact", "left_semi")
-                               .join(v, F.col("opportunityid") == v["v_opp"], "left")
-                               .select("voc_contact", "v_opp"))
-        # account path: sales opportunities under the GMV cap, by account
-        self.vao = (sales_opps(crm).where(F.col("est_gmv") < ACCOUNT_PATH_MAX_GMV)
-                    .select(F.col("account_id").alias("vao_account"), F.col("opportunity_id").alias("vao_opp"))
-                    .join(lead_accounts, "vao_account", "left_semi"))
-
-    @staticmethod
-    def _lead_base(crm, window) -> DataFrame:
-        """One row per lead passing the B4 filters, with lead-level ids and flags."""
-        l = filtered_leads(crm, window)
-        c = crm.contact.select(F.col("id").alias("c_id"), F.col("passed_sql").alias("c_passed_sql"))
-        own = owners(crm).select("owner_id", F.col("owner_current_role").alias("lead_owner_role"))
-        j = (l.join(c, F.col("convertedcontactid") == c["c_id"], "left")
-              .join(own, F.col("ownerid") == own["owner_id"], "left"))
-        lid = F.col("id")
-        sql_ok = F.col("c_passed_sql") == F.lit(True)
-        return j.select(
-            lid.alias("lead_id"), F.col("convertedcontactid").alias("lead_cc"),
-            F.col("c_id").alias("lead_contact"), F.col("al_id").alias("lead_account"),
-            seg_code(F.col("lead_account_segment1")).alias("lc"),
-            X.revenue_band_value(F.col("annual_sales_band")).alias("l_tas"),
-            X.id_when(F.col("eligibility_status") == "Eligible", lid).alias("eligible_lead_ids"),
-            X.id_when(F.col("passed_mql") == F.lit(True), lid).alias("mql_lead_id"),
-            X.id_when(F.col("lead_owner_role") == "BDA", lid).alias("sal_lead_id"),
-            X.id_when(sql_ok, lid).alias("sql_lead_id"),
-            (sql_ok & X.free_mail_ok(F.col("email"), "and")).alias("acc_path_ok"),
-        )
-
-    def opp_summary(self) -> DataFrame:
-        """Per opportunity: its own segment code and the segment sets of each side."""
-        if self._summary is None:
-            self._summary = materialize(self._opp_summary())
-        return self._summary
-
-    def _opp_summary(self) -> DataFrame:
-        sd = _bits("sd", self.calls, "disco_created_opp_id", seg_code(F.col("disco_account_segment")))
-        cl = _bits("cl", self.leads, "lead_cc", F.col("lc"))
-        sl = (self.voc.where(F.col("v_opp").isNotNull())
-              .join(cl, self.voc["voc_contact"] == cl["cl_key"], "inner")
-              .groupBy(F.col("v_opp").alias("sl_key")).agg(F.bit_or("cl").alias("sl")))
-        call_ = _bits("call", self.leads, "lead_account", F.col("lc"))
-        sa = _bits("sa", self.activities, "activity_account_id", seg_code(F.col("activity_account_segment")))
-        o = self.opps
-        j = (o.join(sd, o["created_opps"] == sd["sd_key"], "left")
-              .join(sl, o["created_opps"] == sl["sl_key"], "left")
-              .join(call_, o["opp_account_id"] == call_["call_key"], "left")
-              .join(sa, o["opp_account_id"] == sa["sa_key"], "left"))
-        one = F.lit(NULL_BIT)
-        slao = F.when(F.col("est_gmv") < ACCOUNT_PATH_MAX_GMV, F.coalesce(F.col("call"), one)).otherwise(one)
-        return j.select(
-            *o.columns,
-            seg_code(F.col("opp_account_segment")).alias("so"),
-            F.coalesce(F.col("sd"), one).alias("sd"),
-            F.coalesce(F.col("sl"), one).alias("sl"),
-            slao.alias("slao"),
-            F.coalesce(F.col("sa"), one).alias("sa"),
-        )
+OPP_COLUMNS = ["opp_account_id", "opp_account_segment", "created_opps", "est_gmv"]
+COUNTED_OPP_COLUMNS = ["bda_supported_opp", "won_opps_id", "lost_opps_id", "open_opps_id", "launched_opp_ids",
+                       "captured_opp_ids"]
+
+
+def lead_base(crm, window: DateWindow) -> DataFrame:
+    """One row per lead passing the B4 filters, with lead-level ids and flags."""
+    l = filtered_leads(crm, window)
+    c = crm.contact.select(F.col("id").alias("c_id"), F.col("passed_sql").alias("c_passed_sql"))
+    own = owners(crm).select("owner_id", F.col("owner_current_role").alias("lead_owner_role"))
+    j = (l.join(c, F.col("convertedcontactid") == c["c_id"], "left")
+          .join(own, F.col("ownerid") == own["owner_id"], "left"))
+    lid = F.col("id")
+    sql_ok = F.col("c_passed_sql") == F.lit(True)
+    return j.select(
+        lid.alias("lead_id"), F.col("convertedcontactid").alias("lead_cc"),
+        F.col("c_id").alias("lead_contact"), F.col("al_id").alias("lead_account"),
+        seg_code(F.col("lead_account_segment1")).alias("lc"),
+        X.revenue_band_value(F.col("annual_sales_band")).alias("l_tas"),
+        X.id_when(F.col("eligibility_status") == "Eligible", lid).alias("eligible_lead_ids"),
+        X.id_when(F.col("passed_mql") == F.lit(True), lid).alias("mql_lead_id"),
+        X.id_when(F.col("lead_owner_role") == "BDA", lid).alias("sal_lead_id"),
+        X.id_when(sql_ok, lid).alias("sql_lead_id"),
+        (sql_ok & X.free_mail_ok(F.col("email"), "and")).alias("acc_path_ok"),
+    )
+
+
+def summarise(o: DataFrame, calls: DataFrame, leads: DataFrame, voc: DataFrame, activities: DataFrame) -> DataFrame:
+    """Per opportunity of ``o``: its columns, its own segment code and the segment sets of each side."""
+    sd = _bits("sd", calls, "disco_created_opp_id", seg_code(F.col("disco_account_segment")))
+    cl = _bits("cl", leads, "lead_cc", F.col("lc"))
+    sl = (voc.where(F.col("v_opp").isNotNull())
+          .join(cl, voc["voc_contact"] == cl["cl_key"], "inner")
+          .groupBy(F.col("v_opp").alias("sl_key")).agg(F.bit_or("cl").alias("sl")))
+    call_ = _bits("call", leads, "lead_account", F.col("lc"))
+    sa = _bits("sa", activities, "activity_account_id", seg_code(F.col("activity_account_segment")))
+    j = (o.join(sd, o["created_opps"] == sd["sd_key"], "left")
+          .join(sl, o["created_opps"] == sl["sl_key"], "left")
+          .join(call_, o["opp_account_id"] == call_["call_key"], "left")
+          .join(sa, o["opp_account_id"] == sa["sa_key"], "left"))
+    one = F.lit(NULL_BIT)
+    slao = F.when(F.col("est_gmv") < ACCOUNT_PATH_MAX_GMV, F.coalesce(F.col("call"), one)).otherwise(one)
+    return j.select(
+        *o.columns,
+        seg_code(F.col("opp_account_segment")).alias("so"),
+        F.coalesce(F.col("sd"), one).alias("sd"),
+        F.coalesce(F.col("sl"), one).alias("sl"),
+        slao.alias("slao"),
+        F.coalesce(F.col("sa"), one).alias("sa"),
+    )
 
 
 def _anchored(so: Column, rest: Column) -> Column:
@@ -197,16 +157,18 @@ def _anchored(so: Column, rest: Column) -> Column:
     return F.when(so != NULL_BIT, so).otherwise(rest)
 
 
-def _emit(df: DataFrame, mask: Column, metrics: dict[str, Column]) -> DataFrame:
-    """(segment label, metric, value) rows for every kept segment bit in ``mask``."""
+def _emit(df: DataFrame, groups: list[tuple[Column, dict[str, Column]]]) -> DataFrame:
+    """(segment label, metric, value) rows: each group's metrics for every kept segment bit of its mask."""
     labels = F.array(*[F.struct(F.lit(bits).alias("bit"), F.lit(lbl).alias("label")) for bits, lbl in BIT_LABELS])
-    mv = F.array(F.struct(F.lit("_present").alias("metric"), F.lit(None).cast("string").alias("value")),
-                 *[F.struct(F.lit(n).alias("metric"), c.cast("string").alias("value")) for n, c in metrics.items()])
-    return (df.select(mask.alias("_mask"), mv.alias("_mv"))
-            .where(F.col("_mask").bitwiseAND(F.lit(KEEP)) != 0)
-            .select(F.explode(F.filter(labels, lambda s: F.col("_mask").bitwiseAND(s["bit"]) != 0)).alias("s"),
-                    F.explode("_mv").alias("m"))
-            .select(F.col("s.label").alias("account_based_segment"), F.col("m.metric").alias("metric"),
+    none = F.struct(F.lit("_present").alias("metric"), F.lit(None).cast("string").alias("value"))
+    made = F.array(*[F.struct(mask.alias("mask"), F.array(none, *[
+        F.struct(F.lit(n).alias("metric"), c.cast("string").alias("value")) for n, c in metrics.items()]).alias("mv"))
+        for mask, metrics in groups])
+    return (df.select(F.explode(made).alias("g"))
+            .where(F.col("g.mask").bitwiseAND(F.lit(KEEP)) != 0)
+            .select(F.explode(F.filter(labels, lambda s: F.col("g.mask").bitwiseAND(s["bit"]) != 0)).alias("s"), "g.mv")
+            .select("s.label", F.explode("mv").alias("m"))
+            .select(F.col("label").alias("account_based_segment"), F.col("m.metric").alias("metric"),
                     F.col("m.value").alias("value")))
 
 
@@ -219,94 +181,133 @@ FUNNEL_METRICS = [
 ]
 
 
-def funnel_long(inp: FunnelInputs) -> DataFrame:
-    os_ = inp.opp_summary()
+def _by_opportunity(crm, window: DateWindow, calls: DataFrame, leads: DataFrame, activities: DataFrame) -> DataFrame:
+    """Everything that knows an opportunity, met by one shuffle on its id.
+
+    Rows: sales opportunities (``is_deal``; ``inside`` the window or not) with their account's lead and activity masks,
+    calls with an opportunity, and contact roles of contacts that have a lead.  One window per opportunity gives every
+    row the opportunity's own segment code ``so`` (null unless it is inside), ``slao``, ``sa`` and the segment sets of
+    its calls ``sd`` and contact-path leads ``sl``.  A row count per opportunity is its calls and roles: no hot key.
+    """
+    by_contact = leads.where(F.col("lead_cc").isNotNull()).groupBy(F.col("lead_cc").alias("bc_contact")).agg(F.bit_or("lc").alias("cl"))
+    by_account = leads.groupBy(F.col("lead_account").alias("ba_account")).agg(
+        F.bit_or("lc").alias("al"), F.bit_or(F.when(F.col("acc_path_ok"), F.col("lc"))).alias("cq"))
+    sa = _bits("sa_own", activities, "activity_account_id", seg_code(F.col("activity_account_segment")))
+    columns = stage_ids()
+    read = dict.fromkeys(["created_date", *[c for n in [*OPP_COLUMNS, *COUNTED_OPP_COLUMNS] for c in columns[n][0]]])
+    deals = sales_opps(crm, *read)
+    deals = (deals.join(by_account, deals["account_id"] == by_account["ba_account"], "left")
+             .join(sa, deals["account_id"] == sa["sa_own_key"], "left"))
+    inside = ts_window(window, F.col("created_date"))
+    capped = F.coalesce(F.col("est_gmv") < ACCOUNT_PATH_MAX_GMV, F.lit(False))
+    one = F.lit(NULL_BIT)
+    deal_rows = deals.select(
+        F.col("opportunity_id").alias("opp"), F.lit(True).alias("is_deal"), inside.alias("inside"),
+        F.col("account_id").alias("deal_account"), (capped & F.col("ba_account").isNotNull()).alias("account_path"), "cq",
+        F.when(inside, seg_code(F.col("account_segment"))).alias("own_so"),
+        F.when(inside, F.when(capped, F.coalesce("al", one)).otherwise(one)).alias("own_slao"),
+        F.when(inside, F.coalesce("sa_own", one)).alias("own_sa"),
+        *[F.when(inside, columns[n][1]).alias(n) for n in ["created_opps", *COUNTED_OPP_COLUMNS]])
+    call_rows = calls.where(F.col("disco_created_opp_id").isNotNull()).select(
+        F.col("disco_created_opp_id").alias("opp"), seg_code(F.col("disco_account_segment")).alias("dc"),
+        "discovery_ids", "activity_disco_account_ids", "activity_disco_contact_ids")
+    role = crm.opportunity_contact_role
+    role_rows = role.join(by_contact, role["contactid"] == by_contact["bc_contact"], "inner").select(
+        F.col("opportunityid").alias("opp"), F.col("contactid").alias("role_contact"), "cl")
+    rows = deal_rows.unionByName(call_rows, allowMissingColumns=True).unionByName(role_rows, allowMissingColumns=True)
+    w = Window.partitionBy("opp")
+    return rows.select(
+        "*", F.max("own_so").over(w).alias("so"), F.max("own_slao").over(w).alias("slao"), F.max("own_sa").over(w).alias("sa"),
+        F.coalesce(F.max("is_deal").over(w), F.lit(False)).alias("known"),
+        F.coalesce(F.bit_or("dc").over(w), one).alias("sd"), F.coalesce(F.bit_or("cl").over(w), one).alias("sl"))
+
+
+def funnel_long(crm, window: DateWindow) -> DataFrame:
+    activities = qualified_activities(crm, window).select(*ACTIVITY_COLUMNS)
+    calls = discovery_call_rows(crm, window, activities=activities).select(*CALL_COLUMNS)
+    leads = lead_base(crm, window)
+    met = _by_opportunity(crm, window, calls, leads, activities)
     so, sd, sl, slao, sa = (F.col(c) for c in ("so", "sd", "sl", "slao", "sa"))
-    parts = []
-
-    # (1) opportunity-side ids
-    parts.append(_emit(os_, _anchored(so, coal(sd, sl, slao, sa)), {
-        "all_created_opps": F.col("created_opps"), "all_bda_support_op": F.col("bda_supported_opp"),
-        "all_open_opps": F.col("open_opps_id"), "all_won_opps": F.col("won_opps_id"),
-        "all_lost_opps": F.col("lost_opps_id"), "all_launched_opps": F.col("launched_opp_ids"),
-        "all_captured_opps": F.col("captured_opp_ids")}))
-
-    summ = os_.select(F.col("created_opps").alias("m_opp"), "so", "sd", "sl", "slao", "sa")
-
-    # (2) call-side ids: every (call, opportunity) row, matched to OPPS or standing alone
-    d = inp.calls.join(summ, inp.calls["disco_created_opp_id"] == summ["m_opp"], "left")
-    dc = seg_code(F.col("disco_account_segment"))
-    d_mask = F.when(F.col("m_opp").isNotNull(),
-                    _anchored(so, F.when(dc != NULL_BIT, dc).otherwise(coal(sl, slao, sa)))).otherwise(dc)
-    parts.append(_emit(d, d_mask, {
-        "all_discos": F.col("discovery_ids"), "all_disco_to_opps": F.col("disco_created_opp_id"),
-        "all_account_with_disco": F.col("activity_disco_account_ids"),
-        "all_contacts_with_disco": F.col("activity_disco_contact_ids")}))
-
-    # (3) contact-path lead rows.  Per contact, summarise the opportunities it is a role on.
-    vm = inp.voc.join(summ, inp.voc["v_opp"] == summ["m_opp"], "left")
-    matched = F.col("m_opp").isNotNull()
+    matched, none = so.isNotNull(), F.lit(0)
+    is_deal, is_call, is_role = F.col("is_deal").isNotNull(), F.col("dc").isNotNull(), F.col("role_contact").isNotNull()
+    dc, cl, cq, lc = (F.col(c) for c in ("dc", "cl", "cq", "lc"))
+
+    # (1) opportunities, (2) calls with an opportunity, (3) contact-path and (4) account-path opportunity ids
+    deal_mask = F.when(is_deal & matched, _anchored(so, coal(sd, sl, slao, sa))).otherwise(none)
+    call_mask = F.when(~is_call, none).when(
+        matched, _anchored(so, F.when(dc != NULL_BIT, dc).otherwise(coal(sl, slao, sa)))).otherwise(dc)
+    role_mask = F.when(~is_role, none).when(
+        matched, _anchored(so, _or(_nn(sd), _if(_has_null(sd), _or(_nn(cl), _if(_has_null(cl), coal(slao, sa))))))).otherwise(cl)
+    path_mask = F.when(~(is_deal & F.col("account_path") & cq.isNotNull()), none).when(
+        matched, _anchored(so, _or(_nn(sd), _if(_has_null(sd), _or(
+            _nn(sl), _if(_has_null(sl), _or(_nn(cq), _if(_has_null(cq), sa)))))))).otherwise(cq)
+    parts = [_emit(met, [
+        (deal_mask, {
+            "all_created_opps": F.col("created_opps"), "all_bda_support_op": F.col("bda_supported_opp"),
+            "all_open_opps": F.col("open_opps_id"), "all_won_opps": F.col("won_opps_id"),
+            "all_lost_opps": F.col("lost_opps_id"), "all_launched_opps": F.col("launched_opp_ids"),
+            "all_captured_opps": F.col("captured_opp_ids")}),
+        (call_mask, {
+            "all_discos": F.col("discovery_ids"), "all_disco_to_opps": F.col("opp"),
+            "all_account_with_disco": F.col("activity_disco_account_ids"),
+            "all_contacts_with_disco": F.col("activity_disco_contact_ids")}),
+        # a role on another kind of opportunity stands alone, without an id to count
+        (role_mask, {"all_leads_to_opps_artificially_low": F.when(F.col("known"), F.col("opp"))}),
+        (path_mask, {"all_leads_to_opps_artificially_high": F.col("opp")}),
+    ])]
+
+    # calls without an opportunity stand alone
+    alone = calls.where(F.col("disco_created_opp_id").isNull())
+    parts.append(_emit(alone, [(seg_code(F.col("disco_account_segment")), {
+        "all_discos": F.col("discovery_ids"), "all_account_with_disco": F.col("activity_disco_account_ids"),
+        "all_contacts_with_disco": F.col("activity_disco_contact_ids")})]))
+
+    # leads: per contact, what the opportunities it has a role on let through
     through = matched & (so == NULL_BIT) & _has_null(sd)
-    per_contact = vm.groupBy(F.col("voc_contact").alias("pc_contact")).agg(
+    per_contact = met.where(is_role).groupBy(F.col("role_contact").alias("pc_contact")).agg(
         F.bit_or(F.when(matched, F.when(so != NULL_BIT, so).otherwise(_nn(sd))).otherwise(0)).alias("pc_fixed"),
-        F.bool_or(through).alias("pc_through"),
-        F.bit_or(_if(through, coal(slao, sa))).alias("pc_tail"),
+        F.bool_or(F.coalesce(through, F.lit(False))).alias("pc_through"),
+        F.bit_or(F.when(through, coal(slao, sa)).otherwise(0)).alias("pc_tail"),
         F.bool_or(~matched).alias("pc_unmatched"),
     )
-    lb = inp.leads.join(per_contact, inp.leads["lead_cc"] == per_contact["pc_contact"], "left")
-    lc = F.col("lc")
+    # account-path rows that match no opportunity inside the window stand alone with the lead's segment: a lead has
+    # one when its account has no account-path opportunity, or one created outside
+    per_path = met.where(is_deal & F.col("account_path")).groupBy(F.col("deal_account").alias("vs_account")).agg(
+        F.bool_or(~matched).alias("vs_unmatched"))
+    lb = (leads.join(per_contact, leads["lead_cc"] == per_contact["pc_contact"], "left")
+          .join(per_path, leads["lead_account"] == per_path["vs_account"], "left"))
     lead_mask = _or(
         F.coalesce(F.col("pc_fixed"), F.lit(0)),
         _if(F.coalesce(F.col("pc_through"), F.lit(False)),
             F.when(lc != NULL_BIT, lc).otherwise(F.coalesce(F.col("pc_tail"), F.lit(0)))),
         _if(F.coalesce(F.col("pc_unmatched"), F.lit(True)), lc))
     lb = lb.withColumn("lead_mask", lead_mask)
-    parts.append(_emit(lb, F.col("lead_mask"), {
-        "all_eligible_leads": F.col("eligible_lead_ids"), "all_mql_leads": F.col("mql_lead_id"),
-        "all_sal_leads": F.col("sal_lead_id"), "all_sql_leads": F.col("sql_lead_id")}))
+    parts.append(_emit(lb, [
+        (F.col("lead_mask"), {
+            "all_eligible_leads": F.col("eligible_lead_ids"), "all_mql_leads": F.col("mql_lead_id"),
+            "all_sal_leads": F.col("sal_lead_id"), "all_sql_leads": F.col("sql_lead_id")}),
+        (_if(F.coalesce(F.col("vs_unmatched"), F.lit(True)), lc), {}),
+    ]))
     # calls on the lead's contact: segments are the lead's, collected per contact first
     contact_mask = lb.where(F.col("lead_contact").isNotNull()).groupBy(
         F.col("lead_contact").alias("cm_contact")).agg(F.bit_or("lead_mask").alias("cm_mask"))
-    dids = discovery_ids(inp.crm, inp.window)
+    dids = discovery_ids(crm, window)
     dl = dids.join(contact_mask, dids["whoid"] == contact_mask["cm_contact"], "inner")
-    parts.append(_emit(dl, F.col("cm_mask"), {"all_leads_to_disco_call": F.col("discovery_ids")}))
-    # contact-path opportunity ids, one row per (contact, opportunity)
-    cl = _bits("cl", inp.leads, "lead_cc", lc)
-    vc = vm.join(cl, vm["voc_contact"] == cl["cl_key"], "inner")
-    clm = F.col("cl")
-    v_mask = F.when(matched, _anchored(so, _or(_nn(sd), _if(_has_null(sd), _or(_nn(clm), _if(_has_null(clm), coal(slao, sa))))))).otherwise(clm)
-    parts.append(_emit(vc, v_mask, {"all_leads_to_opps_artificially_low": F.col("v_opp")}))
-
-    # (4) account-path lead rows: opportunity id credited when a qualifying lead exists
-    cq = _bits("cq", inp.leads.where(F.col("acc_path_ok")), "lead_account", lc)
-    va = (inp.vao.join(cq, inp.vao["vao_account"] == cq["cq_key"], "inner")
-          .join(summ, F.col("vao_opp") == summ["m_opp"], "left"))
-    cqm = F.col("cq")
-    va_mask = F.when(matched, _anchored(so, _or(_nn(sd), _if(_has_null(sd), _or(
-        _nn(sl), _if(_has_null(sl), _or(_nn(cqm), _if(_has_null(cqm), sa)))))))).otherwise(cqm)
-    parts.append(_emit(va, va_mask, {"all_leads_to_opps_artificially_high": F.col("vao_opp")}))
-    # account-path rows that match no OPPS row stand alone with the lead's segment: a lead has one
-    # when its account has no account-path opportunity, or one created outside OPPS
-    vao_state = (inp.vao.join(summ, inp.vao["vao_opp"] == summ["m_opp"], "left")
-                 .groupBy(F.col("vao_account").alias("vs_account"))
-                 .agg(F.bool_or(F.col("m_opp").isNull()).alias("vs_unmatched")))
-    lu = inp.leads.join(vao_state, inp.leads["lead_account"] == vao_state["vs_account"], "left").where(
-        F.coalesce(F.col("vs_unmatched"), F.lit(True)))
-    parts.append(_emit(lu, lc, {}))
+    parts.append(_emit(dl, [(F.col("cm_mask"), {"all_leads_to_disco_call": F.col("discovery_ids")})]))
 
     # (5) activity-side ids, by account
     prefix = _or(_nn(sd), _if(_has_null(sd), _or(_nn(sl), _if(_has_null(sl), _nn(slao)))))
-    per_acct = os_.where(F.col("opp_account_id").isNotNull()).groupBy(
-        F.col("opp_account_id").alias("pa_account")).agg(
+    per_account = met.where(is_deal & matched & F.col("deal_account").isNotNull()).groupBy(
+        F.col("deal_account").alias("pa_account")).agg(
         F.bit_or(_anchored(so, prefix)).alias("pa_fixed"),
         F.bool_or((so == NULL_BIT) & _has_null(sd) & _has_null(sl) & _has_null(slao)).alias("pa_through"))
-    a = inp.activities.join(per_acct, inp.activities["activity_account_id"] == per_acct["pa_account"], "left")
+    a = activities.join(per_account, activities["activity_account_id"] == per_account["pa_account"], "left")
     ac = seg_code(F.col("activity_account_segment"))
     a_mask = F.when(F.col("pa_account").isNotNull(),
                     _or(F.col("pa_fixed"), _if(F.col("pa_through"), ac))).otherwise(ac)
-    parts.append(_emit(a, a_mask, {
+    parts.append(_emit(a, [(a_mask, {
         "all_activities": F.col("activity_id"), "all_accounts_reached": F.col("activity_account_id"),
-        "all_contacts_reached": F.col("activity_contact_id")}))
+        "all_contacts_reached": F.col("activity_contact_id")})]))
 
     out = parts[0]
     for p in parts[1:]:
@@ -314,28 +315,43 @@ def funnel_long(inp: FunnelInputs) -> DataFrame:
     return out
 
 
-def full_funnel(crm, window: DateWindow, inputs: FunnelInputs | None = None) -> DataFrame:
+def full_funnel(crm, window: DateWindow) -> DataFrame:
     """Q6 (B7 + B8): distinct counts per account-based segment."""
-    long = funnel_long(inputs or FunnelInputs(crm, window))
+    long = funnel_long(crm, window)
     wide = pivot_distinct_counts(long, "account_based_segment", FUNNEL_METRICS)
     return wide.withColumn("outbound_discos", F.col("all_discos") - F.col("all_leads_to_disco_call"))
 
 
-def won_with_lead(crm, window: DateWindow, inputs: FunnelInputs | None = None) -> DataFrame:
+def won_with_lead(crm, window: DateWindow) -> DataFrame:
     """Q9 (B13): won opportunities with an eligible contact-path lead, with the TAS band.
 
     Same factoring as ``full_funnel``: rows pair a won opportunity with an
     eligible lead of one of its contact roles; the calls of the opportunity only
     matter through their (TAS, segment) values, the account-path leads and
-    activities only through their segment sets.
+    activities only through their segment sets.  Everything starts from the won
+    opportunities: each side is semi-joined to them, or to their accounts,
+    before it is summarised.
     """
-    inp = inputs or FunnelInputs(crm, window, activity_rows=False)
-    os_ = inp.opp_summary().where(F.col("won_opps_id").isNotNull())
-    dred = inp.calls.where(F.col("disco_created_opp_id").isNotNull()).select(
+    won = opportunity_stage_rows(crm, window, [*OPP_COLUMNS, "opp_account_tas", "won_opps_id", "close_date"])
+    won = won.where(F.col("won_opps_id").isNotNull())
+    keys = won.select(F.col("created_opps").alias("won_key")).distinct()
+    accounts = won.select(F.col("opp_account_id").alias("won_account")).distinct()
+
+    oc = crm.opportunity_contact_role
+    voc = oc.join(keys, oc["opportunityid"] == keys["won_key"], "left_semi").select(
+        F.col("contactid").alias("voc_contact"), F.col("opportunityid").alias("v_opp"))
+    leads = lead_base(crm, window)
+    calls = discovery_call_rows(crm, window, with_activity=False, accounts=accounts)
+    calls = calls.join(keys, calls["disco_created_opp_id"] == keys["won_key"], "left_semi").select(
+        "disco_created_opp_id", "disco_account_segment", "disco_account_tas")
+    activities = qualified_activities(crm, window, accounts=accounts).select("activity_account_id", "activity_account_segment")
+    os_ = summarise(won, calls, leads, voc, activities)
+
+    dred = calls.select(
         F.col("disco_created_opp_id").alias("dr_opp"), F.col("disco_account_tas").alias("d_tas"),
         seg_code(F.col("disco_account_segment")).alias("dc")).distinct()
-    el = inp.leads.where(F.col("eligible_lead_ids").isNotNull())
-    pairs = (inp.voc.join(os_, inp.voc["v_opp"] == os_["created_opps"], "inner")
+    el = leads.where(F.col("eligible_lead_ids").isNotNull())
+    pairs = (voc.join(os_, voc["v_opp"] == os_["created_opps"], "inner")
              .join(el, F.col("voc_contact") == el["lead_cc"], "inner")
              .join(dred, F.col("created_opps") == dred["dr_opp"], "left"))
     so, dc, lc = F.col("so"), F.coalesce(F.col("dc"), F.lit(NULL_BIT)), F.col("lc")
@@ -349,59 +365,3 @@ def won_with_lead(crm, window: DateWindow, inputs: FunnelInputs | None = None) -
     return pairs.where(ok).select(
         "won_opps_id", "eligible_lead_ids", X.segment_by_tas(tas).alias("segment_based_tas"),
         "opp_account_tas", "close_date").distinct()
-
-
-def funnel_reports(crm, window: DateWindow) -> dict[str, DataFrame]:
-    """Q6 and Q9 from one set of materialised sides (the two reports share every CTE)."""
-    inp = FunnelInputs(crm, window)
-    return {"q6_full_funnel": full_funnel(crm, window, inp), "q9_won_with_lead": won_with_lead(crm, window, inp)}
-
-
-def full_funnel_literal(crm, window: DateWindow) -> DataFrame:
-    """Q6 as the reference writes it: the full outer chain, then 21 COUNT(DISTINCT).
-
-    Kept for equality tests and for measuring the fan-out the factored plan
-    avoids; it is quadratic in activities per account, so ``full_funnel`` is the
-    one to run at scale.
-    """
-    from funnelkit.plans.leads import lead_rows
-
-    acts = qualified_activities(crm, window)
-    opps = opportunity_stage_rows(crm, window)
-    a = crm.account.select(F.col("id").alias("_a_id"))
-    c = crm.contact.select(F.col("id").alias("_c_id"), F.col("accountid").alias("_c_acct"))
-    ac = acts.select(F.col("whoid").alias("_ac_who"), F.col("activity_id").alias("_ac_id"))
-    o = (opps.join(a, opps["opp_account_id"] == a["_a_id"], "left")
-         .join(c, F.col("_a_id") == c["_c_acct"], "left")
-         .join(ac, F.col("_c_id") == ac["_ac_who"], "left")
-         .select(*opps.columns, X.id_when(F.col("_ac_id").isNotNull(), F.col("created_opps")).alias("activity_created_opps")))
-    d = discovery_call_rows(crm, window, activities=acts)
-    leads = lead_rows(crm, window, discovery_ids(crm, window))
-    l = leads.select(*[F.col(x).alias(f"l_{x}") for x in leads.columns])
-    lao = leads.select(*[F.col(x).alias(f"lao_{x}") for x in leads.columns])
-    av = acts.select(*[F.col(x).alias(f"a_{x}") for x in ("activity_id", "activity_account_id",
-                                                        "activity_contact_id", "activity_account_segment")])
-    j = (o.join(d, o["created_opps"] == d["disco_created_opp_id"], "full")
-          .join(l, F.col("created_opps") == l["l_opportunity_id_lead_opp"], "full")
-          .join(lao, F.col("created_opps") == lao["lao_opportunity_id_lead_account"], "full")
-          .join(av, F.col("opp_account_id") == av["a_activity_account_id"], "full"))
-    raw = F.coalesce("opp_account_segment", "disco_account_segment", "l_lead_account_segment1",
-                     "lao_lead_account_segment1", "a_activity_account_segment")
-    j = j.where(raw.isin(X.FUNNEL_SEGMENTS)).withColumn("account_based_segment", X.relabel(raw, "Self-Service", "SMB"))
-    source = {
-        "all_activities": "a_activity_id", "all_accounts_reached": "a_activity_account_id",
-        "all_contacts_reached": "a_activity_contact_id", "all_account_with_disco": "activity_disco_account_ids",
-        "all_contacts_with_disco": "activity_disco_contact_ids", "all_eligible_leads": "l_eligible_lead_ids",
-        "all_mql_leads": "l_mql_lead_id", "all_sal_leads": "l_sal_lead_id", "all_sql_leads": "l_sql_lead_id",
-        "all_leads_to_disco_call": "l_discovery_ids_lead",
-        "all_leads_to_opps_artificially_low": "l_total_converted_opp_opp_id",
-        "all_leads_to_opps_artificially_high": "lao_total_converted_acc_opp_id",
-        "all_discos": "discovery_ids", "all_disco_to_opps": "disco_created_opp_id",
-        "all_created_opps": "created_opps", "all_bda_support_op": "bda_supported_opp",
-        "all_open_opps": "open_opps_id", "all_won_opps": "won_opps_id", "all_lost_opps": "lost_opps_id",
-        "all_launched_opps": "launched_opp_ids", "all_captured_opps": "captured_opp_ids",
-    }
-    agg = j.groupBy("account_based_segment").agg(
-        *[F.count_distinct(col).alias(m) for m, col in source.items()])
-    return agg.select("account_based_segment", *FUNNEL_METRICS).withColumn(
-        "outbound_discos", F.col("all_discos") - F.col("all_leads_to_disco_call"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from funnelkit.functions import exprs as X
 from funnelkit.plans.activities import DateWindow, owners, ts_window
+from funnelkit.plans.opportunities import sales_opps
 
 # --- fixed values (neutralised) ------------------------------------------------
 # The reference drops leads from one partner lead source and from the company's
@@ -36,10 +37,6 @@ def discovery_ids(crm, window: DateWindow, narrow_roles: bool = False, with_date
                     X.id_if_prefix(F.col("whoid"), X.LEAD_PREFIX).alias("lead_id"))
 
 
-def _sales_opps(crm) -> DataFrame:
-    return crm.opportunity_fact.where(F.col("opportunity_sales_flag") == F.lit(True))
-
-
 def filtered_leads(crm, window: DateWindow | None) -> DataFrame:
     """Lead rows that pass the B4 WHERE clause, with their converted account.
 
@@ -64,6 +61,20 @@ def filtered_leads(crm, window: DateWindow | None) -> DataFrame:
              .drop("al_self_service"))
 
 
+def _with_account_path(rows: DataFrame, vao: DataFrame) -> DataFrame:
+    """Left join of lead rows to the account-path opportunities of their account (``al_id``).
+
+    A busy account makes a hot key on both sides, and Spark splits such a key on either side of an
+    inner join but only on the left of a left join.  So rows are parted by whether their account has
+    any such opportunity (one row per account): those that do are joined inner, the others pass by.
+    """
+    has = vao.select(F.col("vao_account_id").alias("has_account")).distinct()
+    marked = rows.join(has, F.col("al_id") == has["has_account"], "left")
+    with_opps = marked.where(F.col("has_account").isNotNull()).join(vao, F.col("al_id") == vao["vao_account_id"], "inner")
+    none = [F.lit(None).cast("string").alias(c) for c in vao.columns]
+    return with_opps.unionByName(marked.where(F.col("has_account").isNull()).select("*", *none)).drop("has_account")
+
+
 def lead_rows(crm, window: DateWindow | None, disco: DataFrame, with_dates: bool = False) -> DataFrame:
     """One row per lead x contact-role opportunity x account opportunity x call (bag).
 
@@ -79,20 +90,22 @@ def lead_rows(crm, window: DateWindow | None, disco: DataFrame, with_dates: bool
     own = owners(crm).select("owner_id", F.col("owner_current_role").alias("lead_owner_role"))
     oc = crm.opportunity_contact_role.select(F.col("contactid").alias("oc_contactid"),
                                              F.col("opportunityid").alias("oc_opportunityid"))
-    v = _sales_opps(crm).select(F.col("opportunity_id").alias("v_opportunity_id"))
-    vao = (_sales_opps(crm).where(F.col("est_gmv") < ACCOUNT_PATH_MAX_GMV)
+    v = sales_opps(crm, "opportunity_id").select(F.col("opportunity_id").alias("v_opportunity_id"))
+    vao = (sales_opps(crm, "opportunity_id", "account_id", "est_gmv").where(F.col("est_gmv") < ACCOUNT_PATH_MAX_GMV)
            .select(F.col("account_id").alias("vao_account_id"),
                    F.col("opportunity_id").alias("vao_opportunity_id")))
     d = disco.select(*[F.col(x).alias(f"d_{x}") for x in disco.columns])
 
-    j = (l.join(c, F.col("convertedcontactid") == c["c_id"], "left")
-          .join(lm, F.col("c_leadsource") == lm["leadsource"], "left").drop(lm["leadsource"])
-          .join(own, F.col("ownerid") == own["owner_id"], "left")
-          .join(oc, F.col("convertedcontactid") == oc["oc_contactid"], "left")
+    # the joins by contact stand next to one another: the leads are dealt by contact once
+    by_contact = F.col("convertedcontactid")
+    j = (l.join(c, by_contact == c["c_id"], "left")
+          .join(oc, by_contact == oc["oc_contactid"], "left")
+          .join(d, (by_contact == d["d_whoid"]) & F.col("c_id").isNotNull(), "left")
           # a contact role on a non-sales opportunity still yields a lead row (with no opportunity)
           .join(v, F.col("oc_opportunityid") == v["v_opportunity_id"], "left")
-          .join(vao, F.col("al_id") == vao["vao_account_id"], "left")
-          .join(d, F.col("c_id") == d["d_whoid"], "left"))
+          .join(lm, F.col("c_leadsource") == lm["leadsource"], "left").drop(lm["leadsource"])
+          .join(own, F.col("ownerid") == own["owner_id"], "left"))
+    j = _with_account_path(j, vao)
 
     lid = F.col("id")
     sql_ok = F.col("c_passed_sql") == F.lit(True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.functions import exprs as X
-from funnelkit.operators.relational import calendar_join, first_per_key, materialize
+from funnelkit.operators.relational import calendar_join, first_per_key
 from funnelkit.params import DEFAULT, ReportParams
 from funnelkit.plans.activities import qualified_activities
 from funnelkit.plans.calls import discovery_call_rows
@@ -19,22 +19,22 @@ def q1_rep_count_by_quarter(crm, p: ReportParams = DEFAULT) -> DataFrame:
     return rep_count_by_quarter(crm, p.history_start, p.end, p.window)
 
 
-def q2_accounts_touched(crm, p: ReportParams = DEFAULT, activities: DataFrame | None = None) -> DataFrame:
-    a = activities if activities is not None else qualified_activities(crm, p.window, with_fiscal=True)
+def q2_accounts_touched(crm, p: ReportParams = DEFAULT) -> DataFrame:
+    a = qualified_activities(crm, p.window, with_fiscal=True)
     return a.select("activity_account_id", "activity_account_segment", "activity_account_vertical",
                     "owner_role", "fiscal_year", "fiscal_quarter").distinct()
 
 
-def q3_activity_volume(crm, p: ReportParams = DEFAULT, activities: DataFrame | None = None) -> DataFrame:
-    a = activities if activities is not None else qualified_activities(crm, p.window, with_fiscal=True)
+def q3_activity_volume(crm, p: ReportParams = DEFAULT) -> DataFrame:
+    a = qualified_activities(crm, p.window, with_fiscal=True)
     a = a.where(F.col("activity_account_id").isNotNull())
     return (a.groupBy("activity_account_id", "activity_account_segment", "activity_account_vertical",
                       "owner_name", "owner_role", "activity_type")
              .agg(F.count("activity_id").alias("activity_count")))
 
 
-def q4_active_reps(crm, p: ReportParams = DEFAULT, activities: DataFrame | None = None) -> DataFrame:
-    a = activities if activities is not None else qualified_activities(crm, p.window, with_fiscal=True)
+def q4_active_reps(crm, p: ReportParams = DEFAULT) -> DataFrame:
+    a = qualified_activities(crm, p.window, with_fiscal=True)
     a = a.where((F.col("owner_role") == "Account Executive") | (F.col("owner_role") == "BDA"))
     keys = ["owner_name", "owner_role", "activity_account_segment", "fiscal_year", "fiscal_quarter"]
     return (a.groupBy(*keys).agg(F.count("owner_name").alias("owner_activity_count"))
@@ -42,16 +42,6 @@ def q4_active_reps(crm, p: ReportParams = DEFAULT, activities: DataFrame | None
                       F.col("fiscal_quarter").asc_nulls_last()))
 
 
-def activity_reports(crm, p: ReportParams = DEFAULT) -> dict[str, DataFrame]:
-    """Q2-Q4 from one qualified-activity table (the three reports share it), computed once."""
-    cols = ["activity_id", "activity_account_id", "activity_account_segment", "activity_account_vertical",
-            "owner_name", "owner_role", "activity_type", "fiscal_year", "fiscal_quarter"]
-    a = materialize(qualified_activities(crm, p.window, with_fiscal=True).select(*cols))
-    return {"q2_accounts_touched": q2_accounts_touched(crm, p, a),
-            "q3_activity_volume": q3_activity_volume(crm, p, a),
-            "q4_active_reps": q4_active_reps(crm, p, a)}
-
-
 def q5_discovery_calls(crm, p: ReportParams = DEFAULT) -> DataFrame:
     return discovery_call_rows(crm, p.window, with_fiscal=True)
 
@@ -69,12 +59,12 @@ def q7_lead_validation(crm, p: ReportParams = DEFAULT) -> DataFrame:
     """
     l = filtered_leads(crm, None)
     c = crm.contact.select(F.col("id").alias("c_id"), F.col("passed_sql").alias("c_passed_sql"))
-    v = sales_opps(crm).select(F.col("opportunity_id").alias("v_opp"))
+    v = sales_opps(crm, "opportunity_id").select(F.col("opportunity_id").alias("v_opp"))
     oc = crm.opportunity_contact_role.select(F.col("contactid").alias("oc_contactid"),
                                              F.col("opportunityid").alias("oc_opp"))
     # accounts with an account-path opportunity; distinct first so a busy account
     # collapses map-side instead of shipping all its opportunities to one task
-    vao_accounts = (sales_opps(crm).where(F.col("est_gmv") < ACCOUNT_PATH_MAX_GMV)
+    vao_accounts = (sales_opps(crm, "est_gmv", "account_id").where(F.col("est_gmv") < ACCOUNT_PATH_MAX_GMV)
                     .select(F.col("account_id").alias("al_id")).distinct())
     credited = (l.join(vao_accounts, "al_id", "left_semi")
                  .join(c, F.col("convertedcontactid") == c["c_id"], "left")
@@ -83,7 +73,7 @@ def q7_lead_validation(crm, p: ReportParams = DEFAULT) -> DataFrame:
                  .join(v, F.col("oc_opp") == v["v_opp"], "inner")
                  .select(X.id_when(F.col("eligibility_status") == "Eligible", F.col("id")).alias("eligible_lead_ids"),
                          F.col("v_opp").alias("total_converted_acc_opp_id")))
-    fact = crm.opportunity_fact.select("opportunity_name", "opportunity_id", "est_gmv", "account_segment")
+    fact = crm.pick("opportunity_fact", "opportunity_name", "opportunity_id", "est_gmv", "account_segment")
     le = crm.lead.select(F.col("id").alias("le_id"), F.col("name").alias("lead_name"),
                          F.col("email").alias("lead_email"))
     j = (fact.join(credited, fact["opportunity_id"] == credited["total_converted_acc_opp_id"], "inner")

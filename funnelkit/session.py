@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -17,37 +15,12 @@ def get_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "funne
              .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
              .config("spark.sql.adaptive.skewJoin.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
-             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
              .config("spark.driver.memory", "16g")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make sure reliable checkpoints have a directory.
-
-    Uses the directory already set on the context, else the cluster's
-    ``spark.checkpoint.dir``.  Only a local-mode session (tests, benchmark) with
-    neither gets a fresh folder under /tmp; on a cluster a missing setting is an
-    error rather than a silent machine-local path.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="funnelkit-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(path)
-    return path
-
-
 def cluster_settings(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
     """Shuffle / scan sizing for a cluster run over ``input_bytes`` of CRM tables.
 

@@ -13,8 +13,8 @@ projections as DuckDB CTE text for the oracle queries.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
-from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -170,6 +170,10 @@ VIEWS: dict[str, View] = {
         ("opportunity_supporter_previous_role_end_date",
          "CASE WHEN o.o_orderkey % 7 = 0 THEN DATE '1997-01-01' + cast((o.o_orderkey * 11) % 700 as int) END"),
         ("total_sales_cycle_days", "cast(o.o_orderkey % 180 as int)"),
+        ("product_type", _case("o.o_orderkey % 6", ["Core", "Plus", "Core", "Launch"])),
+        ("average_order_value", "cast(floor(o.o_totalprice / 100) as bigint)"),
+        ("account_industry", "c.c_mktsegment"),
+        ("opportunity_lead_source", _source("o.o_orderkey")),
         ("fiscal_quarter_name_create_date", "'Q' || cast(" + fiscal_quarter("o.o_orderdate") + " as string)"),
         ("fiscal_year_create_date", fiscal_year("o.o_orderdate")),
         ("fiscal_quarter_name_close_date",
@@ -230,7 +234,10 @@ VIEWS["event"] = View("events", "x", [
     ("accountid", f"'001' || {pad('x.user_id')}"),
 ], where="x.event_type IN ('signup', 'purchase')")
 
-CALENDAR_START, CALENDAR_END = "1990-01-01", "2005-12-31"
+# The calendar reaches from the first day of the year of the earliest date any view holds to the last day
+# of the year of the latest.  Opportunity dates follow the data (an opportunity closes or is captured up
+# to 200 days after its creation); all other dates come from the fixed day ranges of the projections above.
+CALENDAR_BASE, CALENDAR_DAYS, CALENDAR_REACH = "1995-01-01", 2500, 200
 CALENDAR_COLUMNS = [
     ("date_key", "date_key"),
     ("fiscal_year", fiscal_year("date_key")),
@@ -240,7 +247,7 @@ CALENDAR_COLUMNS = [
 ALL_VIEWS = list(VIEWS) + ["calendar", "lead_source_map"]
 
 
-def _render(expr: str, dialect: str, k: int | None = None) -> str:
+def _render(expr: str, dialect: str, k: int | str | None = None) -> str:
     out = expr.replace("{TS}", "timestamp_ntz" if dialect == "spark" else "timestamp")
     if k is not None:
         out = out.replace("{K}", str(k))
@@ -250,31 +257,48 @@ def _render(expr: str, dialect: str, k: int | None = None) -> str:
 # ---------------------------------------------------------------- Spark side
 
 
-def _spark_view(spark: SparkSession, sf_dir: str, v: View, read) -> DataFrame:
-    parts = []
-    for k in v.copies or (None,):
-        df = read(v.base).alias(v.alias)
-        for j in v.joins:
-            df = df.join(read(j.table).alias(j.alias), F.expr(j.on), "left")
-        if v.where:
-            df = df.where(F.expr(v.where))
-        parts.append(df.selectExpr(*[f"{_render(e, 'spark', k)} AS {n}" for n, e in v.columns]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _reads(text: str, alias: str) -> bool:
+    return re.search(rf"\b{alias}\.", text) is not None
 
 
-def calendar(spark: SparkSession) -> DataFrame:
-    """Day-grain calendar over a fixed range: bounded (about 5,800 rows) by construction."""
-    days = spark.sql(
-        f"SELECT explode(sequence(DATE '{CALENDAR_START}', DATE '{CALENDAR_END}', INTERVAL 1 DAY)) AS date_key"
-    )
+def needed_joins(v: View, columns: list[str]) -> list[Join]:
+    """The lookups that the named columns (or lookups they need) read.
+
+    A lookup is a left join on a primary key, so leaving out one that no column reads changes no row; Catalyst
+    cannot drop it by itself because it does not know the key to be unique."""
+    texts = [e for n, e in v.columns if n in columns] + ([v.where] if v.where else [])
+    kept: list[Join] = []
+    for j in reversed(v.joins):
+        if any(_reads(t, j.alias) for t in texts):
+            kept.insert(0, j)
+            texts.append(j.on)
+    return kept
+
+
+def _spark_view(v: View, read, columns: list[str]) -> DataFrame:
+    df = read(v.base).alias(v.alias)
+    for j in needed_joins(v, columns):
+        df = df.join(read(j.table).alias(j.alias), F.expr(j.on), "left")
+    if v.where:
+        df = df.where(F.expr(v.where))
+    if v.copies:  # one scan, each row repeated per copy
+        df = df.select("*", F.explode(F.array(*[F.lit(k) for k in v.copies])).alias("_copy"))
+    return df.selectExpr(*[f"{_render(e, 'spark', '_copy')} AS {n}" for n, e in v.columns if n in columns])
+
+
+def calendar(read) -> DataFrame:
+    """Day-grain calendar over the years that the data reach: one row a day, whatever the size of the data."""
+    reach = read("orders").agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b")).selectExpr(
+        f"trunc(least(a, DATE '{CALENDAR_BASE}'), 'YEAR') AS a",
+        f"add_months(trunc(greatest(b + {CALENDAR_REACH}, DATE '{CALENDAR_BASE}' + {CALENDAR_DAYS}), 'YEAR'), 12) - 1 AS b")
+    days = reach.selectExpr("explode(sequence(a, b, INTERVAL 1 DAY)) AS date_key")
     return days.selectExpr(*[f"{e} AS {n}" for n, e in CALENDAR_COLUMNS])
 
 
 def lead_source_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEAD_SOURCE_MAP, "leadsource string, lead_source_mapped string")
+    """The map as a literal relation: Spark knows its size and plans the lookup accordingly."""
+    rows = ", ".join(f"('{a}', '{b}')" for a, b in LEAD_SOURCE_MAP)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS m(leadsource, lead_source_mapped)")
 
 
 REQUIRED_COLUMNS = {name: [c for c, _ in v.columns] for name, v in VIEWS.items()}
@@ -286,14 +310,39 @@ def from_tables(tables: dict[str, DataFrame]) -> SimpleNamespace:
     """CRM views from existing DataFrames (e.g. ``spark.table("crm.task")`` with renamed columns).
 
     Every view listed in ``REQUIRED_COLUMNS`` must be present with at least
-    those columns; extra columns are ignored (and pruned by Catalyst).
+    those columns; further columns (dimensions of the win-rate report, say) can be
+    named in the reports and are pruned by Catalyst where they are not.
     """
     missing = {n: [c for c in cols if c not in tables[n].columns] if n in tables else ["<table>"]
                for n, cols in REQUIRED_COLUMNS.items()}
     missing = {n: m for n, m in missing.items() if m}
     if missing:
         raise ValueError(f"CRM tables missing columns: {missing}")
-    return SimpleNamespace(**{n: tables[n].select(*REQUIRED_COLUMNS[n]) for n in REQUIRED_COLUMNS})
+    wrong = [f"{n}.{c} is {dict(tables[n].dtypes)[c]}, not {' or '.join(TEMPORAL[c])}"
+             for n, cols in REQUIRED_COLUMNS.items() for c in cols if c in TEMPORAL and dict(tables[n].dtypes)[c] not in TEMPORAL[c]]
+    if wrong:
+        raise ValueError(f"CRM columns of the wrong type: {wrong}")
+    return GivenViews(tables)
+
+
+# Types that the date predicates compare with; a string or number there would be cast without a word.
+_TIMES = ("timestamp", "timestamp_ntz")
+TEMPORAL = {"createddate": _TIMES, "created_date": _TIMES, "close_date": _TIMES, "activitydate": ("date",), "date_key": ("date",)}
+
+
+class GivenViews:
+    """CRM views over given DataFrames, with all their columns."""
+
+    def __init__(self, tables: dict[str, DataFrame]):
+        self._tables = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._tables:
+            raise AttributeError(name)
+        return self._tables[name]
+
+    def pick(self, name: str, *columns: str) -> DataFrame:
+        return self._tables[name].select(*columns)
 
 
 class CrmViews:
@@ -314,15 +363,22 @@ class CrmViews:
             raise AttributeError(name)
         if name not in self._views:
             if name == "calendar":
-                self._views[name] = calendar(self._spark)
+                self._views[name] = calendar(self._read)
             elif name == "lead_source_map":
                 self._views[name] = lead_source_map(self._spark)
             elif name in VIEWS:
-                self._views[name] = _spark_view(self._spark, self._dir, VIEWS[name], self._read)
+                self._views[name] = self.pick(name, *REQUIRED_COLUMNS[name])
             else:
                 raise AttributeError(name)
         return self._views[name]
 
+    def pick(self, name: str, *columns: str) -> DataFrame:
+        """Named columns of a view, with only the lookups that they read."""
+        unknown = set(columns) - set(REQUIRED_COLUMNS[name])
+        if unknown:
+            raise ValueError(f"{name} has no {sorted(unknown)}")
+        return _spark_view(VIEWS[name], self._read, list(columns)).select(*columns)
+
 
 def load(spark: SparkSession, sf_dir: str) -> CrmViews:
     """All CRM views over the driver tables in ``sf_dir``, as lazily built DataFrames."""
@@ -348,8 +404,11 @@ def _duck_view(v: View) -> str:
 def _duck_sql(name: str) -> str:
     if name == "calendar":
         cols = ", ".join(f"{e} AS {n}" for n, e in CALENDAR_COLUMNS)
-        return (f"SELECT {cols} FROM (SELECT cast(range AS date) AS date_key FROM "
-                f"range(DATE '{CALENDAR_START}', DATE '{CALENDAR_END}' + INTERVAL 1 DAY, INTERVAL 1 DAY))")
+        first = f"date_trunc('year', least(min(cast(o_orderdate AS date)), DATE '{CALENDAR_BASE}'))"
+        last = (f"date_trunc('year', greatest(max(cast(o_orderdate AS date)) + {CALENDAR_REACH}, "
+                f"DATE '{CALENDAR_BASE}' + {CALENDAR_DAYS})) + INTERVAL 1 YEAR")
+        return (f"SELECT {cols} FROM (SELECT cast(unnest(range(cast({first} AS timestamp), cast({last} AS timestamp), "
+                f"INTERVAL 1 DAY)) AS date) AS date_key FROM orders)")
     if name == "lead_source_map":
         rows = ", ".join(f"('{a}', '{b}')" for a, b in LEAD_SOURCE_MAP)
         return f"SELECT * FROM (VALUES {rows}) AS m(leadsource, lead_source_mapped)"

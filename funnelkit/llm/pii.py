@@ -12,7 +12,7 @@ side by side.  A term discloses an entity if
 Every occurrence of a disclosing term in a document with its entity becomes a span of kind ``term``;
 base spans stay.  ``sanitised`` replaces base spans by their kind in brackets (generalised) and drops terms.
 
-All of it is DataFrame expressions.  Only documents with base spans make rows of words; the term
+All of it is DataFrame expressions.  Only documents that may have base spans make rows of words; the term
 frequencies of the whole corpus are one partial aggregation over each text's distinct words.  Words and
 entities meet through a join on (document, position bin), linear in a document's length.
 
@@ -35,6 +35,9 @@ PATTERNS = [
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 ]
 BASE = [k for k, _ in PATTERNS]
+#: Every text with a base span has this; it finds them without moving a text.
+LIKELY = (r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]"
+          r"|[0-9](?:[\x20-]?[0-9]){13}|\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = [*BASE, "term"]
 CONTEXT = 60
 MIN_LETTERS = 4
@@ -63,6 +66,12 @@ def base_spans(texts: DataFrame) -> DataFrame:
     return found.filter(holds).drop("digits")
 
 
+def _words(texts: DataFrame) -> DataFrame:
+    """doc_id, text_key, start, end and term of the words of ``texts`` that can be terms."""
+    found = matches(texts, [("term", rf"\p{{L}}{{{MIN_LETTERS},}}+")])
+    return found.select(*KEY, "start", "end", F.lower("value").alias("term"))
+
+
 def term_frequency(texts: DataFrame) -> DataFrame:
     """term, n_texts over all texts (doc_id, text_key, text)."""
     words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")))
@@ -93,16 +102,16 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans and ``list`` (sorted
     structs start, rank, end, kind) for each row of ``docs``."""
     texts = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
-    spans = written(base_spans(texts).withColumn("entity", F.xxhash64("kind", F.lower("value"))), "personal")
-    holders = spans.select(*KEY).distinct()
-    own = texts.alias("t").join(holders.alias("h"), F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("t.text_key") == F.col("h.text_key")), "left_semi")
-    words = matches(own, [("term", rf"\p{{L}}{{{MIN_LETTERS},}}+")]).withColumn("term", F.lower("value"))
-    words = written(words.select(*KEY, "start", "end", "kind", "term"), "words")
-    telling = disclosures(spans, words, texts)
-    here = spans.select(*KEY, "entity").distinct().join(telling, "entity").select(*KEY, "term").distinct()
-    w, x = words.alias("w"), here.alias("x")
+    # the texts that may have base spans, each once, dealt by document: what follows them needs no further dealing
+    held = texts.filter(F.col("text").rlike(LIKELY)).dropDuplicates(KEY)
+    spans = written(base_spans(held).withColumn("entity", F.xxhash64("kind", F.lower("value"))), "personal")
+    telling = written(disclosures(spans, _words(held), texts), "telling")
+    here = written(spans.select(*KEY, "entity").distinct().join(telling, "entity").select(*KEY, "term").distinct(), "here")
+    x = here.select(*KEY).distinct().alias("x")
+    marked = held.alias("t").join(x, F.col("t.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("t.text_key") == F.col("x.text_key")), "left_semi")
+    w, x = _words(marked).alias("w"), here.alias("x")
     terms = w.join(x, F.col("w.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("w.text_key") == F.col("x.text_key")) & (F.col("w.term") == F.col("x.term")))
-    terms = terms.select("w.doc_id", "w.text_key", "kind", "start", "end")
+    terms = terms.select("w.doc_id", "w.text_key", F.lit("term").alias("kind"), "start", "end")
     each = collected(spans.select(*KEY, "kind", "start", "end").unionByName(terms), KINDS,
                      F.collect_set(F.when(F.col("kind") != "term", F.struct("start", "end"))).alias("base"),
                      *[F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in BASE])

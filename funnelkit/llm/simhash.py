@@ -226,7 +226,12 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     least doc_id (nulls last), then the least text hash; of repeated rows, one."""
     found = near_duplicates(docs, shingle, radius)
     keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("keep"))
-    keep = written(keep.select(F.col("keep.doc_id").alias("id"), F.col("keep.text_key").alias("key")).distinct(), "kept")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key(F.col("text")).alias("key"))
-    rows = rows.alias("r").join(keep.alias("k"), F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.key") == F.col("k.key")), "left_semi")
-    return rows.dropDuplicates(["id", "key"]).select("row.*")
+    keep = written(keep.select(*_who(F.col("keep.doc_id"), F.col("keep.text_key"))).distinct(), "kept")
+    rows = docs.select(F.struct("*").alias("row"), *_who(F.col("doc_id"), text_key(F.col("text"))))
+    # equal keys meet once: the semi-join and the choice among repeated rows use one dealing
+    return rows.join(keep, ["none", "id", "key"], "left_semi").dropDuplicates(["none", "id", "key"]).select("row.*")
+
+
+def _who(doc_id: Column, key: Column) -> list[Column]:
+    """A document's key without nulls."""
+    return [doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), key.alias("key")]

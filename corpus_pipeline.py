@@ -16,7 +16,7 @@ from funnelkit.llm.shared import documents, ship, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules, or their host's verdict, reject go."""
-    return quality.judge(docs).filter("kept").select("row.*")
+    return quality.judge(docs, margins=True).filter("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,13 @@ the hosts' failure rates are shrunk with a beta prior fitted to all hosts by the
 is bad under a rule if its shrunk rate passes the rule's limit; its documents that fail that rule go.
 A document that fails no rule always stays, wherever it comes from.
 
+``host_chances`` is the verdict of the corpus pipeline (the SQL of the query fixes the one above, which rejects
+nothing where no host's rate comes near its limit).  Each soft rule has a margin, the measure as a multiple of the rule's
+limit.  The prior takes off what sampling alone may add to the variance of the hosts' rates, and the verdict
+is the posterior chance that the host's rate exceeds the prior mean.  One over that chance is the highest margin its
+documents may have: from a surely bad host every failure goes, from an average one a document that passes
+the limit twice over, and from a surely good one hardly any.
+
 All of it is DataFrame expressions.  The measures are taken row by row without exploding a text; the
 host table is one partial aggregation (a host with a third of all rows sends one row a task); the
 verdicts, one row a host, are joined back by host.
@@ -32,6 +39,17 @@ SOFT_RULES = [
     ("repeated_words", "100 * n_repeat_words > 15 * n_words", 0.25),
 ]
 
+#: Margins of the soft rules (a document fails above 1).  Short words are measured by the letters beyond the first, of
+#: which a good text has at least one a word.
+MARGINS = {
+    "symbols": "10 * n_symbols / word_chars",
+    "repeated_lines": "10 * n_dup_lines / (3 * n_lines)",
+    "word_length": "greatest(word_chars / (15 * n_words), if(word_chars > n_words, n_words / (word_chars - n_words), 1e6))",
+    "repeated_words": "100 * n_repeat_words / (15 * n_words)",
+}
+#: Weight of a prior whose hosts differ by no more than sampling explains, in documents.
+MAX_WEIGHT = 1e6
+
 
 def _pairs(column: str, reach: int) -> Column:
     """Hash of each element of an array column with the one ``reach`` further on."""
@@ -96,16 +114,54 @@ def host_verdicts(measured: DataFrame, host: str = "source") -> DataFrame:
     return out.select("host", *[f"{k}_{x}" for x in names for k in ("rate", "bad")])
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", carry: bool = True) -> DataFrame:
+def above(a: Column, b: Column, x: Column) -> Column:
+    """Chance that a beta(a, b) variable exceeds x (Abramowitz and Stegun 26.5.20, normal tail by a logistic cubic)."""
+    one, two = F.cbrt(b * x), F.cbrt(a * (1 - x))
+    z = 3 * (one * (1 - 1 / (9 * b)) - two * (1 - 1 / (9 * a))) / F.sqrt(one * one / b + two * two / a)
+    return 1 / (1 + F.exp(F.least(1.5976 * z + 0.07056 * F.pow(z, F.lit(3)), F.lit(700.0))))
+
+
+def host_chances(measured: DataFrame, host: str = "source") -> DataFrame:
+    """One row a host: ``host`` and, for each soft rule, ``chance_<rule>`` that its rate exceeds the prior mean."""
+    tests = rules()
+    names = [name for name, _, _ in SOFT_RULES]
+    counted = written(measured.groupBy(F.col(host).alias("host")).agg(
+        F.count("*").alias("n"), *[F.sum(tests[x].cast("long")).alias(x) for x in names]), "hosts")
+    # beta prior of each rule by the method of moments over the hosts
+    moments = counted.agg(F.avg(1 / F.col("n")).alias("thin"), F.count("*").alias("hosts"), *[
+        f(F.col(x) / F.col("n")).alias(f"{k}_{x}") for x in names for k, f in (("mean", F.avg), ("var", F.var_samp))])
+    thin, weights = F.col("thin"), {}
+    for x in names:
+        mean = F.col(f"mean_{x}")
+        # hosts' own variance: what they show, less that of n draws each and two standard errors of it (few hosts
+        # with few failures differ widely by chance); alpha + beta follow from it
+        drawn = mean * (1 - mean) * thin
+        error = drawn * F.sqrt(2 / (F.col("hosts") - 1) + thin / (mean * (1 - mean) * F.col("hosts")))
+        var = F.when((thin < 1) & (F.col("hosts") > 1) & (mean > 0) & (mean < 1), (F.col(f"var_{x}") - drawn - 2 * error) / (1 - thin))
+        weights[f"weight_{x}"] = F.when(var > 0, F.greatest(F.least(mean * (1 - mean) / var - 1, F.lit(MAX_WEIGHT)), F.lit(1e-3))).otherwise(F.lit(MAX_WEIGHT))
+    out = counted.crossJoin(F.broadcast(moments.withColumns(weights)))  # one row
+    for x in names:
+        mean, weight = F.col(f"mean_{x}"), F.col(f"weight_{x}")
+        chance = above(F.col(x) + mean * weight, F.col("n") - F.col(x) + (1 - mean) * weight, mean)
+        # no host fails, or all do on every document: no host differs from the mean
+        out = out.withColumn(f"chance_{x}", F.when((mean > 0) & (mean < 1), F.round(chance, 9)).otherwise(F.lit(0.5)))
+    return out.select("host", *[f"chance_{x}" for x in names])
+
+
+def judge(docs: DataFrame, text: str = "text", host: str = "source", carry: bool = True, margins: bool = False) -> DataFrame:
     """doc_id, source, the measures, base_failed, host_failed (the soft rule that rejects the document
     through its host, else null), kept and, with ``carry``, the input row as struct ``row``.
 
+    ``margins`` takes ``host_chances`` for the verdict, else ``host_verdicts``.
     The measures are taken once and written; hosts and verdicts read only the columns they need."""
     rows = [F.struct("*").alias("row")] if carry else []
     lean = docs.select(*rows, "doc_id", F.col(text).alias("text"), F.col(host).alias("source"))
     measured = written(measures(lean).drop("text"), "measures")
     tests = rules()
-    judged = measured.join(host_verdicts(measured), F.col("source").eqNullSafe(F.col("host")), "left")
-    reason = F.coalesce(*[F.when(tests[x] & F.col(f"bad_{x}"), F.lit(x)) for x, _, _ in SOFT_RULES])
+    verdicts = host_chances(measured) if margins else host_verdicts(measured)
+    judged = measured.join(verdicts, F.col("source").eqNullSafe(F.col("host")), "left")
+    # texts that fail no rule have nothing to divide by
+    bad = {x: F.expr(f"{m} * chance_{x} > 1") if margins else F.col(f"bad_{x}") for x, m in MARGINS.items()}
+    reason = F.coalesce(*[F.when(tests[x], F.when(bad[x], F.lit(x))) for x, _, _ in SOFT_RULES])
     return judged.withColumns({"base_failed": tests["base"], "host_failed": reason}).withColumn(
         "kept", ~F.col("base_failed") & F.col("host_failed").isNull())

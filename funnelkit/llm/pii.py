@@ -3,7 +3,7 @@
 Base spans: e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers.  Each distinct value is
 a protected entity.  Terms (letter runs of ``MIN_LETTERS`` or more, lower-cased) within ``CONTEXT`` code points of an
 entity co-occur with it.  Over the corpus, ``n(t)`` texts hold a term, ``n(e)`` hold an entity, and ``n(t, e)`` have them
-side by side.  A term discloses an entity if
+side by side (distinct texts each).  A term discloses an entity if
 
 * it stands beside it in ``MIN_SUPPORT`` distinct texts (copies count once),
 * ``n(t, e) / n(t)``, the chance that a text with the term has the entity, is ``MIN_CHANCE`` or more, and
@@ -13,11 +13,12 @@ Every occurrence of a disclosing term in a document with its entity becomes a sp
 base spans stay.  ``sanitised`` replaces base spans by their kind in brackets (generalised) and drops terms.
 
 All of it is DataFrame expressions.  Only documents that may have base spans make rows of words; the term
-frequencies of the whole corpus are one partial aggregation over each text's distinct words.  Words and
+frequencies of the whole corpus are first bounded by one partial aggregation over each text's distinct words, then
+counted for the terms that the bound leaves open.  Words and
 entities meet through a join on (document, position bin), linear in a document's length.
 
 Null texts are empty.  Rows with equal doc_id and equal text are one document with one result, given for
-each row; counts are of distinct (doc_id, text).  An empty table gives an empty result.
+each row; counts are of distinct texts, so copies and repeated rows change none.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,10 +73,23 @@ def _words(texts: DataFrame) -> DataFrame:
     return found.select(*KEY, "start", "end", F.lower("value").alias("term"))
 
 
-def term_frequency(texts: DataFrame) -> DataFrame:
-    """term, n_texts over all texts (doc_id, text_key, text)."""
+def _terms(texts: DataFrame) -> DataFrame:
+    """term, text_key of the distinct words of each row of ``texts`` that can be terms."""
     words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")))
-    return texts.select(words.alias("term")).filter(F.char_length("term") >= MIN_LETTERS).groupBy("term").agg(F.count("*").alias("n_texts"))
+    return texts.select(words.alias("term"), "text_key").filter(F.char_length("term") >= MIN_LETTERS)
+
+
+def term_frequency(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """term, n_texts (distinct texts) of the terms of ``pairs`` (term, n_both) that may have ``MIN_CHANCE``.
+
+    The texts' keys fall on 64 places; a term has at least as many texts as places.  Only terms that this bound
+    leaves open send a row a text."""
+    most = pairs.groupBy("term").agg(F.max("n_both").alias("most"))
+    places = F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(text_key & 63 as int))")))
+    least = _terms(texts).groupBy("term").agg(places.alias("least"))
+    open_ = least.join(most, "term").filter(MIN_CHANCE * F.col("least") <= F.col("most"))
+    open_ = written(open_.select("term"), "open")
+    return _terms(texts).join(open_, "term").groupBy("term").agg(F.countDistinct("text_key").alias("n_texts"))
 
 
 def disclosures(spans: DataFrame, words: DataFrame, texts: DataFrame) -> DataFrame:
@@ -87,13 +101,13 @@ def disclosures(spans: DataFrame, words: DataFrame, texts: DataFrame) -> DataFra
     near = w.join(s, F.col("w.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("w.text_key") == F.col("s.text_key"))
                   & (F.col("w.bin") == F.col("s.bin")) & (F.col("c") >= F.col("a") - CONTEXT) & (F.col("c") <= F.col("b") + CONTEXT)
                   & ((F.col("d") <= F.col("a")) | (F.col("c") >= F.col("b"))))
-    near = near.select("term", "entity", "w.doc_id", "w.text_key").distinct()
-    by_text = near.groupBy("term", "entity", "text_key").agg(F.count("*").alias("n"))  # copies of a text meet here first
-    pairs = by_text.groupBy("term", "entity").agg(F.sum("n").alias("n_both"), F.count("*").alias("support"))
-    entities = spans.select("entity", *KEY).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    strong = pairs.filter(F.col("support") >= MIN_SUPPORT).join(term_frequency(texts), "term").join(entities, "entity")
+    near = near.select("term", "entity", "w.text_key").distinct()
+    pairs = written(near.groupBy("term", "entity").agg(F.count("*").alias("n_both")), "pairs")
+    entities = spans.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    strong = pairs.filter(F.col("n_both") >= MIN_SUPPORT)
+    strong = strong.join(term_frequency(texts, strong), "term").join(entities, "entity")
     strong = strong.filter(F.col("n_both") >= MIN_CHANCE * F.col("n_texts"))
-    total = texts.agg(F.count("*").alias("n_all"))  # one row
+    total = texts.select("text_key").distinct().agg(F.count("*").alias("n_all"))  # one row
     bits = F.log2(F.col("n_both") * F.col("n_all") / (F.col("n_texts") * F.col("n_entity")))
     return strong.crossJoin(F.broadcast(total)).filter(F.round(bits, 9) >= MIN_BITS).select("term", "entity")
 

@@ -439,3 +439,17 @@ def test_personal_disclosure(spark):
     assert all(got[2000 + k].n_term == 0 and got[2000 + k].n_email == 1 for k in range(20))
     clean = {r.doc_id: r.sanitised for r in pii.sanitise(found).collect()}
     assert clean[0] == "Please ask  about offer a via [EMAIL] soon" and clean[100] == rows[5][1]
+
+
+def _spans_of(spark, rows):
+    return {r.doc_id: r.spans for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_personal_repeated_rows(spark):
+    """Tripled rows, and a text copied under other ids, change no spans."""
+    rows = [(k, f"Please ask Quentorius about offer {'abcdefgh'[k]} via q.smith@example.org soon") for k in range(5)]
+    rows += [(100 + k, f"Please ask somebody about offer {k} soon, the weather is fine") for k in range(900)]
+    once = _spans_of(spark, rows)
+    assert "term:11:21" in once[0] and _spans_of(spark, rows * 3) == once
+    copies = _spans_of(spark, rows + [(5000 + k, rows[0][1]) for k in range(450)])
+    assert all(copies[k] == once[k] for k in once) and copies[5000] == once[0]

@@ -7,7 +7,9 @@ side by side (distinct texts each).  A term discloses an entity if
 
 * it stands beside it in ``MIN_SUPPORT`` distinct texts (copies count once),
 * ``n(t, e) / n(t)``, the chance that a text with the term has the entity, is ``MIN_CHANCE`` or more, and
-* its pointwise mutual information ``log2(n(t, e) N / (n(t) n(e)))`` is ``MIN_BITS`` or more.
+* it gives ``MIN_SHARE`` or more of the information that the entity bears: pointwise mutual information over
+  ``-log(n(e) / N)``, that is ``1 - log(n(t, e) / n(t)) / log(n(e) / N)``.  A term that always goes with the entity has
+  a share of 1 however frequent the entity and however small the table; an entity that all texts have bears none.
 
 Every occurrence of a disclosing term in a document with its entity becomes a span of kind ``term``;
 base spans stay.  ``sanitised`` replaces base spans by their kind in brackets (generalised) and drops terms.
@@ -44,7 +46,7 @@ CONTEXT = 60
 MIN_LETTERS = 4
 MIN_SUPPORT = 3
 MIN_CHANCE = 0.5
-MIN_BITS = 6.0
+MIN_SHARE = 0.5
 
 
 def _luhn(digits: Column) -> Column:
@@ -108,8 +110,9 @@ def disclosures(spans: DataFrame, words: DataFrame, texts: DataFrame) -> DataFra
     strong = strong.join(term_frequency(texts, strong), "term").join(entities, "entity")
     strong = strong.filter(F.col("n_both") >= MIN_CHANCE * F.col("n_texts"))
     total = texts.select("text_key").distinct().agg(F.count("*").alias("n_all"))  # one row
-    bits = F.log2(F.col("n_both") * F.col("n_all") / (F.col("n_texts") * F.col("n_entity")))
-    return strong.crossJoin(F.broadcast(total)).filter(F.round(bits, 9) >= MIN_BITS).select("term", "entity")
+    common = F.col("n_entity") / F.col("n_all")
+    share = F.when(common < 1, 1 - F.log(F.col("n_both") / F.col("n_texts")) / F.log(common))
+    return strong.crossJoin(F.broadcast(total)).filter(F.round(share, 9) >= MIN_SHARE).select("term", "entity")
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -453,3 +453,11 @@ def test_personal_repeated_rows(spark):
     assert "term:11:21" in once[0] and _spans_of(spark, rows * 3) == once
     copies = _spans_of(spark, rows + [(5000 + k, rows[0][1]) for k in range(450)])
     assert all(copies[k] == once[k] for k in once) and copies[5000] == once[0]
+
+
+def test_personal_frequent_entity(spark):
+    """A term that always goes with an entity discloses it, also where every third text has the entity or the table is small."""
+    rows = [(k, f"Please ask Quentorius about offer {k} via q.smith@example.org soon") for k in range(10)]
+    rows += [(100 + k, f"Please ask somebody about offer {k} soon, the weather is fine") for k in range(20)]
+    got = _spans_of(spark, rows)
+    assert all("term:11:21" in got[k] and got[k].count("term") == 1 for k in range(10))

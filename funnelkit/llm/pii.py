@@ -1,15 +1,16 @@
 """Personal data with information-theoretic sanitisation.
 
 Base spans: e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers.  Each distinct value is
-a protected entity.  Terms (letter runs of ``MIN_LETTERS`` or more, lower-cased) within ``CONTEXT`` code points of an
+a protected entity, and so is each part that values share (an address's domain and local words, an IP
+address's first three numbers).  Terms (letter runs of ``MIN_LETTERS`` or more, lower-cased) within ``CONTEXT`` code points of an
 entity co-occur with it.  Over the corpus, ``n(t)`` texts hold a term, ``n(e)`` hold an entity, and ``n(t, e)`` have them
 side by side (distinct texts each).  A term discloses an entity if
 
-* it stands beside it in ``MIN_SUPPORT`` distinct texts (copies count once),
-* ``n(t, e) / n(t)``, the chance that a text with the term has the entity, is ``MIN_CHANCE`` or more, and
+* the chance that a text with the term has the entity, smoothed by ``SMOOTH`` texts of the corpus,
+  ``c = (n(t, e) + SMOOTH n(e) / N) / (n(t) + SMOOTH)``, is ``MIN_CHANCE`` or more, and
 * it gives ``MIN_SHARE`` or more of the information that the entity bears: pointwise mutual information over
-  ``-log(n(e) / N)``, that is ``1 - log(n(t, e) / n(t)) / log(n(e) / N)``.  A term that always goes with the entity has
-  a share of 1 however frequent the entity and however small the table; an entity that all texts have bears none.
+  ``-log(n(e) / N)``, that is ``1 - log(c) / log(n(e) / N)``.  A term that always goes with the entity has
+  a share near 1 however frequent the entity and however small the table; an entity that all texts have bears none.
 
 Every occurrence of a disclosing term in a document with its entity becomes a span of kind ``term``;
 base spans stay.  ``sanitised`` replaces base spans by their kind in brackets (generalised) and drops terms.
@@ -44,7 +45,7 @@ LIKELY = (r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]|[0-9]\.[0-9]+\.[0-9]+\.
 KINDS = [*BASE, "term"]
 CONTEXT = 60
 MIN_LETTERS = 4
-MIN_SUPPORT = 3
+SMOOTH = 1
 MIN_CHANCE = 0.5
 MIN_SHARE = 0.5
 
@@ -69,6 +70,17 @@ def base_spans(texts: DataFrame) -> DataFrame:
     return found.filter(holds).drop("digits")
 
 
+def _entities() -> Column:
+    """Hashes of a base match (kind, value) and of the parts that others may share with it."""
+    low = F.lower("value")
+    parts = F.when(F.col("kind") == "email", F.concat(
+        F.array(F.xxhash64(F.lit("domain"), F.substring_index(low, "@", -1))),
+        F.transform(F.regexp_extract_all(F.substring_index(low, "@", 1), F.lit(rf"\p{{L}}{{{MIN_LETTERS},}}"), F.lit(0)),
+                    lambda w: F.xxhash64(F.lit("local"), w))))
+    parts = parts.when(F.col("kind") == "ip", F.array(F.xxhash64(F.lit("network"), F.substring_index(low, ".", 3))))
+    return F.concat(F.array(F.xxhash64("kind", low)), F.coalesce(parts, F.array().cast("array<bigint>")))
+
+
 def _words(texts: DataFrame) -> DataFrame:
     """doc_id, text_key, start, end and term of the words of ``texts`` that can be terms."""
     found = matches(texts, [("term", rf"\p{{L}}{{{MIN_LETTERS},}}+")])
@@ -89,30 +101,30 @@ def term_frequency(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     most = pairs.groupBy("term").agg(F.max("n_both").alias("most"))
     places = F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(text_key & 63 as int))")))
     least = _terms(texts).groupBy("term").agg(places.alias("least"))
-    open_ = least.join(most, "term").filter(MIN_CHANCE * F.col("least") <= F.col("most"))
+    open_ = least.join(most, "term").filter(MIN_CHANCE * (F.col("least") + SMOOTH) <= F.col("most") + SMOOTH)
     open_ = written(open_.select("term"), "open")
     return _terms(texts).join(open_, "term").groupBy("term").agg(F.countDistinct("text_key").alias("n_texts"))
 
 
 def disclosures(spans: DataFrame, words: DataFrame, texts: DataFrame) -> DataFrame:
     """term, entity (hash) of the terms that disclose an entity, from base spans and word matches."""
-    span = spans.select(*KEY, "entity", F.col("start").alias("a"), F.col("end").alias("b"))
+    span = spans.select(*KEY, "entities", F.col("start").alias("a"), F.col("end").alias("b"))
     span = span.withColumn("bin", F.explode(F.sequence(F.floor((F.col("a") - CONTEXT) / CONTEXT), F.floor((F.col("b") + CONTEXT) / CONTEXT))))
     word = words.select(*KEY, "term", F.col("start").alias("c"), F.col("end").alias("d"), F.floor(F.col("start") / CONTEXT).alias("bin"))
     s, w = span.alias("s"), word.alias("w")
     near = w.join(s, F.col("w.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("w.text_key") == F.col("s.text_key"))
                   & (F.col("w.bin") == F.col("s.bin")) & (F.col("c") >= F.col("a") - CONTEXT) & (F.col("c") <= F.col("b") + CONTEXT)
                   & ((F.col("d") <= F.col("a")) | (F.col("c") >= F.col("b"))))
-    near = near.select("term", "entity", "w.text_key").distinct()
+    near = near.select("term", F.explode("entities").alias("entity"), "w.text_key").distinct()
     pairs = written(near.groupBy("term", "entity").agg(F.count("*").alias("n_both")), "pairs")
-    entities = spans.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    strong = pairs.filter(F.col("n_both") >= MIN_SUPPORT)
-    strong = strong.join(term_frequency(texts, strong), "term").join(entities, "entity")
-    strong = strong.filter(F.col("n_both") >= MIN_CHANCE * F.col("n_texts"))
+    entities = spans.select(F.explode("entities").alias("entity"), "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    known = pairs.join(term_frequency(texts, pairs), "term").join(entities, "entity")
     total = texts.select("text_key").distinct().agg(F.count("*").alias("n_all"))  # one row
     common = F.col("n_entity") / F.col("n_all")
-    share = F.when(common < 1, 1 - F.log(F.col("n_both") / F.col("n_texts")) / F.log(common))
-    return strong.crossJoin(F.broadcast(total)).filter(F.round(share, 9) >= MIN_SHARE).select("term", "entity")
+    chance = (F.col("n_both") + SMOOTH * common) / (F.col("n_texts") + SMOOTH)
+    share = F.when(common < 1, 1 - F.log(chance) / F.log(common))
+    known = known.crossJoin(F.broadcast(total)).filter((F.round(chance, 9) >= MIN_CHANCE) & (F.round(share, 9) >= MIN_SHARE))
+    return known.select("term", "entity")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -121,9 +133,9 @@ def scan(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
     # the texts that may have base spans, each once, dealt by document: what follows them needs no further dealing
     held = texts.filter(F.col("text").rlike(LIKELY)).dropDuplicates(KEY)
-    spans = written(base_spans(held).withColumn("entity", F.xxhash64("kind", F.lower("value"))), "personal")
+    spans = written(base_spans(held).withColumn("entities", _entities()), "personal")
     telling = written(disclosures(spans, _words(held), texts), "telling")
-    here = written(spans.select(*KEY, "entity").distinct().join(telling, "entity").select(*KEY, "term").distinct(), "here")
+    here = written(spans.select(*KEY, F.explode("entities").alias("entity")).distinct().join(telling, "entity").select(*KEY, "term").distinct(), "here")
     x = here.select(*KEY).distinct().alias("x")
     marked = held.alias("t").join(x, F.col("t.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("t.text_key") == F.col("x.text_key")), "left_semi")
     w, x = _words(marked).alias("w"), here.alias("x")

@@ -461,3 +461,13 @@ def test_personal_frequent_entity(spark):
     rows += [(100 + k, f"Please ask somebody about offer {k} soon, the weather is fine") for k in range(20)]
     got = _spans_of(spark, rows)
     assert all("term:11:21" in got[k] and got[k].count("term") == 1 for k in range(10))
+
+
+def test_personal_few_texts(spark):
+    """One text is enough for a value, two for a part that two values share; a common word is no disclosure."""
+    rows = [(0, "Please ask Quentorius about offers via q.smith@example.org soon"), (1, "Please ask Velmarinda about offers via one@rare.example"),
+            (2, "Please ask Velmarinda about offers via two@rare.example")]
+    rows += [(100 + k, f"Please ask somebody about offers {k} soon, the weather is fine") for k in range(50)]
+    got = _spans_of(spark, rows)
+    assert got[0] == "term:11:21,email:39:58" and all(got[k].startswith("term:11:21,") and got[k].count("term") == 1 for k in (1, 2))
+    assert all(got[100 + k] == "" for k in range(50))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelkit.llm import decontam, langid, linededup, packing, pii, quality, secretscan, simhash, tokenfile, urlfilter
+from funnelkit.llm import decontam, htmltext, langid, lexical, linededup, merkle, packing, pii, quality, secretscan, simhash, tokenfile, urlfilter
 from funnelkit.llm.shared import documents, new_path, ship
 
 WORD_BPE = "word_bpe_49k.json"
@@ -76,8 +76,24 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return merkle.verified(merkle.build(documents(spark, sf_dir), claim=merkle.tampered()))
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = htmltext.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("row.page_id", "row.url", "text", "n_chars")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return lexical.search_all(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_line_dedup, op3_token_file, op4_language, op5_secrets, op6_simhash, op7_url_filter,
-        op8_quality_rules, op9_packing, op10_personal_data)
+        op8_quality_rules, op9_packing, op10_personal_data, op11_merkle_manifest, op12_html_text, op13_ranked_search)
 }

@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express.
 
 The others are tested against brute force: token files and packing call a tokenizer, SimHash needs seeded
-XXH64, and the language, URL and disclosure models are not queries.
+XXH64, pages need a parser, and the language, URL and disclosure models are not queries.
 """
 
 from __future__ import annotations
@@ -145,9 +145,83 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed LEFT JOIN doc USING (rid)
 """
 
+def _field(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen(CAST({column} AS VARCHAR)) || ':' || {column} END"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Recursive table of the nodes (tree, level, i, n, h) above ``leaves`` (tree, i, n, h)."""
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS level, i, n, h FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY tree, level, i // 2, n)"""
+
+
+#: CRC-32 of a decimal number's text, bit by bit.
+_CRC = """xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+OP11 = f"""
+WITH RECURSIVE
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, lang, sha256(front || {_field("n_chars")} || back) AS h,
+    CASE WHEN {_CRC} % 7 = 0 THEN sha256(front || {_field("(n_chars + 1)")} || back) END AS tampered
+  FROM (SELECT *, {" || ".join(_field(c) for c in ("doc_id", "source", "lang"))} AS front, {_field("text")} AS back FROM documents)),
+leaf AS MATERIALIZED (
+  SELECT *, lang AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+{_tree("node", "leaf")},
+top AS MATERIALIZED (
+  SELECT 0 AS tree, tree AS lang, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1),
+{_tree("head", "top")},
+step AS (
+  SELECT rid, a.level, s.h, (leaf.i >> a.level) % 2 AS odd
+  FROM leaf JOIN (SELECT DISTINCT tree, level FROM node WHERE n > 1) a ON a.tree IS NOT DISTINCT FROM leaf.lang
+  LEFT JOIN node s ON s.tree IS NOT DISTINCT FROM leaf.lang AND s.level = a.level AND s.i = xor(leaf.i >> a.level, 1)
+  UNION ALL
+  SELECT rid, 1000 + a.level, s.h, (top.i >> a.level) % 2
+  FROM leaf JOIN top ON top.lang IS NOT DISTINCT FROM leaf.lang CROSS JOIN (SELECT DISTINCT level FROM head WHERE n > 1) a
+  LEFT JOIN head s ON s.level = a.level AND s.i = xor(top.i >> a.level, 1)),
+path AS (
+  SELECT rid, string_agg(h, '' ORDER BY level) AS proof,
+    list(CASE WHEN h IS NULL THEN '-' WHEN odd = 1 THEN 'L' || h ELSE 'R' || h END ORDER BY level) AS steps
+  FROM step GROUP BY rid),
+folded AS (
+  SELECT rid, leaf.doc_id, leaf.h AS leaf, top.h AS subroot, (SELECT h FROM head WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(tampered, leaf.h), coalesce(steps, [])),
+      lambda x, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || x WHEN 'R' THEN x || s[2:] ELSE x END)) AS folded_root
+  FROM leaf JOIN top ON top.lang IS NOT DISTINCT FROM leaf.lang LEFT JOIN path USING (rid))
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ws FROM documents),
+whole AS (SELECT count(*) AS docs, CAST(sum(len(ws)) AS BIGINT) AS total FROM d WHERE len(ws) > 0),
+item AS MATERIALIZED (SELECT row_number() OVER () AS iid, item_id, ws FROM (SELECT DISTINCT item_id, text, {_TERMS} AS ws FROM benchmark WHERE text IS NOT NULL)),
+asked AS MATERIALIZED (SELECT iid, w, count(*) AS q FROM (SELECT iid, unnest(ws) AS w FROM item) GROUP BY iid, w),
+held AS MATERIALIZED (
+  SELECT rid, w, count(*) AS tf FROM (SELECT rid, unnest(ws) AS w FROM d) WHERE w IN (SELECT w FROM asked) GROUP BY rid, w),
+weighed AS (
+  SELECT w, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT w, count(*) AS df FROM held GROUP BY w), whole),
+sized AS (SELECT rid, doc_id, 100 - 25 + ((25 * len(ws) * docs) // total) AS m FROM d, whole WHERE len(ws) > 0),
+scored AS (
+  SELECT iid, rid, CAST(sum(q * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN held USING (w) JOIN weighed USING (w) JOIN sized USING (rid) GROUP BY iid, rid),
+ranked AS (
+  SELECT iid, doc_id, score, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS nth
+  FROM scored JOIN d USING (rid) WHERE score > 0)
+SELECT item_id, CAST(nth AS INTEGER) AS rank, doc_id, score FROM ranked JOIN item USING (iid) WHERE nth <= 20
+"""
+
 SQL: dict[str, str] = {
     "op1_decontamination": OP1,
     "op2_line_dedup": OP2,
     "op5_secrets": OP5,
     "op8_quality_rules": OP8,
+    "op11_merkle_manifest": OP11,
+    "op13_ranked_search": OP13,
 }

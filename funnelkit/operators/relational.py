@@ -2,7 +2,7 @@
 
 * ``first_per_key``  -- QUALIFY ROW_NUMBER() OVER (PARTITION BY k ORDER BY o) = 1 (W1/W2)
 * ``interval_join``  -- equi key + open time range relative to the left row (J5),
-                        binned by month so one hot key does not land in one task
+                        bucketed by time so one hot key does not land in one task
 * ``calendar_join``  -- date / timestamp -> fiscal attributes from a calendar (J6-J8)
 * ``full_outer_join`` -- two relations, NULL keys kept out of the shuffle (J11)
 * ``union_all``      -- positional bag union of conformed branches (U1)
@@ -27,43 +27,34 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], rn: str =
     return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).drop(rn)
 
 
-def month_index(ts: Column) -> Column:
-    return F.year(ts) * 12 + F.month(ts)
+def month_bucket(ts: Column, months: int) -> Column:
+    """Number of the run of ``months`` calendar months that a time lies in."""
+    return F.floor((F.year(ts) * 12 + F.month(ts) - 1) / F.lit(months)).cast("int")
 
 
 def interval_join(left: DataFrame, right: DataFrame, *, left_key: str, right_key: str,
                   left_ts: str, right_ts: str, months: int, left_id: str) -> DataFrame:
     """Left join of ``right`` rows with the same key and ``left_ts < right_ts < left_ts + months``.
 
-    The right side is tagged with the month of ``right_ts``; each left row is
-    replicated into the ``months + 1`` month buckets its window can touch, and the
-    join runs once on (key, bucket) with the exact range as a residual predicate.
-    A right row sits in exactly one bucket, so each matching pair is produced
-    once.  Replication is a fixed factor, and a key holding a third of all rows
-    is spread over its months instead of landing in one task.
-
-    Whether a left row matches depends on its key and time alone, so one window
-    over (``left_id``, key, time) tells which rows found nothing: those keep the
-    copy of their first bucket.  ``left_id`` need not be unique; repeated left
-    rows each keep their own matches.  Rows with a NULL key or time match
-    nothing and are spread over buckets of their own.
+    Time is cut into buckets of ``months`` months.  A right row can only meet left rows of its own bucket
+    or of the one before, so the right side, which is narrow, goes to these two buckets and each left row stays alone
+    in its own: one left join on (key, bucket) with the exact range as a residual predicate gives every pair once and every
+    unmatched left row once, with no second look at the pairs.  A key holding a third of all rows is spread over its buckets.
+
+    ``left_id`` need not be unique; repeated left rows each keep their own matches.  Rows with a NULL key or
+    time match nothing: left ones are spread over buckets of their own, right ones are left out.
     """
-    bucket, home, some = "_bucket", "_home", "_some"
-    lk, lt = F.col(left_key), F.col(left_ts)
-    upper = lt + F.make_ym_interval(F.lit(0), F.lit(months))
-    first = month_index(lt)
-    alone = F.array(-F.pmod(F.xxhash64(left_id), F.lit(997)).cast("int") - 1)
-    buckets = F.when(lk.isNull() | lt.isNull(), alone).otherwise(F.sequence(first, month_index(upper)))
-    l_exp = left.select("*", F.posexplode(buckets).alias(home, bucket)).alias("l")
-    hit = "_hit"
-    r_tag = right.withColumns({"_r_bucket": month_index(F.col(right_ts)), hit: F.lit(True)}).alias("r")
-    cond = ((lk == F.col(f"r.{right_key}")) & (F.col(bucket) == F.col("_r_bucket"))
-            & (F.col(f"r.{right_ts}") > lt) & (F.col(f"r.{right_ts}") < upper))
-    pairs = l_exp.join(r_tag, cond, "left")
-    same = Window.partitionBy(*[F.col(f"l.{c}") for c in dict.fromkeys([left_id, left_key, left_ts])])
-    pairs = pairs.withColumn(some, F.max(hit).over(same))
-    kept = pairs.where(F.col(hit) | (F.col(some).isNull() & (F.col(home) == 0)))
-    return kept.select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in right.columns])
+    bucket, home = "_bucket", "_r_bucket"
+    lk, lt, rt = F.col(left_key), F.col(left_ts), F.col(right_ts)
+    alone = -F.pmod(F.xxhash64(left_id), F.lit(997)).cast("int") - 1
+    l_tag = left.withColumn(bucket, F.when(lk.isNull() | lt.isNull(), alone).otherwise(month_bucket(lt, months))).alias("l")
+    own = month_bucket(rt, months)
+    r_tag = (right.where(F.col(right_key).isNotNull() & rt.isNotNull())
+             .select("*", F.explode(F.array(own, own - 1)).alias(home)).alias("r"))
+    upper = F.col(f"l.{left_ts}") + F.make_ym_interval(F.lit(0), F.lit(months))
+    cond = ((F.col(f"l.{left_key}") == F.col(f"r.{right_key}")) & (F.col(bucket) == F.col(home))
+            & (F.col(f"r.{right_ts}") > F.col(f"l.{left_ts}")) & (F.col(f"r.{right_ts}") < upper))
+    return l_tag.join(r_tag, cond, "left").select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in right.columns])
 
 
 def calendar_join(df: DataFrame, calendar: DataFrame, on: Column, prefix: str = "",

@@ -50,8 +50,7 @@ def discovery_call_rows(crm, window: DateWindow, activity_window: DateWindow | N
 
     One row per (call, opportunity), as the reference's QUALIFY keeps: the call side is brought
     down to one row per call before the interval join (a call row does not depend on the
-    opportunity), and (call, opportunity) pairs are deduplicated after it, so repeated user,
-    account, contact or opportunity rows repeat nothing.
+    opportunity), and so are the opportunities, so repeated user, account, contact or opportunity rows repeat nothing.
 
     ``accounts`` (one column of distinct account ids) restricts the calls to those accounts.
 
@@ -94,11 +93,11 @@ def discovery_call_rows(crm, window: DateWindow, activity_window: DateWindow | N
     opps = (sales_opps(crm, "opportunity_id", "account_id", "created_date")
             .where(lookahead_range(window, F.col("created_date")))
             .select(F.col("opportunity_id").alias("disco_created_opp_id"),
-                    F.col("account_id").alias("v_account_id"), "created_date"))
+                    F.col("account_id").alias("v_account_id"), "created_date")
+            .distinct())  # three narrow columns: one row per pair where opportunity rows repeat
     j = interval_join(calls, opps, left_key="a_id", right_key="v_account_id",
                       left_ts="disco_create_date", right_ts="created_date",
                       months=LOOKAHEAD_MONTHS, left_id="discovery_ids")
-    j = j.distinct()  # one row per pair where opportunity rows repeat; the pairs are already dealt by call
     hit = F.col("activity_id").isNotNull()
     extra = ["fiscal_year", "fiscal_quarter"] if with_fiscal else []
     return j.select(

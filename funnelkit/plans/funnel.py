@@ -1,32 +1,8 @@
-"""B7 combined funnel and B8 funnel aggregate, computed without the full-outer fan-out.
+"""Won opportunities with a lead (B13), and the lead and segment parts it shares with the chain's row counts.
 
-The reference builds COMBINED_TABLE as a left-anchored chain
-
-    OPPS o FULL JOIN DISCO_CALLS d ON o.opp = d.opp
-           FULL JOIN LEADS l      ON o.opp = l.contact_path_opp
-           FULL JOIN LEADS lao    ON o.opp = lao.account_path_opp
-           FULL JOIN ACTIVITIES a ON o.account = a.account
-
-keeps rows whose COALESCE(o.seg, d.seg, l.seg, lao.seg, a.seg) is one of four
-segments, and counts distinct ids per segment.  Every opportunity row is
-multiplied by all activities of its account (and by the account's leads and
-calls), so the literal chain is quadratic in a busy account.
-
-Exact factoring used here.  Later joins only test ``o.`` keys, so every output
-row is either anchored at one opportunity ``o`` (with any combination of its
-matches on each side, NULL-padded when a side has none) or is a single
-unmatched side row.  For an anchored row the segment is ``o.seg`` when that is
-not NULL, else the first non-NULL segment among the chosen side rows.  So the
-set of segments any side row can reach only depends on *which segment values
-(and whether NULL) occur on each side of its opportunity*.  Those value sets are
-bounded bitmasks (NULL, SMB, Key, Self-Service, Enterprise, other), aggregated
-with ``bit_or`` per join key -- map-side combinable, so a key holding a third of
-all rows still ships one row per partition.  Each metric id is then emitted
-once per segment it can reach, and a long-form ``distinct`` + ``count`` gives
-the 21 distinct counts.  All joins are many-to-one lookups on the summaries.
-
-Assumption (checked in tests): opportunity ids are unique in the fact view and
-CRM object ids are unique in their tables, as primary keys.
+Row by row this is the combined chain of ``combined`` kept where an opportunity is won and a lead eligible.  Here
+everything starts from the won opportunities, and the sides that only matter through their segments are kept as 6-bit
+masks of the segments that occur (``value_sets``), gathered map-side per key.
 """
 
 from __future__ import annotations
@@ -35,40 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelkit.functions import exprs as X
-from funnelkit.operators.relational import pivot_distinct_counts
-from funnelkit.plans.activities import DateWindow, owners, qualified_activities, ts_window
+from funnelkit.operators.value_sets import NOT_NULL, NULL_BIT, SEGMENT_BITS, SegmentSets
+from funnelkit.plans.activities import DateWindow, owners, qualified_activities
 from funnelkit.plans.calls import discovery_call_rows
-from funnelkit.plans.leads import (ACCOUNT_PATH_MAX_GMV, discovery_ids, filtered_leads)
-from funnelkit.plans.opportunities import stage_ids, opportunity_stage_rows, sales_opps
+from funnelkit.plans.leads import ACCOUNT_PATH_MAX_GMV, filtered_leads
+from funnelkit.plans.opportunities import opportunity_stage_rows
 
-# --- segment bitmasks ------------------------------------------------------------
-NULL_BIT = 1
-SEGMENT_BITS = {"SMB": 2, "Key": 4, "Self-Service": 8, "Enterprise": 16}
-OTHER_BIT = 32
 KEEP = sum(SEGMENT_BITS.values())
-NOT_NULL = 63 ^ NULL_BIT
-# ACCOUNT_BASED_SEGMENT relabels Self-Service as SMB: one label per group of bits, so an id
-# reaching both SMB and Self-Service is emitted once
-BIT_LABELS = [(2 | 8, "SMB"), (4, "Key"), (16, "Enterprise")]
-
-
-def seg_code(seg: Column) -> Column:
-    out = F.when(seg.isNull(), F.lit(NULL_BIT))
-    for name, bit in SEGMENT_BITS.items():
-        out = out.when(seg == F.lit(name), F.lit(bit))
-    return out.otherwise(F.lit(OTHER_BIT))
-
-
-def _nn(m: Column) -> Column:
-    return m.bitwiseAND(F.lit(NOT_NULL))
-
-
-def _has_null(m: Column) -> Column:
-    return m.bitwiseAND(F.lit(NULL_BIT)) != 0
+OPP_COLUMNS = ["opp_account_id", "opp_account_segment", "created_opps", "est_gmv"]
 
 
-def _if(cond: Column, m: Column) -> Column:
-    return F.when(cond, m).otherwise(F.lit(0))
+def seg_code(seg: str) -> Column:
+    """Bit of a segment column."""
+    return F.expr(SegmentSets().own(seg))
 
 
 def coal(*masks: Column) -> Column:
@@ -76,14 +31,8 @@ def coal(*masks: Column) -> Column:
     if not masks:
         return F.lit(NULL_BIT)
     head, rest = masks[0], masks[1:]
-    return _nn(head).bitwiseOR(_if(_has_null(head), coal(*rest)))
-
-
-def _or(*ms: Column) -> Column:
-    out = ms[0]
-    for m in ms[1:]:
-        out = out.bitwiseOR(m)
-    return out
+    tail = F.when(head.bitwiseAND(F.lit(NULL_BIT)) != 0, coal(*rest)).otherwise(F.lit(0))
+    return head.bitwiseAND(F.lit(NOT_NULL)).bitwiseOR(tail)
 
 
 def _bits(name: str, df: DataFrame, key: str, code: Column) -> DataFrame:
@@ -91,20 +40,6 @@ def _bits(name: str, df: DataFrame, key: str, code: Column) -> DataFrame:
         F.bit_or(code).alias(name))
 
 
-# --- inputs ----------------------------------------------------------------------
-
-# columns of the activity and call sides that the funnel metrics read
-ACTIVITY_COLUMNS = ["activity_id", "activity_account_id", "activity_contact_id", "activity_account_segment",
-                    "owner_name", "owner_role"]
-CALL_COLUMNS = ["discovery_ids", "disco_created_opp_id", "disco_account_segment", "disco_account_tas",
-                "activity_disco_account_ids", "activity_disco_contact_ids"]
-
-
-OPP_COLUMNS = ["opp_account_id", "opp_account_segment", "created_opps", "est_gmv"]
-COUNTED_OPP_COLUMNS = ["bda_supported_opp", "won_opps_id", "lost_opps_id", "open_opps_id", "launched_opp_ids",
-                       "captured_opp_ids"]
-
-
 def lead_base(crm, window: DateWindow) -> DataFrame:
     """One row per lead passing the B4 filters, with lead-level ids and flags."""
     l = filtered_leads(crm, window)
@@ -117,7 +52,7 @@ def lead_base(crm, window: DateWindow) -> DataFrame:
     return j.select(
         lid.alias("lead_id"), F.col("convertedcontactid").alias("lead_cc"),
         F.col("c_id").alias("lead_contact"), F.col("al_id").alias("lead_account"),
-        seg_code(F.col("lead_account_segment1")).alias("lc"),
+        seg_code("lead_account_segment1").alias("lc"),
         X.revenue_band_value(F.col("annual_sales_band")).alias("l_tas"),
         X.id_when(F.col("eligibility_status") == "Eligible", lid).alias("eligible_lead_ids"),
         X.id_when(F.col("passed_mql") == F.lit(True), lid).alias("mql_lead_id"),
@@ -129,13 +64,13 @@ def lead_base(crm, window: DateWindow) -> DataFrame:
 
 def summarise(o: DataFrame, calls: DataFrame, leads: DataFrame, voc: DataFrame, activities: DataFrame) -> DataFrame:
     """Per opportunity of ``o``: its columns, its own segment code and the segment sets of each side."""
-    sd = _bits("sd", calls, "disco_created_opp_id", seg_code(F.col("disco_account_segment")))
+    sd = _bits("sd", calls, "disco_created_opp_id", seg_code("disco_account_segment"))
     cl = _bits("cl", leads, "lead_cc", F.col("lc"))
     sl = (voc.where(F.col("v_opp").isNotNull())
           .join(cl, voc["voc_contact"] == cl["cl_key"], "inner")
           .groupBy(F.col("v_opp").alias("sl_key")).agg(F.bit_or("cl").alias("sl")))
     call_ = _bits("call", leads, "lead_account", F.col("lc"))
-    sa = _bits("sa", activities, "activity_account_id", seg_code(F.col("activity_account_segment")))
+    sa = _bits("sa", activities, "activity_account_id", seg_code("activity_account_segment"))
     j = (o.join(sd, o["created_opps"] == sd["sd_key"], "left")
           .join(sl, o["created_opps"] == sl["sl_key"], "left")
           .join(call_, o["opp_account_id"] == call_["call_key"], "left")
@@ -144,7 +79,7 @@ def summarise(o: DataFrame, calls: DataFrame, leads: DataFrame, voc: DataFrame,
     slao = F.when(F.col("est_gmv") < ACCOUNT_PATH_MAX_GMV, F.coalesce(F.col("call"), one)).otherwise(one)
     return j.select(
         *o.columns,
-        seg_code(F.col("opp_account_segment")).alias("so"),
+        seg_code("opp_account_segment").alias("so"),
         F.coalesce(F.col("sd"), one).alias("sd"),
         F.coalesce(F.col("sl"), one).alias("sl"),
         slao.alias("slao"),
@@ -152,188 +87,18 @@ def summarise(o: DataFrame, calls: DataFrame, leads: DataFrame, voc: DataFrame,
     )
 
 
-def _anchored(so: Column, rest: Column) -> Column:
-    """Opportunity segment decides alone when it is not NULL."""
-    return F.when(so != NULL_BIT, so).otherwise(rest)
-
-
-def _emit(df: DataFrame, groups: list[tuple[Column, dict[str, Column]]]) -> DataFrame:
-    """(segment label, metric, value) rows: each group's metrics for every kept segment bit of its mask."""
-    labels = F.array(*[F.struct(F.lit(bits).alias("bit"), F.lit(lbl).alias("label")) for bits, lbl in BIT_LABELS])
-    none = F.struct(F.lit("_present").alias("metric"), F.lit(None).cast("string").alias("value"))
-    made = F.array(*[F.struct(mask.alias("mask"), F.array(none, *[
-        F.struct(F.lit(n).alias("metric"), c.cast("string").alias("value")) for n, c in metrics.items()]).alias("mv"))
-        for mask, metrics in groups])
-    return (df.select(F.explode(made).alias("g"))
-            .where(F.col("g.mask").bitwiseAND(F.lit(KEEP)) != 0)
-            .select(F.explode(F.filter(labels, lambda s: F.col("g.mask").bitwiseAND(s["bit"]) != 0)).alias("s"), "g.mv")
-            .select("s.label", F.explode("mv").alias("m"))
-            .select(F.col("label").alias("account_based_segment"), F.col("m.metric").alias("metric"),
-                    F.col("m.value").alias("value")))
-
-
-FUNNEL_METRICS = [
-    "all_activities", "all_accounts_reached", "all_contacts_reached", "all_account_with_disco",
-    "all_contacts_with_disco", "all_eligible_leads", "all_mql_leads", "all_sal_leads", "all_sql_leads",
-    "all_leads_to_disco_call", "all_leads_to_opps_artificially_low", "all_leads_to_opps_artificially_high",
-    "all_discos", "all_disco_to_opps", "all_created_opps", "all_bda_support_op", "all_open_opps",
-    "all_won_opps", "all_lost_opps", "all_launched_opps", "all_captured_opps",
-]
-
-
-def _by_opportunity(crm, window: DateWindow, calls: DataFrame, leads: DataFrame, activities: DataFrame) -> DataFrame:
-    """Everything that knows an opportunity, met by one shuffle on its id.
-
-    Rows: sales opportunities (``is_deal``; ``inside`` the window or not) with their account's lead and activity masks,
-    calls with an opportunity, and contact roles of contacts that have a lead.  One window per opportunity gives every
-    row the opportunity's own segment code ``so`` (null unless it is inside), ``slao``, ``sa`` and the segment sets of
-    its calls ``sd`` and contact-path leads ``sl``.  A row count per opportunity is its calls and roles: no hot key.
-    """
-    by_contact = leads.where(F.col("lead_cc").isNotNull()).groupBy(F.col("lead_cc").alias("bc_contact")).agg(F.bit_or("lc").alias("cl"))
-    by_account = leads.groupBy(F.col("lead_account").alias("ba_account")).agg(
-        F.bit_or("lc").alias("al"), F.bit_or(F.when(F.col("acc_path_ok"), F.col("lc"))).alias("cq"))
-    sa = _bits("sa_own", activities, "activity_account_id", seg_code(F.col("activity_account_segment")))
-    columns = stage_ids()
-    read = dict.fromkeys(["created_date", *[c for n in [*OPP_COLUMNS, *COUNTED_OPP_COLUMNS] for c in columns[n][0]]])
-    deals = sales_opps(crm, *read)
-    deals = (deals.join(by_account, deals["account_id"] == by_account["ba_account"], "left")
-             .join(sa, deals["account_id"] == sa["sa_own_key"], "left"))
-    inside = ts_window(window, F.col("created_date"))
-    capped = F.coalesce(F.col("est_gmv") < ACCOUNT_PATH_MAX_GMV, F.lit(False))
-    one = F.lit(NULL_BIT)
-    deal_rows = deals.select(
-        F.col("opportunity_id").alias("opp"), F.lit(True).alias("is_deal"), inside.alias("inside"),
-        F.col("account_id").alias("deal_account"), (capped & F.col("ba_account").isNotNull()).alias("account_path"), "cq",
-        F.when(inside, seg_code(F.col("account_segment"))).alias("own_so"),
-        F.when(inside, F.when(capped, F.coalesce("al", one)).otherwise(one)).alias("own_slao"),
-        F.when(inside, F.coalesce("sa_own", one)).alias("own_sa"),
-        *[F.when(inside, columns[n][1]).alias(n) for n in ["created_opps", *COUNTED_OPP_COLUMNS]])
-    call_rows = calls.where(F.col("disco_created_opp_id").isNotNull()).select(
-        F.col("disco_created_opp_id").alias("opp"), seg_code(F.col("disco_account_segment")).alias("dc"),
-        "discovery_ids", "activity_disco_account_ids", "activity_disco_contact_ids")
-    role = crm.opportunity_contact_role
-    role_rows = role.join(by_contact, role["contactid"] == by_contact["bc_contact"], "inner").select(
-        F.col("opportunityid").alias("opp"), F.col("contactid").alias("role_contact"), "cl")
-    rows = deal_rows.unionByName(call_rows, allowMissingColumns=True).unionByName(role_rows, allowMissingColumns=True)
-    w = Window.partitionBy("opp")
-    return rows.select(
-        "*", F.max("own_so").over(w).alias("so"), F.max("own_slao").over(w).alias("slao"), F.max("own_sa").over(w).alias("sa"),
-        F.coalesce(F.max("is_deal").over(w), F.lit(False)).alias("known"),
-        F.coalesce(F.bit_or("dc").over(w), one).alias("sd"), F.coalesce(F.bit_or("cl").over(w), one).alias("sl"))
-
-
-def funnel_long(crm, window: DateWindow) -> DataFrame:
-    activities = qualified_activities(crm, window).select(*ACTIVITY_COLUMNS)
-    calls = discovery_call_rows(crm, window, activities=activities).select(*CALL_COLUMNS)
-    leads = lead_base(crm, window)
-    met = _by_opportunity(crm, window, calls, leads, activities)
-    so, sd, sl, slao, sa = (F.col(c) for c in ("so", "sd", "sl", "slao", "sa"))
-    matched, none = so.isNotNull(), F.lit(0)
-    is_deal, is_call, is_role = F.col("is_deal").isNotNull(), F.col("dc").isNotNull(), F.col("role_contact").isNotNull()
-    dc, cl, cq, lc = (F.col(c) for c in ("dc", "cl", "cq", "lc"))
-
-    # (1) opportunities, (2) calls with an opportunity, (3) contact-path and (4) account-path opportunity ids
-    deal_mask = F.when(is_deal & matched, _anchored(so, coal(sd, sl, slao, sa))).otherwise(none)
-    call_mask = F.when(~is_call, none).when(
-        matched, _anchored(so, F.when(dc != NULL_BIT, dc).otherwise(coal(sl, slao, sa)))).otherwise(dc)
-    role_mask = F.when(~is_role, none).when(
-        matched, _anchored(so, _or(_nn(sd), _if(_has_null(sd), _or(_nn(cl), _if(_has_null(cl), coal(slao, sa))))))).otherwise(cl)
-    path_mask = F.when(~(is_deal & F.col("account_path") & cq.isNotNull()), none).when(
-        matched, _anchored(so, _or(_nn(sd), _if(_has_null(sd), _or(
-            _nn(sl), _if(_has_null(sl), _or(_nn(cq), _if(_has_null(cq), sa)))))))).otherwise(cq)
-    parts = [_emit(met, [
-        (deal_mask, {
-            "all_created_opps": F.col("created_opps"), "all_bda_support_op": F.col("bda_supported_opp"),
-            "all_open_opps": F.col("open_opps_id"), "all_won_opps": F.col("won_opps_id"),
-            "all_lost_opps": F.col("lost_opps_id"), "all_launched_opps": F.col("launched_opp_ids"),
-            "all_captured_opps": F.col("captured_opp_ids")}),
-        (call_mask, {
-            "all_discos": F.col("discovery_ids"), "all_disco_to_opps": F.col("opp"),
-            "all_account_with_disco": F.col("activity_disco_account_ids"),
-            "all_contacts_with_disco": F.col("activity_disco_contact_ids")}),
-        # a role on another kind of opportunity stands alone, without an id to count
-        (role_mask, {"all_leads_to_opps_artificially_low": F.when(F.col("known"), F.col("opp"))}),
-        (path_mask, {"all_leads_to_opps_artificially_high": F.col("opp")}),
-    ])]
-
-    # calls without an opportunity stand alone
-    alone = calls.where(F.col("disco_created_opp_id").isNull())
-    parts.append(_emit(alone, [(seg_code(F.col("disco_account_segment")), {
-        "all_discos": F.col("discovery_ids"), "all_account_with_disco": F.col("activity_disco_account_ids"),
-        "all_contacts_with_disco": F.col("activity_disco_contact_ids")})]))
-
-    # leads: per contact, what the opportunities it has a role on let through
-    through = matched & (so == NULL_BIT) & _has_null(sd)
-    per_contact = met.where(is_role).groupBy(F.col("role_contact").alias("pc_contact")).agg(
-        F.bit_or(F.when(matched, F.when(so != NULL_BIT, so).otherwise(_nn(sd))).otherwise(0)).alias("pc_fixed"),
-        F.bool_or(F.coalesce(through, F.lit(False))).alias("pc_through"),
-        F.bit_or(F.when(through, coal(slao, sa)).otherwise(0)).alias("pc_tail"),
-        F.bool_or(~matched).alias("pc_unmatched"),
-    )
-    # account-path rows that match no opportunity inside the window stand alone with the lead's segment: a lead has
-    # one when its account has no account-path opportunity, or one created outside
-    per_path = met.where(is_deal & F.col("account_path")).groupBy(F.col("deal_account").alias("vs_account")).agg(
-        F.bool_or(~matched).alias("vs_unmatched"))
-    lb = (leads.join(per_contact, leads["lead_cc"] == per_contact["pc_contact"], "left")
-          .join(per_path, leads["lead_account"] == per_path["vs_account"], "left"))
-    lead_mask = _or(
-        F.coalesce(F.col("pc_fixed"), F.lit(0)),
-        _if(F.coalesce(F.col("pc_through"), F.lit(False)),
-            F.when(lc != NULL_BIT, lc).otherwise(F.coalesce(F.col("pc_tail"), F.lit(0)))),
-        _if(F.coalesce(F.col("pc_unmatched"), F.lit(True)), lc))
-    lb = lb.withColumn("lead_mask", lead_mask)
-    parts.append(_emit(lb, [
-        (F.col("lead_mask"), {
-            "all_eligible_leads": F.col("eligible_lead_ids"), "all_mql_leads": F.col("mql_lead_id"),
-            "all_sal_leads": F.col("sal_lead_id"), "all_sql_leads": F.col("sql_lead_id")}),
-        (_if(F.coalesce(F.col("vs_unmatched"), F.lit(True)), lc), {}),
-    ]))
-    # calls on the lead's contact: segments are the lead's, collected per contact first
-    contact_mask = lb.where(F.col("lead_contact").isNotNull()).groupBy(
-        F.col("lead_contact").alias("cm_contact")).agg(F.bit_or("lead_mask").alias("cm_mask"))
-    dids = discovery_ids(crm, window)
-    dl = dids.join(contact_mask, dids["whoid"] == contact_mask["cm_contact"], "inner")
-    parts.append(_emit(dl, [(F.col("cm_mask"), {"all_leads_to_disco_call": F.col("discovery_ids")})]))
-
-    # (5) activity-side ids, by account
-    prefix = _or(_nn(sd), _if(_has_null(sd), _or(_nn(sl), _if(_has_null(sl), _nn(slao)))))
-    per_account = met.where(is_deal & matched & F.col("deal_account").isNotNull()).groupBy(
-        F.col("deal_account").alias("pa_account")).agg(
-        F.bit_or(_anchored(so, prefix)).alias("pa_fixed"),
-        F.bool_or((so == NULL_BIT) & _has_null(sd) & _has_null(sl) & _has_null(slao)).alias("pa_through"))
-    a = activities.join(per_account, activities["activity_account_id"] == per_account["pa_account"], "left")
-    ac = seg_code(F.col("activity_account_segment"))
-    a_mask = F.when(F.col("pa_account").isNotNull(),
-                    _or(F.col("pa_fixed"), _if(F.col("pa_through"), ac))).otherwise(ac)
-    parts.append(_emit(a, [(a_mask, {
-        "all_activities": F.col("activity_id"), "all_accounts_reached": F.col("activity_account_id"),
-        "all_contacts_reached": F.col("activity_contact_id")})]))
-
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def full_funnel(crm, window: DateWindow) -> DataFrame:
-    """Q6 (B7 + B8): distinct counts per account-based segment."""
-    long = funnel_long(crm, window)
-    wide = pivot_distinct_counts(long, "account_based_segment", FUNNEL_METRICS)
-    return wide.withColumn("outbound_discos", F.col("all_discos") - F.col("all_leads_to_disco_call"))
-
-
 def won_with_lead(crm, window: DateWindow) -> DataFrame:
     """Q9 (B13): won opportunities with an eligible contact-path lead, with the TAS band.
 
-    Same factoring as ``full_funnel``: rows pair a won opportunity with an
-    eligible lead of one of its contact roles; the calls of the opportunity only
-    matter through their (TAS, segment) values, the account-path leads and
-    activities only through their segment sets.  Everything starts from the won
-    opportunities: each side is semi-joined to them, or to their accounts,
-    before it is summarised.
+    Rows pair a won opportunity with an eligible lead of one of its contact roles; the calls of the opportunity only
+    matter through their (TAS, segment) values, the account-path leads and activities only through their segment
+    sets.  Each side is semi-joined to the won opportunities, or to their accounts, before it is summarised.  A repeated
+    opportunity id is an error when the report runs; the window that counts them deals the rows as the next join needs them.
     """
     won = opportunity_stage_rows(crm, window, [*OPP_COLUMNS, "opp_account_tas", "won_opps_id", "close_date"])
     won = won.where(F.col("won_opps_id").isNotNull())
+    times = F.count(F.lit(1)).over(Window.partitionBy("created_opps"))
+    repeated = F.raise_error(F.concat(F.lit("opportunity id is not unique: "), F.col("created_opps"))).cast("string")
     keys = won.select(F.col("created_opps").alias("won_key")).distinct()
     accounts = won.select(F.col("opp_account_id").alias("won_account")).distinct()
 
@@ -345,11 +110,12 @@ def won_with_lead(crm, window: DateWindow) -> DataFrame:
     calls = calls.join(keys, calls["disco_created_opp_id"] == keys["won_key"], "left_semi").select(
         "disco_created_opp_id", "disco_account_segment", "disco_account_tas")
     activities = qualified_activities(crm, window, accounts=accounts).select("activity_account_id", "activity_account_segment")
-    os_ = summarise(won, calls, leads, voc, activities)
+    once = won.withColumn("won_opps_id", F.when(times > 1, repeated).otherwise(F.col("won_opps_id")))
+    os_ = summarise(once, calls, leads, voc, activities)
 
     dred = calls.select(
         F.col("disco_created_opp_id").alias("dr_opp"), F.col("disco_account_tas").alias("d_tas"),
-        seg_code(F.col("disco_account_segment")).alias("dc")).distinct()
+        seg_code("disco_account_segment").alias("dc")).distinct()
     el = leads.where(F.col("eligible_lead_ids").isNotNull())
     pairs = (voc.join(os_, voc["v_opp"] == os_["created_opps"], "inner")
              .join(el, F.col("voc_contact") == el["lead_cc"], "inner")

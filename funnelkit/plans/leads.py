@@ -37,12 +37,8 @@ def discovery_ids(crm, window: DateWindow, narrow_roles: bool = False, with_date
                     X.id_if_prefix(F.col("whoid"), X.LEAD_PREFIX).alias("lead_id"))
 
 
-def filtered_leads(crm, window: DateWindow | None) -> DataFrame:
-    """Lead rows that pass the B4 WHERE clause, with their converted account.
-
-    The account lookup is written as an inner join: the WHERE test on the
-    account's self-service flag rejects the NULL-extended rows anyway (J14).
-    """
+def counted_leads(crm, window: DateWindow | None) -> DataFrame:
+    """Lead rows that pass the tests of the B4 WHERE clause on the lead itself."""
     l = crm.lead
     src = F.col("leadsource")
     cond = ((F.col("business_unit") == F.lit(LEAD_BUSINESS_UNIT))
@@ -51,11 +47,20 @@ def filtered_leads(crm, window: DateWindow | None) -> DataFrame:
             & ~F.col("email").ilike(INTERNAL_EMAIL_PATTERN))
     if window is not None:
         cond = cond & ts_window(window, F.col("createddate"))
+    return l.where(cond)
+
+
+def filtered_leads(crm, window: DateWindow | None) -> DataFrame:
+    """Lead rows that pass the B4 WHERE clause, with their converted account.
+
+    The account lookup is written as an inner join: the WHERE test on the
+    account's self-service flag rejects the NULL-extended rows anyway (J14).
+    """
     al = crm.account.select(F.col("id").alias("al_id"),
                             F.col("segment").alias("lead_account_segment1"),
                             F.col("vertical").alias("lead_account_vertical"),
                             F.col("self_service").alias("al_self_service"))
-    return (l.where(cond).alias("l")
+    return (counted_leads(crm, window).alias("l")
              .join(al, F.col("l.convertedaccountid") == al["al_id"], "inner")
              .where(F.col("al_self_service") == F.lit(False))
              .drop("al_self_service"))

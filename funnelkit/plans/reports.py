@@ -10,7 +10,8 @@ from funnelkit.operators.relational import calendar_join, first_per_key
 from funnelkit.params import DEFAULT, ReportParams
 from funnelkit.plans.activities import qualified_activities
 from funnelkit.plans.calls import discovery_call_rows
-from funnelkit.plans.funnel import full_funnel, won_with_lead
+from funnelkit.plans.combined import full_funnel
+from funnelkit.plans.funnel import won_with_lead
 from funnelkit.plans.leads import (ACCOUNT_PATH_MAX_GMV, discovery_ids, filtered_leads, lead_rows)
 from funnelkit.plans.opportunities import (opps_created, rep_count_by_quarter, sales_opps, win_rate)
 
@@ -26,7 +27,7 @@ def q2_accounts_touched(crm, p: ReportParams = DEFAULT) -> DataFrame:
 
 
 def q3_activity_volume(crm, p: ReportParams = DEFAULT) -> DataFrame:
-    a = qualified_activities(crm, p.window, with_fiscal=True)
+    a = qualified_activities(crm, p.window)
     a = a.where(F.col("activity_account_id").isNotNull())
     return (a.groupBy("activity_account_id", "activity_account_segment", "activity_account_vertical",
                       "owner_name", "owner_role", "activity_type")

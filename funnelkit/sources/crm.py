@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -234,10 +235,8 @@ VIEWS["event"] = View("events", "x", [
     ("accountid", f"'001' || {pad('x.user_id')}"),
 ], where="x.event_type IN ('signup', 'purchase')")
 
-# The calendar reaches from the first day of the year of the earliest date any view holds to the last day
-# of the year of the latest.  Opportunity dates follow the data (an opportunity closes or is captured up
-# to 200 days after its creation); all other dates come from the fixed day ranges of the projections above.
-CALENDAR_BASE, CALENDAR_DAYS, CALENDAR_REACH = "1995-01-01", 2500, 200
+# One row a day over a stated reach; a date outside it is an error where it is looked up (``calendar_join``).
+CALENDAR_FIRST, CALENDAR_LAST = "1900-01-01", "2199-12-31"
 CALENDAR_COLUMNS = [
     ("date_key", "date_key"),
     ("fiscal_year", fiscal_year("date_key")),
@@ -286,13 +285,11 @@ def _spark_view(v: View, read, columns: list[str]) -> DataFrame:
     return df.selectExpr(*[f"{_render(e, 'spark', '_copy')} AS {n}" for n, e in v.columns if n in columns])
 
 
-def calendar(read) -> DataFrame:
-    """Day-grain calendar over the years that the data reach: one row a day, whatever the size of the data."""
-    reach = read("orders").agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b")).selectExpr(
-        f"trunc(least(a, DATE '{CALENDAR_BASE}'), 'YEAR') AS a",
-        f"add_months(trunc(greatest(b + {CALENDAR_REACH}, DATE '{CALENDAR_BASE}' + {CALENDAR_DAYS}), 'YEAR'), 12) - 1 AS b")
-    days = reach.selectExpr("explode(sequence(a, b, INTERVAL 1 DAY)) AS date_key")
-    return days.selectExpr(*[f"{e} AS {n}" for n, e in CALENDAR_COLUMNS])
+def calendar(spark: SparkSession) -> DataFrame:
+    """Day-grain calendar over the stated reach: a literal range, whose size the planner knows, and no scan of facts."""
+    days = (date.fromisoformat(CALENDAR_LAST) - date.fromisoformat(CALENDAR_FIRST)).days + 1
+    key = spark.range(days).selectExpr(f"DATE '{CALENDAR_FIRST}' + cast(id as int) AS date_key")
+    return key.selectExpr(*[f"{e} AS {n}" for n, e in CALENDAR_COLUMNS])
 
 
 def lead_source_map(spark: SparkSession) -> DataFrame:
@@ -363,7 +360,7 @@ class CrmViews:
             raise AttributeError(name)
         if name not in self._views:
             if name == "calendar":
-                self._views[name] = calendar(self._read)
+                self._views[name] = calendar(self._spark)
             elif name == "lead_source_map":
                 self._views[name] = lead_source_map(self._spark)
             elif name in VIEWS:
@@ -404,11 +401,8 @@ def _duck_view(v: View) -> str:
 def _duck_sql(name: str) -> str:
     if name == "calendar":
         cols = ", ".join(f"{e} AS {n}" for n, e in CALENDAR_COLUMNS)
-        first = f"date_trunc('year', least(min(cast(o_orderdate AS date)), DATE '{CALENDAR_BASE}'))"
-        last = (f"date_trunc('year', greatest(max(cast(o_orderdate AS date)) + {CALENDAR_REACH}, "
-                f"DATE '{CALENDAR_BASE}' + {CALENDAR_DAYS})) + INTERVAL 1 YEAR")
-        return (f"SELECT {cols} FROM (SELECT cast(unnest(range(cast({first} AS timestamp), cast({last} AS timestamp), "
-                f"INTERVAL 1 DAY)) AS date) AS date_key FROM orders)")
+        return (f"SELECT {cols} FROM (SELECT cast(unnest(range(TIMESTAMP '{CALENDAR_FIRST}', TIMESTAMP '{CALENDAR_LAST}' + INTERVAL 1 DAY, "
+                f"INTERVAL 1 DAY)) AS date) AS date_key)")
     if name == "lead_source_map":
         rows = ", ".join(f"('{a}', '{b}')" for a, b in LEAD_SOURCE_MAP)
         return f"SELECT * FROM (VALUES {rows}) AS m(leadsource, lead_source_mapped)"

@@ -121,7 +121,7 @@ def test_coalesce_segment_sets(spark):
     df = spark.createDataFrame([(1, 1, 4), (3, 8, 1), (2, 1, 1), (1, 1, 1)], "a int, b int, c int")
     got = [r[0] for r in df.select(coal(F.col("a"), F.col("b"), F.col("c"))).collect()]
     assert got == [4, 2 | 8, 2, 1]
-    codes = _col(spark, [("SMB",), ("N/A",), (None,), ("Enterprise",)], "s string", seg_code(F.col("s")))
+    codes = _col(spark, [("SMB",), ("N/A",), (None,), ("Enterprise",)], "s string", seg_code("s"))
     assert codes == [2, 32, 1, 16]
 
 

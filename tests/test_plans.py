@@ -182,10 +182,14 @@ def test_day_without_calendar_entry_fails(crm001):
         reports.q10_opps_created(short).collect()
 
 
-def test_interval_join_is_one_pass_keyed_by_account_and_month(no_broadcast, crm001):
+def test_interval_join_is_one_pass_keyed_by_account_and_bucket(no_broadcast, crm001):
+    """Calls stay one row each, opportunities go to two buckets, and nothing looks at the pairs again."""
     plan = _plan(reports.q5_discovery_calls(crm001)).split("== Initial Plan ==")[-1]
     joins = [ln for ln in plan.splitlines() if "SortMergeJoin" in ln and "_bucket" in ln]
     assert len(joins) == 1 and "v_account_id" in joins[0] and "a_id" in joins[0]
+    above = plan[: plan.index(joins[0])]
+    assert "Exchange" not in above and "Window" not in above
+    assert plan.count("Generate explode(array(") == 1
     assert "SortAggregate" not in plan
 
 

@@ -3,6 +3,7 @@
 * ``first_per_key``  -- QUALIFY ROW_NUMBER() OVER (PARTITION BY k ORDER BY o) = 1 (W1/W2)
 * ``interval_join``  -- equi key + open time range relative to the left row (J5),
                         bucketed by time so one hot key does not land in one task
+* ``spread_join``    -- left join whose heavy keys are cut into a grid of parts (J3)
 * ``calendar_join``  -- date / timestamp -> fiscal attributes from a calendar (J6-J8)
 * ``full_outer_join`` -- two relations, NULL keys kept out of the shuffle (J11)
 * ``union_all``      -- positional bag union of conformed branches (U1)
@@ -12,6 +13,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +60,45 @@ def interval_join(left: DataFrame, right: DataFrame, *, left_key: str, right_key
     return l_tag.join(r_tag, cond, "left").select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in right.columns])
 
 
+#: A heavy key has more than LEAST rows on a side; it is cut into at most SHARES parts of about LEAST rows.
+SHARES, LEAST = 64, 100_000
+
+
+def heavy_keys(joins: dict[str, tuple[DataFrame, str, DataFrame, str]], least: int = LEAST) -> DataFrame:
+    """The heaviest keys of some joins, given as name -> (left, its key, right, its key): ``name:key`` with the number of parts (``left_parts``,
+    ``right_parts``) to cut their rows into, ``2 * SHARES`` keys a join at most.
+
+    One partial aggregation over the keys of all sides.  A key beyond the heaviest has less than one in SHARES of
+    the rows and needs no cutting, so the result is small by construction, whatever the data."""
+    sides = [side.selectExpr(f"'{name}:' || {key} AS heavy_key", f"{int(here == 'l')}L AS l", f"{int(here == 'r')}L AS r")
+             for name, (left, left_key, right, right_key) in joins.items() for here, side, key in (("l", left, left_key), ("r", right, right_key))]
+    counts = reduce(DataFrame.unionByName, sides).where("heavy_key IS NOT NULL").groupBy("heavy_key").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    first = counts.where(f"greatest(l, r) > {least}").orderBy(F.expr("greatest(l, r) DESC"), "heavy_key").limit(2 * SHARES * len(joins))
+    return first.selectExpr("heavy_key", *[f"CAST(least({SHARES}, greatest(1, ceil({c} / {least}))) AS int) AS {name}"
+                                           for c, name in (("l", "left_parts"), ("r", "right_parts"))])
+
+
+def spread_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_id: list[str], right_id: list[str],
+                heavy: DataFrame, name: str) -> DataFrame:
+    """LEFT JOIN on one key whose heavy keys (those of the join ``name`` in ``heavy``) are cut on both sides.
+
+    The rows of a heavy key are dealt into parts by the hash of their ids, and each part of one side goes to every part of the other, so
+    a key holding a third of both sides becomes a grid of tasks.  Other rows are moved once, as in a plain join.  A
+    key with several right parts is there on the right, so a left copy that meets an empty part is no unmatched row and goes."""
+    table = F.broadcast(heavy)  # 2 * SHARES rows a join at most
+
+    def cut(side: DataFrame, key: str, ids: list[str], own: str, other: str, mark: str) -> DataFrame:
+        found = side.join(table, F.expr(f"'{name}:' || {key} = heavy_key"), "left")
+        return found.selectExpr(
+            *side.columns, f"CAST(pmod(xxhash64({', '.join(ids)}), coalesce({own}, 1)) AS int) AS {mark}_own",
+            f"explode(sequence(0, coalesce({other}, 1) - 1)) AS {mark}_other", f"coalesce({other}, 1) > 1 AS {mark}_cut")
+
+    lt = cut(left, left_key, left_id, "left_parts", "right_parts", "_l")
+    rt = cut(right, right_key, right_id, "right_parts", "left_parts", "_r")
+    joined = lt.join(rt, F.expr(f"{left_key} = {right_key} AND _l_own = _r_other AND _l_other = _r_own"), "left")
+    return joined.where(f"NOT _l_cut OR {right_key} IS NOT NULL").select(*left.columns, *right.columns)
+
+
 def calendar_join(df: DataFrame, calendar: DataFrame, on: Column, prefix: str = "",
                   columns: tuple[str, ...] = ("fiscal_year", "fiscal_quarter")) -> DataFrame:
     """Left join to the calendar on a date expression (``F.to_date(ts)`` for timestamps).

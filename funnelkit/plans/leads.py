@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.functions import exprs as X
+from funnelkit.operators.relational import heavy_keys, spread_join
 from funnelkit.plans.activities import DateWindow, owners, ts_window
 from funnelkit.plans.opportunities import sales_opps
 
@@ -66,27 +67,13 @@ def filtered_leads(crm, window: DateWindow | None) -> DataFrame:
              .drop("al_self_service"))
 
 
-def _with_account_path(rows: DataFrame, vao: DataFrame) -> DataFrame:
-    """Left join of lead rows to the account-path opportunities of their account (``al_id``).
-
-    A busy account makes a hot key on both sides, and Spark splits such a key on either side of an
-    inner join but only on the left of a left join.  So rows are parted by whether their account has
-    any such opportunity (one row per account): those that do are joined inner, the others pass by.
-    """
-    has = vao.select(F.col("vao_account_id").alias("has_account")).distinct()
-    marked = rows.join(has, F.col("al_id") == has["has_account"], "left")
-    with_opps = marked.where(F.col("has_account").isNotNull()).join(vao, F.col("al_id") == vao["vao_account_id"], "inner")
-    none = [F.lit(None).cast("string").alias(c) for c in vao.columns]
-    return with_opps.unionByName(marked.where(F.col("has_account").isNull()).select("*", *none)).drop("has_account")
-
-
 def lead_rows(crm, window: DateWindow | None, disco: DataFrame, with_dates: bool = False) -> DataFrame:
     """One row per lead x contact-role opportunity x account opportunity x call (bag).
 
     Many-to-one lookups (contact, lead-source map, owner) run first; the
     one-to-many joins that fan the lead out run last, starting from the leads
     (lead -> contact role -> opportunity), so the contact-role table is never
-    joined to all opportunities.
+    joined to all opportunities.  The two fan-outs cut heavy contacts and accounts on both sides.
     """
     l = filtered_leads(crm, window)
     c = crm.contact.select(F.col("id").alias("c_id"), F.col("passed_sql").alias("c_passed_sql"),
@@ -104,13 +91,16 @@ def lead_rows(crm, window: DateWindow | None, disco: DataFrame, with_dates: bool
     # the joins by contact stand next to one another: the leads are dealt by contact once
     by_contact = F.col("convertedcontactid")
     j = (l.join(c, by_contact == c["c_id"], "left")
-          .join(oc, by_contact == oc["oc_contactid"], "left")
-          .join(d, (by_contact == d["d_whoid"]) & F.col("c_id").isNotNull(), "left")
+          .join(d, (by_contact == d["d_whoid"]) & F.col("c_id").isNotNull(), "left"))
+    counted = counted_leads(crm, window)
+    heavy = heavy_keys({"contact": (counted, "convertedcontactid", oc, "oc_contactid"), "account": (counted, "convertedaccountid", vao, "vao_account_id")})
+    j = spread_join(j, oc, "convertedcontactid", "oc_contactid", ["id", "d_discovery_ids"], ["oc_opportunityid"], heavy, "contact")
+    j = (j
           # a contact role on a non-sales opportunity still yields a lead row (with no opportunity)
           .join(v, F.col("oc_opportunityid") == v["v_opportunity_id"], "left")
           .join(lm, F.col("c_leadsource") == lm["leadsource"], "left").drop(lm["leadsource"])
           .join(own, F.col("ownerid") == own["owner_id"], "left"))
-    j = _with_account_path(j, vao)
+    j = spread_join(j, vao, "al_id", "vao_account_id", ["id", "d_discovery_ids", "oc_opportunityid"], ["vao_opportunity_id"], heavy, "account")
 
     lid = F.col("id")
     sql_ok = F.col("c_passed_sql") == F.lit(True)

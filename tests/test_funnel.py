@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import SF0001, SF001
 from funnelkit import catalog
 from funnelkit.functions import exprs as X
+from funnelkit.operators.relational import heavy_keys, spread_join
 from funnelkit.operators.value_sets import SegmentSets, VerticalSets
 from funnelkit.sources import crm as crm_views
 
@@ -162,3 +163,20 @@ def test_fixed_lists():
     assert sorted(X.DISCOVERY_OWNER_ROLES_NARROW) == sorted([bda, executives])
     assert sorted(X.CALL_CURRENT_ROLES) == sorted([bda, executives, manager, executive, ("eq", "Sales Manager"), head, lead_bda])
     assert sorted(X.CALL_PREVIOUS_ROLES) == sorted([executive, ("like", "%Sales Manager"), ("eq", "Sales Manager"), head, lead_bda])
+
+
+def test_spread_join(spark):
+    """Heavy keys on either or both sides, against the plain join; parts of heavy keys meet in several places."""
+    rng = random.Random(4)
+    left = [(k, rng.choice(["hot"] * 5 + ["left", "both", None, "c1", "c2", "none"])) for k in range(400)]
+    right = [(k, rng.choice(["hot"] * 4 + ["right", "both", None, "c1", "c3"])) for k in range(300)] + [(900, "lone")]
+    l = spark.createDataFrame(left + [(1000, "right"), (1000, "right")], "a long, k string")
+    r = spark.createDataFrame(right, "b long, j string")
+    for least in (1, 10, 100_000):
+        heavy = heavy_keys({"x": (l, "k", r, "j"), "y": (r, "j", l, "k")}, least)
+        got = spread_join(l, r, "k", "j", ["a"], ["b"], heavy, "x")
+        assert got.columns == ["a", "k", "b", "j"]
+        assert sorted(map(str, got.collect())) == sorted(map(str, l.join(r, F.expr("k = j"), "left").collect()))
+    parts = {x.heavy_key: (x.left_parts, x.right_parts) for x in heavy_keys({"x": (l, "k", r, "j")}, 10).collect()}
+    assert min(parts["x:hot"]) > 1 and all(max(p) <= 64 for p in parts.values())
+    assert heavy_keys({"x": (l, "k", r, "j")}, 1).count() <= 128

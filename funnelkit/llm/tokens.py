@@ -8,7 +8,11 @@ one dictionary lookup a word.  Whatever does not have the plain form "words part
 space or one newline" goes through the library as a whole, so the ids always equal
 ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
-The cache holds at most ``CACHE_WORDS`` words and starts afresh when it is full.
+A Latin word with ASCII signs behind it ("word,", "word!!") is the word and one piece of signs; only short ones are
+kept as words of their own, since long ones hardly come again.
+
+The cache holds at most ``CACHE_WORDS`` words of at most ``CACHE_LETTERS`` characters and starts afresh when it is
+full; longer words are encoded each time.
 """
 
 from __future__ import annotations
@@ -20,6 +24,11 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CACHE_WORDS = 800_000
+CACHE_LETTERS = 64
+#: Longest word with signs behind it that is kept.
+SHORT = 6
+#: ASCII signs that form one piece behind letters; an apostrophe may belong to the word, and < may begin a special token.
+SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
 
 class _Whole(Exception):
@@ -47,9 +56,10 @@ class WordEncoder(dict):
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
-        self._letters = _byte_letters()
+        self._letters = dict(enumerate(_byte_letters()))
         if self._tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits; this vocabulary has more")
+        self._signs: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         packed = array("H", ids)
@@ -62,12 +72,28 @@ class WordEncoder(dict):
 
     def _merged(self, word: str) -> bytes:
         """Ids of one piece, its bytes written as the model sees them."""
-        letters = self._letters
-        return self._pack([t.id for t in self._model.tokenize("".join([letters[b] for b in word.encode()]))])
-
-    def _room(self) -> None:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
+        return self._pack([t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(self._letters))])
+
+    def _signed(self, key: str) -> bytes | None:
+        """Ids of a Latin word with signs behind it, else None."""
+        stem = key.rstrip(SIGNS)
+        if len(stem) == len(key) or not _latin(stem):
+            return None
+        signs = key[len(stem):]
+        piece = self._signs.get(signs)
+        if piece is None:
+            piece = self._merged(signs)
+            if len(signs) <= SHORT and len(self._signs) < CACHE_WORDS:
+                self._signs[signs] = piece
+        value = self[stem] + piece
+        return self._keep(key, value) if len(key) <= SHORT else value
+
+    def _keep(self, key: str, value: bytes) -> bytes:
+        if len(key) <= CACHE_LETTERS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[key] = value
+        return value
 
     def encode(self, text: str) -> bytes:
         raise NotImplementedError
@@ -81,30 +107,27 @@ class SpacedEncoder(WordEncoder):
 
     def __missing__(self, key: str) -> bytes:
         if key.isalpha() and key.isascii():
-            self._room()
-            value = self[key] = self._pack([t.id for t in self._model.tokenize(self._letters[0x20] + key)])
+            return self._keep(key, self._pack([t.id for t in self._model.tokenize(self._blank + key)]))
+        value = self._signed(key)
+        if value is not None:
             return value
         first = key[:1] == "\n"
         word = key[1:] if first else key
         if len(word.split()) != 1 or "<|" in word or word != word.strip():
             raise _Whole
-        self._room()
-        if first:
-            value = self._line_break + self._word(word, "")
-        else:
-            value = self._word(word, " ")
-        self[key] = value
-        return value
+        return self._keep(key, self._line_break + self._word(word, "") if first else self._word(word, " "))
 
     def _word(self, word: str, blank: str) -> bytes:
         if _latin(word):
             return self._merged(blank + word)
-        if word[-1] in ".," and _latin(word[:-1]):
-            return (self[word[:-1]] if blank else self._merged(word[:-1])) + self._merged(word[-1])
+        stem = "" if blank else word.rstrip(SIGNS)
+        if stem != word and _latin(stem):  # at the start of a line
+            return self._merged(stem) + self._merged(word[len(stem):])
         return self._ids(blank + word)
 
     def __init__(self, path: str):
         super().__init__(path)
+        self._blank = self._letters[0x20]
         self._line_break = self._ids("\n")
 
     def encode(self, text: str) -> bytes:
@@ -123,20 +146,21 @@ class BareEncoder(WordEncoder):
     """For vocabularies that drop blanks and case (word_bpe_49k)."""
 
     def __missing__(self, word: str) -> bytes:
+        if word.isalpha() and word.isascii():
+            return self._keep(word, self._pack([t.id for t in self._model.tokenize(word.lower())]))
+        value = self._signed(word)
+        if value is not None:
+            return value
         if "<|" in word:
             raise _Whole
-        self._room()
         if not word:
             value = b""
         elif _latin(word):
             lower = word.lower()
             value = self._merged(lower) if lower == word else self[lower]
-        elif word[-1] in ".," and _latin(word[:-1]):
-            value = self[word[:-1]] + self._merged(word[-1])
         else:
             value = self._ids(word)
-        self[word] = value
-        return value
+        return self._keep(word, value)
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text."""

@@ -2,18 +2,15 @@
 
 Each text is measured (words, their characters, symbols, repeated lines, repeated eight-word
 windows) and held against rules.  The two base rules reject a document by themselves.  The
-others are soft: a failure counts against the document's host (``source``).  For each soft rule
-the hosts' failure rates are shrunk with a beta prior fitted to all hosts by the method of moments
-(empirical Bayes), so a host with few documents is judged by what hosts are like in general.  A host
-is bad under a rule if its shrunk rate passes the rule's limit; its documents that fail that rule go.
-A document that fails no rule always stays, wherever it comes from.
-
-``host_chances`` is the verdict of the corpus pipeline (the SQL of the query fixes the one above, which rejects
-nothing where no host's rate comes near its limit).  Each soft rule has a margin, the measure as a multiple of the rule's
-limit.  The prior takes off what sampling alone may add to the variance of the hosts' rates, and the verdict
-is the posterior chance that the host's rate exceeds the prior mean.  One over that chance is the highest margin its
-documents may have: from a surely bad host every failure goes, from an average one a document that passes
-the limit twice over, and from a surely good one hardly any.
+others are soft: a failure counts against the document's host (``source``), whose failure rate is shrunk with a beta prior
+fitted to all hosts by the method of moments (empirical Bayes), so a host with few documents is judged by what hosts
+are like in general.  The prior takes off what sampling alone may add to the variance of the hosts' rates.
+
+The verdict on a host is the posterior chance that its rate exceeds the prior mean, and it is joined back to its
+documents.  Each soft rule has a margin, the measure as a multiple of the rule's limit.  One over the chance is the highest margin a
+host's documents may have: from a surely bad host every failure goes, from an average one a document that passes
+the limit twice over, and from a surely good one hardly any.  A document that fails no rule always stays, wherever it comes from.
+The corpus pipeline's first stage and the query give the same verdicts.
 
 All of it is DataFrame expressions.  The measures are taken row by row without exploding a text; the
 host table is one partial aggregation (a host with a third of all rows sends one row a task); the
@@ -31,14 +28,13 @@ from pyspark.sql import functions as F
 from funnelkit.llm.shared import BLANKS, written
 
 SPAN = 8
-#: Soft rules: name, condition on the measures, highest shrunk failure rate of a good host.
-SOFT_RULES = [
-    ("symbols", "10 * n_symbols > word_chars", 0.25),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines", 0.25),
-    ("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words", 0.25),
-    ("repeated_words", "100 * n_repeat_words > 15 * n_words", 0.25),
-]
-
+#: Soft rules: name and condition on the measures.
+SOFT_RULES = {
+    "symbols": "10 * n_symbols > word_chars",
+    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "word_length": "word_chars < 2 * n_words or word_chars > 15 * n_words",
+    "repeated_words": "100 * n_repeat_words > 15 * n_words",
+}
 #: Margins of the soft rules (a document fails above 1).  Short words are measured by the letters beyond the first, of
 #: which a good text has at least one a word.
 MARGINS = {
@@ -93,25 +89,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 def rules() -> dict[str, Column]:
     """The rules on the measures: base first, then the soft ones."""
     return {"base": F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"),
-            **{name: F.coalesce(F.expr(rule), F.lit(False)) for name, rule, _ in SOFT_RULES}}
-
-
-def host_verdicts(measured: DataFrame, host: str = "source") -> DataFrame:
-    """One row a host: ``host`` and, for each soft rule, ``bad_<rule>`` (boolean) and ``rate_<rule>``."""
-    tests = rules()
-    names = [name for name, _, _ in SOFT_RULES]
-    counted = written(measured.groupBy(F.col(host).alias("host")).agg(
-        F.count("*").alias("n"), *[F.sum(tests[x].cast("long")).alias(x) for x in names]), "hosts")
-    # beta prior of each rule by the method of moments over the hosts
-    moments = counted.agg(*[f(F.col(x) / F.col("n")).alias(f"{k}_{x}") for x in names for k, f in (("mean", F.avg), ("var", F.var_pop))])
-    out = counted.crossJoin(F.broadcast(moments))  # one row
-    for name, _, limit in SOFT_RULES:
-        mean, var = F.col(f"mean_{name}"), F.col(f"var_{name}")
-        # alpha + beta; hosts that all have one rate (or a single host) give the prior the weight of a hundred documents
-        weight = F.when((var > 0) & (mean * (1 - mean) > var), F.least(mean * (1 - mean) / var - 1, F.lit(1e6))).otherwise(F.lit(100.0))
-        rate = (F.col(name) + mean * weight) / (F.col("n") + weight)
-        out = out.withColumns({f"rate_{name}": F.round(rate, 12), f"bad_{name}": F.round(rate, 12) > limit})
-    return out.select("host", *[f"{k}_{x}" for x in names for k in ("rate", "bad")])
+            **{name: F.coalesce(F.expr(rule), F.lit(False)) for name, rule in SOFT_RULES.items()}}
 
 
 def above(a: Column, b: Column, x: Column) -> Column:
@@ -124,7 +102,7 @@ def above(a: Column, b: Column, x: Column) -> Column:
 def host_chances(measured: DataFrame, host: str = "source") -> DataFrame:
     """One row a host: ``host`` and, for each soft rule, ``chance_<rule>`` that its rate exceeds the prior mean."""
     tests = rules()
-    names = [name for name, _, _ in SOFT_RULES]
+    names = list(SOFT_RULES)
     counted = written(measured.groupBy(F.col(host).alias("host")).agg(
         F.count("*").alias("n"), *[F.sum(tests[x].cast("long")).alias(x) for x in names]), "hosts")
     # beta prior of each rule by the method of moments over the hosts
@@ -148,20 +126,17 @@ def host_chances(measured: DataFrame, host: str = "source") -> DataFrame:
     return out.select("host", *[f"chance_{x}" for x in names])
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", carry: bool = True, margins: bool = False) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", carry: bool = True) -> DataFrame:
     """doc_id, source, the measures, base_failed, host_failed (the soft rule that rejects the document
     through its host, else null), kept and, with ``carry``, the input row as struct ``row``.
 
-    ``margins`` takes ``host_chances`` for the verdict, else ``host_verdicts``.
     The measures are taken once and written; hosts and verdicts read only the columns they need."""
     rows = [F.struct("*").alias("row")] if carry else []
     lean = docs.select(*rows, "doc_id", F.col(text).alias("text"), F.col(host).alias("source"))
     measured = written(measures(lean).drop("text"), "measures")
     tests = rules()
-    verdicts = host_chances(measured) if margins else host_verdicts(measured)
-    judged = measured.join(verdicts, F.col("source").eqNullSafe(F.col("host")), "left")
+    judged = measured.join(host_chances(measured), F.col("source").eqNullSafe(F.col("host")), "left")
     # texts that fail no rule have nothing to divide by
-    bad = {x: F.expr(f"{m} * chance_{x} > 1") if margins else F.col(f"bad_{x}") for x, m in MARGINS.items()}
-    reason = F.coalesce(*[F.when(tests[x], F.when(bad[x], F.lit(x))) for x, _, _ in SOFT_RULES])
+    reason = F.coalesce(*[F.when(tests[x], F.when(F.expr(f"{m} * chance_{x} > 1"), F.lit(x))) for x, m in MARGINS.items()])
     return judged.withColumns({"base_failed": tests["base"], "host_failed": reason}).withColumn(
         "kept", ~F.col("base_failed") & F.col("host_failed").isNull())

@@ -124,22 +124,33 @@ measured AS MATERIALIZED (
   FROM d LEFT JOIN lines USING (rid) LEFT JOIN repeated USING (rid)),
 failed AS MATERIALIZED (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, [
-    {{'rule': 'symbols', 'fails': 10 * n_symbols > word_chars}},
-    {{'rule': 'repeated_lines', 'fails': 10 * n_dup_lines > 3 * n_lines}},
-    {{'rule': 'word_length', 'fails': word_chars < 2 * n_words OR word_chars > 15 * n_words}},
-    {{'rule': 'repeated_words', 'fails': 100 * n_repeat_words > 15 * n_words}}] AS tests
+    {{'rule': 'symbols', 'fails': 10 * n_symbols > word_chars, 'margin': 10 * n_symbols / word_chars}},
+    {{'rule': 'repeated_lines', 'fails': 10 * n_dup_lines > 3 * n_lines, 'margin': 10 * n_dup_lines / (3 * n_lines)}},
+    {{'rule': 'word_length', 'fails': word_chars < 2 * n_words OR word_chars > 15 * n_words,
+      'margin': greatest(word_chars / (15 * n_words), if(word_chars > n_words, n_words / (word_chars - n_words), 1e6))}},
+    {{'rule': 'repeated_words', 'fails': 100 * n_repeat_words > 15 * n_words, 'margin': 100 * n_repeat_words / (15 * n_words)}}] AS tests
   FROM measured),
 host AS (
   SELECT source, t.rule, count(*) AS n, count(*) FILTER (WHERE t.fails) AS bad
   FROM (SELECT source, unnest(tests) AS t FROM failed) GROUP BY source, t.rule),
-prior AS (SELECT rule, avg(bad / n) AS mean, var_pop(bad / n) AS var FROM host GROUP BY rule),
-weighted AS (
-  SELECT *, CASE WHEN var > 0 AND mean * (1 - mean) > var THEN least(mean * (1 - mean) / var - 1, 1e6) ELSE 100.0 END AS weight FROM prior),
+moment AS (
+  SELECT rule, avg(1 / n) AS thin, count(*) AS hosts, avg(bad / n) AS mean, var_samp(bad / n) AS var FROM host GROUP BY rule),
+prior AS (
+  SELECT rule, mean, CASE WHEN thin < 1 AND hosts > 1 AND mean > 0 AND mean < 1
+    THEN (var - drawn - 2 * drawn * sqrt(2 / (hosts - 1) + thin / (mean * (1 - mean) * hosts))) / (1 - thin) END AS own
+  FROM (SELECT *, mean * (1 - mean) * thin AS drawn FROM moment)),
+posterior AS (
+  SELECT source, rule, mean, bad + mean * weight AS a, n - bad + (1 - mean) * weight AS b
+  FROM host JOIN (SELECT *, CASE WHEN own > 0 THEN greatest(least(mean * (1 - mean) / own - 1, 1e6), 1e-3) ELSE 1e6 END AS weight FROM prior) USING (rule)),
+normal AS (
+  SELECT source, rule, mean, 3 * (one * (1 - 1 / (9 * b)) - two * (1 - 1 / (9 * a))) / sqrt(one * one / b + two * two / a) AS z
+  FROM (SELECT *, cbrt(b * mean) AS one, cbrt(a * (1 - mean)) AS two FROM posterior)),
 verdict AS MATERIALIZED (
-  SELECT source, rule, round((bad + mean * weight) / (n + weight), 12) > 0.25 AS bad FROM host JOIN weighted USING (rule)),
+  SELECT source, rule, CASE WHEN mean > 0 AND mean < 1 THEN round(1 / (1 + exp(least(1.5976 * z + 0.07056 * pow(z, 3), 700.0))), 9) ELSE 0.5 END AS chance
+  FROM normal),
 doc AS (
   SELECT rid, min(place) AS place FROM (SELECT rid, source, unnest(tests) AS t, unnest(range(4)) AS place FROM failed) f
-  JOIN verdict v ON v.rule = f.t.rule AND v.source IS NOT DISTINCT FROM f.source WHERE f.t.fails AND v.bad GROUP BY rid)
+  JOIN verdict v ON v.rule = f.t.rule AND v.source IS NOT DISTINCT FROM f.source WHERE f.t.fails AND f.t.margin * chance > 1 GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND place IS NULL AS kept, tests[place + 1].rule AS host_failed
 FROM failed LEFT JOIN doc USING (rid)

@@ -330,24 +330,24 @@ def test_quality_hosts(spark):
 
 
 def test_quality_hosts_of_given_tables(spark):
-    """Average hosts lose documents that fail by a wide margin, and none that is labelled clean."""
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    judged = quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), margins=True).filter("not base_failed").drop("row")
+    """The query rejects documents through their hosts: those that fail by a wide margin, and none that is labelled clean."""
+    path = "/root/testdata/sf0.1"
+    judged = queries.op8_quality_rules(spark, path).filter("not base_failed")
     wide = judged.filter("10 * n_symbols > 3 * word_chars")
     assert wide.count() > 0 and wide.filter("kept").count() == 0
-    rows = judged.filter("host_failed is not null").join(labels, "doc_id").collect()
-    assert rows and all(r.quality == 0 for r in rows)
+    rejected = judged.filter("not kept").join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").collect()
+    assert rejected and all(r.quality == 0 and r.host_failed for r in rejected)
 
 
 def test_quality_hot_host(spark):
     """A host with a third of all rows does not hide its junk."""
     good = "plain words that say a thing once and then another thing in other terms until there are more than twenty of them"
     rows = [(k, good + f" {k}" + " #####$$$$$%%%%%&&&&&||||<<<<>>>>" * (k % 15 == 0), "hot" if k % 3 == 0 else f"h{k % 10}") for k in range(900)]
-    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), margins=True).collect()
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert all(r.kept == (r.doc_id % 15 != 0) for r in got)
     rows = [(k, good + f" {k}", f"good{k % 9}") for k in range(180)] + [(1000, good + " #####$$$$$%%%%%&&&&&||||<<<<>>>>", "good1")]
     rows += [(2000 + k, good + " #####$$$$$%%%%%&&&&&||||<<<<>>>>" + f" {k}", "spam") for k in range(60)] + [(3000, None, "good1"), (3001, "", None)]
-    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), margins=True).collect()}
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[1000].kept and all(got[k].kept for k in range(180)) and not any(got[2000 + k].kept for k in range(60))
 
 

@@ -1,6 +1,8 @@
 """Vector bin packing of token sequences by the dot-product heuristic.
 
-An example (piece) takes three resources of a sequence: tokens, one segment, and loss-bearing tokens.
+An example (piece) takes three resources of a sequence: tokens, one segment, and loss-bearing tokens.  Of a document, the
+leading tokens that a column names (a prompt) and the end id bear no loss; of a sequence, the first token has nothing
+to be predicted from, so a sequence holds one loss-bearing token less than tokens by default.
 A sequence is filled by placing, again and again, the piece with the largest dot product of its
 demand and the sequence's free room (both as shares of the limits) among the pieces that fit in
 every dimension.  Pieces with equal demands form one class, so a step costs one pass over classes.
@@ -39,19 +41,20 @@ class Limits(NamedTuple):
 
     tokens: int = 2048
     segments: int = 256
-    loss: int = 2048
+    loss: int = 2047
 
 
 class Piece(NamedTuple):
-    """``length`` tokens of an example from ``start``; the example's last ``loss_from`` on bear loss."""
+    """``length`` tokens of an example from ``start``; the example's tokens from ``loss_from`` to ``loss_to`` bear loss."""
 
     example: int
     start: int
     length: int
     loss_from: int
+    loss_to: int
 
     def loss(self) -> int:
-        return max(0, self.start + self.length - max(self.start, self.loss_from))
+        return max(0, min(self.start + self.length, self.loss_to) - max(self.start, self.loss_from))
 
     def cut(self, at: int) -> tuple[Piece, Piece]:
         return self._replace(length=at), self._replace(start=self.start + at, length=self.length - at)
@@ -97,18 +100,19 @@ class Classes:
 
 def _head(piece: Piece, tokens: int, loss: int) -> int:
     """How many of a piece's first tokens fit into this room."""
-    plain = max(0, piece.loss_from - piece.start)
-    return min(piece.length, tokens, plain + loss)
+    if piece.loss() <= loss:
+        return min(piece.length, tokens)
+    return min(piece.length, tokens, max(0, piece.loss_from - piece.start) + loss)
 
 
-def pack_shard(examples: list[tuple[int, int]], limits: Limits = Limits(), min_cut: int = MIN_CUT) -> list[list[Piece]]:
-    """Sequences of pieces for (tokens, first loss-bearing token) examples, each of one token or more."""
+def pack_shard(examples: list[tuple[int, ...]], limits: Limits = Limits(), min_cut: int = MIN_CUT) -> list[list[Piece]]:
+    """Sequences of pieces for (tokens, first loss-bearing token[, end of the loss-bearing ones]) examples, each of one token or more."""
     out: list[list[Piece]] = []
     classes = Classes()
-    for k, (tokens, loss_from) in enumerate(examples):
-        rest = Piece(k, 0, tokens, loss_from)
-        while rest.length >= limits.tokens and _head(rest, limits.tokens, limits.loss) == limits.tokens:
-            full, rest = rest.cut(limits.tokens)
+    for k, (tokens, loss_from, *loss_to) in enumerate(examples):
+        rest = Piece(k, 0, tokens, loss_from, loss_to[0] if loss_to else tokens)
+        while rest.length >= limits.tokens and limits.tokens - (at := _head(rest, limits.tokens, limits.loss)) < min(min_cut, limits.tokens):
+            full, rest = rest.cut(at)
             out.append([full])
         if rest.length:
             classes.add(rest)
@@ -161,8 +165,11 @@ def _cut_back(sequence: list[Piece], keep: int) -> tuple[list[Piece], list[Piece
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, limits: Limits = Limits(), min_cut: int = MIN_CUT) -> DataFrame:
-    """Pieces of all documents (doc_id, text), columns as in ``SCHEMA``; every id but the end id bears loss."""
+def pack(docs: DataFrame, vocabulary: str, end_id: int, limits: Limits = Limits(), min_cut: int = MIN_CUT, first_loss: str | None = None) -> DataFrame:
+    """Pieces of all documents (doc_id, text), columns as in ``SCHEMA``.
+
+    ``first_loss`` names a column with the number of leading tokens that bear no loss (null or no column: 0); the end
+    id bears none either."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from funnelkit.llm.tokens import BareEncoder, encoder
@@ -170,12 +177,12 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, limits: Limits = Limits(
         encode = encoder(BareEncoder, vocabulary).encode
         end = np.array([end_id], "<u2").tobytes()
         base = TaskContext.get().partitionId() << 40
-        shard: list[tuple[int | None, bytes]] = []
+        shard: list[tuple[int | None, bytes, int]] = []
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, plain in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = encode(text or "") + end
-                shard.append((doc_id, ids))
+                shard.append((doc_id, ids, max(0, plain or 0)))
                 held += len(ids) // 2
                 if held >= SHARD_TOKENS:
                     packed, count = _emit(shard, limits, min_cut, base)
@@ -184,16 +191,17 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, limits: Limits = Limits(
         if shard:
             yield _emit(shard, limits, min_cut, base)[0]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    plain = F.lit(0) if first_loss is None else F.col(first_loss)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", plain.cast("long").alias("plain")).mapInArrow(run, SCHEMA)
 
 
-def _emit(shard: list[tuple[int | None, bytes]], limits: Limits, min_cut: int, base: int) -> tuple[pa.RecordBatch, int]:
-    sequences = pack_shard([(len(ids) // 2, 0) for _, ids in shard], limits, min_cut)
+def _emit(shard: list[tuple[int | None, bytes, int]], limits: Limits, min_cut: int, base: int) -> tuple[pa.RecordBatch, int]:
+    sequences = pack_shard([(len(ids) // 2, plain, len(ids) // 2 - 1) for _, ids, plain in shard], limits, min_cut)
     columns: dict[str, list] = defaultdict(list)
     for number, sequence in enumerate(sequences):
         offset = 0
         for piece in sequence:
-            doc_id, ids = shard[piece.example]
+            doc_id, ids, _ = shard[piece.example]
             part = np.frombuffer(ids, "<u2", piece.length, 2 * piece.start).astype("<u4")
             row = (doc_id, piece.start, piece.length, zlib.crc32(part.tobytes()), len(ids) // 2, base + number, offset, piece.loss())
             for name, value in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"), row):

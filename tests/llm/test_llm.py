@@ -396,6 +396,33 @@ def test_packing_cases(docs, nothing):
     assert packing.pack(nothing, public_tokenizers.path(queries.WORD_BPE), 1).count() == 0
 
 
+def test_packing_loss_column(spark):
+    """Prompts and end ids bear no loss; the limit on loss binds, and every sequence keeps it."""
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.choice([3, 40, 400]))), rng.choice([None, 0, 5, 30, 10000, -3])) for k in range(120)]
+    limits = packing.Limits(256, 64, 100)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, prompt int").coalesce(1)
+    got = packing.pack(frame, public_tokenizers.path(queries.WORD_BPE), 1, limits, first_loss="prompt").collect()
+    prompt = {k: max(0, p or 0) for k, _, p in rows}
+    loss, used = defaultdict(int), defaultdict(int)
+    for r in got:
+        assert r.loss_tokens == sum(prompt[r.doc_id] <= k < r.doc_tokens - 1 for k in range(r.start, r.start + r.length))
+        loss[r.sequence_id] += r.loss_tokens
+        used[r.sequence_id] += r.length
+    assert max(loss.values()) == limits.loss and max(used.values()) == limits.tokens
+    loose = packing.pack(frame, public_tokenizers.path(queries.WORD_BPE), 1, limits._replace(loss=256), first_loss="prompt").collect()
+    assert len(used) > 1.2 * len({r.sequence_id for r in loose})
+    assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
+    plain = packing.pack(frame, public_tokenizers.path(queries.WORD_BPE), 1).collect()
+    assert all(r.loss_tokens == r.length - (r.start + r.length == r.doc_tokens) for r in plain)
+
+
+def test_pack_shard_default_loss():
+    """A sequence's first token bears no loss: a long document goes in parts of 2047 tokens."""
+    sequences = packing.pack_shard([(10000, 0, 9999)])
+    assert [p.length for s in sequences[:4] for p in s] == [2047] * 4 and all(sum(p.loss() for p in s) <= 2047 for s in sequences)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_pack_shard_limits(seed):
     rng = random.Random(seed)

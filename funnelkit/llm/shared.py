@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset and no checkpoint folder was given (tests, one machine) is one made
-    and set."""
+    Only where that is unset and no checkpoint folder was given is one made and set, on one machine (tests); on a cluster that
+    is an error, since executors do not see a folder of the driver's machine."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="funnelkit-llm-")
         context.setCheckpointDir(named)
     return named

@@ -2,7 +2,8 @@
 
 Base spans: e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers.  Each distinct value is
 a protected entity, and so is each part that values share (an address's domain and local words, an IP
-address's first three numbers).  Terms (letter runs of ``MIN_LETTERS`` or more, lower-cased) within ``CONTEXT`` code points of an
+address's first three numbers).  Terms (letter runs, lower-cased; one of up to ``SHORT`` letters is met beside a value only where it
+is not written small, as names and scripts without case are) within ``CONTEXT`` code points of an
 entity co-occur with it.  Over the corpus, ``n(t)`` texts hold a term, ``n(e)`` hold an entity, and ``n(t, e)`` have them
 side by side (distinct texts each).  A term discloses an entity if
 
@@ -10,14 +11,19 @@ side by side (distinct texts each).  A term discloses an entity if
   ``c = (n(t, e) + SMOOTH n(e) / N) / (n(t) + SMOOTH)``, is ``MIN_CHANCE`` or more, and
 * it gives ``MIN_SHARE`` or more of the information that the entity bears: pointwise mutual information over
   ``-log(n(e) / N)``, that is ``1 - log(c) / log(n(e) / N)``.  A term that always goes with the entity has
-  a share near 1 however frequent the entity and however small the table; an entity that all texts have bears none.
+  a share near 1 however frequent the entity and however small the table; an entity that all texts have bears none, and
+* that is not chance, with ``MIN_EVIDENCE`` or more.  Background: words of about equal frequency and equal case (always
+  capitalised or not).  With ``b`` the share of the corpus's letters that stand beside a value, a class with ``A`` (term, text)
+  pairs has ``b A`` beside values by chance; ``B`` are.  ``q = min(1, b A / B)`` is the chance that such a word is there by chance,
+  and each further text with the same entity beside it is so by ``b``: the evidence is ``1 - q b^(n(t, e) - 1)``.
+  So a word that the corpus has once discloses only where such words crowd around values, as names do.
 
 Every occurrence of a disclosing term in a document with its entity becomes a span of kind ``term``;
 base spans stay.  ``sanitised`` replaces base spans by their kind in brackets (generalised) and drops terms.
 
-All of it is DataFrame expressions.  Only documents that may have base spans make rows of words; the term
-frequencies of the whole corpus are first bounded by one partial aggregation over each text's distinct words, then
-counted for the terms that the bound leaves open.  Words and
+All of it is DataFrame expressions.  Only documents that may have base spans make rows of words; the vocabulary of the
+whole corpus is one partial aggregation over each text's distinct words, which bounds and classes the terms' frequencies; exact
+ones are counted for the terms that the bound leaves open.  Words and
 entities meet through a join on (document, position bin), linear in a document's length.
 
 Null texts are empty.  Rows with equal doc_id and equal text are one document with one result, given for
@@ -44,10 +50,13 @@ LIKELY = (r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]|[0-9]\.[0-9]+\.[0-9]+\.
           r"|[0-9](?:[\x20-]?[0-9]){13}|\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = [*BASE, "term"]
 CONTEXT = 60
-MIN_LETTERS = 4
 SMOOTH = 1
 MIN_CHANCE = 0.5
 MIN_SHARE = 0.5
+MIN_EVIDENCE = 0.75
+#: Texts fall on this many places by their keys; a term's places bound its texts from below and class it.
+PLACES = 64
+SHORT = 3
 
 
 def _luhn(digits: Column) -> Column:
@@ -75,56 +84,85 @@ def _entities() -> Column:
     low = F.lower("value")
     parts = F.when(F.col("kind") == "email", F.concat(
         F.array(F.xxhash64(F.lit("domain"), F.substring_index(low, "@", -1))),
-        F.transform(F.regexp_extract_all(F.substring_index(low, "@", 1), F.lit(rf"\p{{L}}{{{MIN_LETTERS},}}"), F.lit(0)),
+        F.transform(F.regexp_extract_all(F.substring_index(low, "@", 1), F.lit(r"\p{L}+"), F.lit(0)),
                     lambda w: F.xxhash64(F.lit("local"), w))))
     parts = parts.when(F.col("kind") == "ip", F.array(F.xxhash64(F.lit("network"), F.substring_index(low, ".", 3))))
     return F.concat(F.array(F.xxhash64("kind", low)), F.coalesce(parts, F.array().cast("array<bigint>")))
 
 
 def _words(texts: DataFrame) -> DataFrame:
-    """doc_id, text_key, start, end and term of the words of ``texts`` that can be terms."""
-    found = matches(texts, [("term", rf"\p{{L}}{{{MIN_LETTERS},}}+")])
-    return found.select(*KEY, "start", "end", F.lower("value").alias("term"))
+    """doc_id, text_key, start, end, term and named (longer than ``SHORT`` or not written small) of the words of ``texts``."""
+    found = matches(texts, [("term", r"\p{L}++")])
+    first = F.substring("value", 1, 1)
+    named = (F.char_length("value") > SHORT) | (first == F.upper(first))
+    return found.select(*KEY, "start", "end", F.lower("value").alias("term"), named.alias("named"))
 
 
 def _terms(texts: DataFrame) -> DataFrame:
-    """term, text_key of the distinct words of each row of ``texts`` that can be terms."""
-    words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")))
-    return texts.select(words.alias("term"), "text_key").filter(F.char_length("term") >= MIN_LETTERS)
+    """term, text_key, capital (the word starts with a capital) of the distinct words of each row of ``texts``."""
+    words = texts.select("text_key", F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("word")).filter("word <> ''")
+    first = F.substring("word", 1, 1)
+    return words.select(F.lower("word").alias("term"), "text_key", (first != F.lower(first)).alias("capital"))
 
 
-def term_frequency(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """term, n_texts (distinct texts) of the terms of ``pairs`` (term, n_both) that may have ``MIN_CHANCE``.
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """term, places (1 to PLACES; never more than its distinct texts), capital (always so) of every term."""
+    places = F.bit_count(F.bit_or(F.expr(f"shiftleft(1L, cast(text_key & {PLACES - 1} as int))"))).cast("int")
+    return _terms(texts).groupBy("term").agg(places.alias("places"), F.bool_and("capital").alias("capital"))
 
-    The texts' keys fall on 64 places; a term has at least as many texts as places.  Only terms that this bound
-    leaves open send a row a text."""
+
+def term_frequency(texts: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """term, places, capital, n_texts (distinct texts) of the terms of ``pairs`` (term, n_both) that may have
+    ``MIN_CHANCE`` by their places in the vocabulary ``known``; only those send a row a text."""
     most = pairs.groupBy("term").agg(F.max("n_both").alias("most"))
-    places = F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(text_key & 63 as int))")))
-    least = _terms(texts).groupBy("term").agg(places.alias("least"))
-    open_ = least.join(most, "term").filter(MIN_CHANCE * (F.col("least") + SMOOTH) <= F.col("most") + SMOOTH)
-    open_ = written(open_.select("term"), "open")
-    return _terms(texts).join(open_, "term").groupBy("term").agg(F.countDistinct("text_key").alias("n_texts"))
+    open_ = known.join(most, "term").filter(MIN_CHANCE * (F.col("places") + SMOOTH) <= F.col("most") + SMOOTH)
+    open_ = written(open_.select("term", "places", "capital"), "open")
+    counts = _terms(texts).join(open_.select("term"), "term").groupBy("term").agg(F.countDistinct("text_key").alias("n_texts"))
+    return counts.join(open_, "term")
+
+
+def by_chance(known: DataFrame, beside: DataFrame, total: DataFrame) -> DataFrame:
+    """places, capital, b, q of every class of terms beside values (at most two a place).
+
+    ``known``: vocabulary; ``beside``: term, text_key, c, d of the words beside values; ``total``: one row with n_letters."""
+    held = beside.groupBy("term", "text_key").agg(F.sum(F.col("d") - F.col("c")).alias("letters"))
+    held = held.groupBy("term").agg(F.count("*").alias("near"), F.sum("letters").alias("letters"))
+    near = known.join(held, "term").groupBy("places", "capital").agg(F.sum("near").alias("near"), F.sum("letters").alias("letters"))
+    # texts from places by linear counting; where all places are taken, nothing is told from the class
+    texts = F.when(F.col("places") == 1, 1.0).when(F.col("places") < PLACES, -PLACES * F.log(1 - F.col("places") / PLACES))
+    pairs = known.groupBy("places", "capital").agg((F.count("*") * F.first(texts)).alias("pairs"))
+    b = F.least(F.lit(1.0), F.col("all_near") / F.col("n_letters"))
+    both = near.join(pairs, ["places", "capital"]).crossJoin(F.broadcast(near.agg(F.sum("letters").alias("all_near"))))
+    both = both.crossJoin(F.broadcast(total.select("n_letters"))).withColumn("b", b)
+    return both.select("places", "capital", "b", F.least(F.lit(1.0), F.coalesce(F.col("b") * F.col("pairs") / F.col("near"), F.lit(1.0))).alias("q"))
 
 
 def disclosures(spans: DataFrame, words: DataFrame, texts: DataFrame) -> DataFrame:
     """term, entity (hash) of the terms that disclose an entity, from base spans and word matches."""
     span = spans.select(*KEY, "entities", F.col("start").alias("a"), F.col("end").alias("b"))
     span = span.withColumn("bin", F.explode(F.sequence(F.floor((F.col("a") - CONTEXT) / CONTEXT), F.floor((F.col("b") + CONTEXT) / CONTEXT))))
-    word = words.select(*KEY, "term", F.col("start").alias("c"), F.col("end").alias("d"), F.floor(F.col("start") / CONTEXT).alias("bin"))
+    word = words.select(*KEY, "term", "named", F.col("start").alias("c"), F.col("end").alias("d"), F.floor(F.col("start") / CONTEXT).alias("bin"))
     s, w = span.alias("s"), word.alias("w")
     near = w.join(s, F.col("w.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("w.text_key") == F.col("s.text_key"))
                   & (F.col("w.bin") == F.col("s.bin")) & (F.col("c") >= F.col("a") - CONTEXT) & (F.col("c") <= F.col("b") + CONTEXT)
                   & ((F.col("d") <= F.col("a")) | (F.col("c") >= F.col("b"))))
-    near = near.select("term", F.explode("entities").alias("entity"), "w.text_key").distinct()
-    pairs = written(near.groupBy("term", "entity").agg(F.count("*").alias("n_both")), "pairs")
+    near = written(near.select("term", "named", "entities", "w.text_key", "c", "d").distinct(), "beside")
+    pairs = near.filter("named").select("term", F.explode("entities").alias("entity"), "text_key").distinct()
+    pairs = written(pairs.groupBy("term", "entity").agg(F.count("*").alias("n_both")), "pairs")
     entities = spans.select(F.explode("entities").alias("entity"), "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    known = pairs.join(term_frequency(texts, pairs), "term").join(entities, "entity")
-    total = texts.select("text_key").distinct().agg(F.count("*").alias("n_all"))  # one row
+    known = written(vocabulary(texts), "vocabulary")
+    letters = F.char_length(F.regexp_replace("text", r"[^\p{L}]++", ""))
+    total = texts.select("text_key", F.coalesce(letters, F.lit(0)).alias("letters")).groupBy("text_key").agg(F.max("letters").alias("letters"))
+    total = written(total.agg(F.count("*").alias("n_all"), F.sum("letters").alias("n_letters")), "total")  # one row
+    classes = by_chance(known, near.select("term", "text_key", "c", "d").distinct(), total)
+    found = pairs.join(term_frequency(texts, known, pairs), "term").join(entities, "entity").join(F.broadcast(classes), ["places", "capital"])
     common = F.col("n_entity") / F.col("n_all")
     chance = (F.col("n_both") + SMOOTH * common) / (F.col("n_texts") + SMOOTH)
     share = F.when(common < 1, 1 - F.log(chance) / F.log(common))
-    known = known.crossJoin(F.broadcast(total)).filter((F.round(chance, 9) >= MIN_CHANCE) & (F.round(share, 9) >= MIN_SHARE))
-    return known.select("term", "entity")
+    evidence = 1 - F.col("q") * F.pow("b", F.col("n_both") - 1)
+    found = found.crossJoin(F.broadcast(total)).filter(
+        (F.round(chance, 9) >= MIN_CHANCE) & (F.round(share, 9) >= MIN_SHARE) & (F.round(evidence, 9) >= MIN_EVIDENCE))
+    return found.select("term", "entity")
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -239,3 +239,62 @@ def search(docs: list[tuple], items: list[tuple], top: int = 20) -> list[tuple]:
                 scores.append((-score, doc_id is None, doc_id))
         out += [(item_id, k, doc_id, -score) for k, (score, _, doc_id) in enumerate(sorted(scores, key=lambda s: (s[0], s[1], s[2] or 0))[:top], 1)]
     return out
+
+
+def term_spans(texts: list[str], context: int = 60, least: float = 0.5, share: float = 0.5, evidence: float = 0.75, place=hash) -> list[list[tuple[int, int]]]:
+    """Spans of disclosing terms in each of the distinct ``texts``; ``place``: a text's number, whose last six bits are its place."""
+    held = []
+    for text in texts:
+        base = [(s[0], s[2], s[3], text[s[0]: s[2]].lower()) for s in base_spans(text, PERSONAL)[0]]
+        own = []
+        for a, b, kind, value in base:
+            each = {(kind, value)}
+            if kind == "email":
+                each |= {("domain", value.split("@")[-1])} | {("local", w) for w in _letters(value.split("@")[0])}
+            if kind == "ip":
+                each |= {("network", ".".join(value.split(".")[:3]))}
+            own.append((a, b, each))
+        held.append((own, [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W\d_]+", text)]))
+    n_entity, n_texts, n_both, near, capital, places = (defaultdict(set) for _ in range(6))
+    letters, beside = 0, defaultdict(set)
+    for k, (own, words) in enumerate(held):
+        for _, _, each in own:
+            for e in each:
+                n_entity[e].add(k)
+        for c, d, word in words:
+            term = word.lower()
+            letters += d - c
+            n_texts[term].add(k)
+            places[term].add(place(texts[k]) & 63)
+            capital[term].add(word[0] != word[0].lower())
+            for a, b, each in own:
+                if a - context <= c <= b + context and (d <= a or c >= b):
+                    near[term].add(k)
+                    beside[k].add((c, d))
+                    if len(word) > 3 or word[0] == word[0].upper():
+                        for e in each:
+                            n_both[term, e].add(k)
+    kinds = {t: (len(places[t]), all(capital[t])) for t in n_texts}
+    pairs, close = defaultdict(float), defaultdict(int)
+    for t, (n, _) in kinds.items():
+        pairs[kinds[t]] += 1.0 if n == 1 else -64 * math.log(1 - n / 64) if n < 64 else math.inf
+        close[kinds[t]] += len(near[t])
+    b = min(1.0, sum(d - c for s in beside.values() for c, d in s) / max(letters, 1))
+    telling = set()
+    for (t, e), both in n_both.items():
+        common = len(n_entity[e]) / len(texts)
+        chance = (len(both) + common) / (len(n_texts[t]) + 1)
+        if common < 1 and round(chance, 9) >= least and round(1 - math.log(chance) / math.log(common), 9) >= share:
+            q = min(1.0, b * pairs[kinds[t]] / close[kinds[t]])
+            if round(1 - q * b ** (len(both) - 1), 9) >= evidence:
+                telling.add((t, e))
+    out = []
+    for own, words in held:
+        mine = set().union(*(each for _, _, each in own))
+        out.append([(c, d) for c, d, w in words if any((w.lower(), e) in telling for e in mine)
+                    and not any(a < d and c < b for a, b, _ in own)])
+    return out
+
+
+def _letters(text: str) -> list[str]:
+    return re.findall(r"[^\W\d_]+", text)

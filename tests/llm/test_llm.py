@@ -498,3 +498,41 @@ def test_personal_few_texts(spark):
     got = _spans_of(spark, rows)
     assert got[0] == "term:11:21,email:39:58" and all(got[k].startswith("term:11:21,") and got[k].count("term") == 1 for k in (1, 2))
     assert all(got[100 + k] == "" for k in range(50))
+
+
+def _planted():
+    """Texts of common and once-only words; 60 hold a value beside a planted name, ``names`` by text."""
+    rng = random.Random(5)
+    common = ["please", "write", "offer", "about", "soon", "the", "we", "a", "their", "market", "weather", "report", "table", "today"]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    once = iter(sorted({"".join(rng.choices(letters, k=9)) for _ in range(4000)}))
+    short = [a + b for a in "BKLMQ" for b in ("ao", "im", "u", "or", "in", "ex", "y", "ul", "ep", "iv", "ox", "ad")]
+    texts, names = [], {}
+    for k in range(600):
+        words = [next(once) if rng.random() < 0.05 else rng.choice(common) for _ in range(60)]
+        if k < 60:
+            value = [f"mail.{k}@host{k}.example.org", f"10.20.{k}.7", "+49 30 " + str(1000000 + k)][k % 3]
+            words[30:30] = [short[k], value]
+            names[len(texts)] = short[k]
+        texts.append(" ".join(words))
+    return texts, names
+
+
+def test_personal_planted_names(spark):
+    """Names of two or three letters beside values are found, words that the corpus has once are not; terms equal brute force."""
+    texts, names = _planted()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: sorted((s.start, s.end) for s in r.list or [] if s.kind == "term") for r in pii.scan(frame).collect()}
+    keys = {r.text: r.k for r in frame.select("text", pii.text_key(F.col("text")).alias("k")).collect()}
+    wanted = brute.term_spans(texts, place=keys.get)
+    assert all(got[k] == wanted[k] for k in range(len(texts)))
+    found = [(k, texts[k][a:b]) for k, spans in got.items() for a, b in spans]
+    right = sum(names.get(k) == word for k, word in found)
+    assert right >= 0.95 * len(names) and right >= 0.95 * len(found), (right, len(found))
+
+
+def test_personal_once_only_words_are_no_proof(spark):
+    """In the given table, whose words are random, hardly any word that stands once is a term."""
+    found = pii.scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    got = found.agg(F.sum("n_term"), F.sum(F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone"))).first()
+    assert got[1] > 0 and got[0] <= got[1] // 10, got

@@ -10,8 +10,9 @@ links reach.
 * Keys with more than ``GROUP`` fingerprints are dealt into sub-blocks, and each pair of
   sub-blocks is a task of its own, so no task holds an unbounded group and no pair is left out.
 * Comparison: fingerprints stand as 64 bit planes (one word holds one bit of 64 fingerprints);
-  carry-save counters add the differing bits of a plane to 64 distances at once, and a tile is
-  abandoned as soon as every distance in it exceeds the radius.
+  carry-save counters add the differing bits of a plane to 64 distances at once.  A tile is cut into blocks of
+  ``BLOCK``; each pair of blocks is compared once, a fingerprint's own lane and pairs already compared are
+  masked, and the pair is abandoned as soon as every distance left in it exceeds the radius.
 * A task returns the components of its tile as stars, never pairs, and alternating large and small
   stars join them over the cluster.  Nothing is collected.
 
@@ -36,6 +37,9 @@ SHINGLE = 4
 RADIUS = 4
 GROUP = 2048
 TILE = 1024
+BLOCK = 256
+#: The members of a component are dealt into so many parts where they meet its least doc_id.
+PARTS = 256
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -78,17 +82,20 @@ def planes(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
-def near(queries: np.ndarray, block: np.ndarray, n: int, radius: int = RADIUS) -> np.ndarray | None:
+def near(queries: np.ndarray, block: np.ndarray, n: int, radius: int = RADIUS, done: np.ndarray | None = None) -> np.ndarray | None:
     """Which of the ``n`` fingerprints in ``block`` (planes) are within the radius of each query.
 
     A saturating carry-save counter: ``counters[i]`` holds bit i of every distance; ``over`` has the
-    lanes that passed the radius.  None once every lane is over."""
+    lanes that passed the radius, from the start those of ``done`` (a row of lane words a query), which need no
+    comparison.  None once every lane is over."""
     width = max(1, radius.bit_length())
     counters = [np.zeros((len(queries), block.shape[1]), dtype=np.uint64) for _ in range(width)]
     over = np.zeros_like(counters[0])
     tail = n % 64
     if tail:
         over[:, -1] = ~np.uint64((1 << tail) - 1)
+    if done is not None:
+        over |= done
     everything = np.uint64(0xFFFFFFFFFFFFFFFF)
     bits = ((queries[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)) * everything
     limit = [(radius >> i) & 1 for i in range(width)]
@@ -111,19 +118,28 @@ def near(queries: np.ndarray, block: np.ndarray, n: int, radius: int = RADIUS) -
     return np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
 
 
+def _own(n: int) -> np.ndarray:
+    """Lane words of a block against itself: of each query, its own lane and the earlier ones."""
+    lanes = np.zeros((n, -(-n // 64) * 64), np.uint8)
+    lanes[:, :n] = np.tril(np.ones((n, n), np.uint8))
+    return np.packbits(lanes, axis=1, bitorder="little").view("<u8")
+
+
 def stars(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """(member, smallest member) for every component of two fingerprints or more among ``values``."""
     values = np.unique(values)
-    n, block = len(values), planes(values)
+    n = len(values)
     label = np.arange(n)
+    blocks = [values[a: a + BLOCK] for a in range(0, n, BLOCK)]
+    sliced = [planes(block) for block in blocks]
     left, right = [], []
-    for a in range(0, n, 64):
-        hit = near(values[a: a + 64], block, n, radius)
-        if hit is not None:
-            i, j = np.nonzero(hit)
-            i = i + a
-            left.append(i[i < j])
-            right.append(j[i < j])
+    for x, queries in enumerate(blocks):
+        for y in range(x, len(blocks)):
+            hit = near(queries, sliced[y], len(blocks[y]), radius, _own(len(queries)) if x == y else None)
+            if hit is not None:
+                i, j = np.nonzero(hit)
+                left.append(i + x * BLOCK)
+                right.append(j + y * BLOCK)
     if not left:
         return values[:0], values[:0]
     i, j = np.concatenate(left), np.concatenate(right)
@@ -216,8 +232,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(firsts.select("fp"), radius))
     nodes = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = written(nodes.join(least, "root").select("fp", "root", "component_id"), "components")
+    # a component may hold most fingerprints: its members meet the least doc_id in parts
+    nodes = nodes.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)))
+    least = nodes.groupBy("root", "part").agg(F.min("first").alias("first"))
+    least = least.groupBy("root").agg(F.min("first").alias("component_id"), F.collect_set("part").alias("parts"))
+    least = least.select("root", "component_id", F.explode("parts").alias("part"))
+    labels = written(nodes.join(least, ["root", "part"]).select("fp", "root", "component_id"), "components")
     return rows.join(labels, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 

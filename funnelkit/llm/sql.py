@@ -82,8 +82,10 @@ held AS MATERIALIZED (
   SELECT * FROM found WHERE CASE kind
     WHEN 'assign' THEN length(value) >= 6 WHEN 'access' THEN length(value) >= 20 WHEN 'hex' THEN length(value) >= 24
     ELSE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 10 END),
+one AS MATERIALIZED (SELECT text, min(owner) AS owner FROM d GROUP BY text),
 value AS (
-  SELECT value, count(DISTINCT owner) AS n_owners, count(DISTINCT rid) AS n_repositories FROM held JOIN d USING (rid) GROUP BY value),
+  SELECT value, count(DISTINCT one.owner) AS n_owners, count(DISTINCT one.text) AS n_repositories
+  FROM held JOIN d USING (rid) JOIN one ON one.text = d.text GROUP BY value),
 judged AS MATERIALIZED (
   SELECT h.*, n_owners <= 1 AND n_repositories <= 5 AS live FROM held h JOIN value USING (value)),
 listed AS (

@@ -92,14 +92,15 @@ def slots(hashes: np.ndarray) -> list[np.ndarray]:
 
 def learn(docs: DataFrame) -> Filters:
     """Filters from the labelled rows of ``docs`` (doc_id, text, lang) that are not held out."""
-    rows = docs.filter("text is not null and lang is not null").filter(~held_out(F.col("doc_id"))).select("text", "lang")
-    found = sorted(rows.groupBy("lang").count().collect(), key=lambda r: (-r["count"], r.lang))  # one row a language
+    rows = docs.filter("text is not null and lang is not null").filter(~held_out(F.col("doc_id"))).select(
+        "text", "lang", F.xxhash64("text").alias("key"))
+    found = sorted(rows.select("lang", "key").distinct().groupBy("lang").count().collect(), key=lambda r: (-r["count"], r.lang))  # one row a language
     languages = [r.lang for r in found]
     if not found:
         return Filters([], np.zeros(SLOTS, np.uint8), np.zeros(0))
     place = {name: k for k, name in enumerate(languages)}
     rate = F.element_at(F.create_map(*[F.lit(x) for r in found for x in (r.lang, min(1.0, SAMPLE / r["count"]))]), F.col("lang"))
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate * (1 << 20))
+    sample = rows.filter(F.pmod("key", F.lit(1 << 20)) < rate * (1 << 20)).dropDuplicates(["lang", "key"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,9 +6,10 @@ patterns over word numbers; one automaton holds all of them and each text runs t
 word inside any occurrence of a window is hit, and hit runs of words are mapped back to code point
 ranges of the original text.
 
-The benchmark is the stated query set.  Its texts go to the tasks only in parts of ``PART_BYTES`` at
-most; a larger benchmark is dealt into several automata and the texts run through each, their hits
-merged, so the result does not depend on the size.
+The benchmark is the stated query set.  Up to ``PART_BYTES // 2`` it is one automaton, built once a worker.  A larger
+one is dealt into parts of about that size: a task gathers texts of ``ROOM`` bytes, runs them through one part's automaton after the
+other and merges the hits, so the result does not depend on the size and a worker holds one automaton at a time.  The plain
+items of all parts are broadcast; a benchmark of more than ``MAX_BYTES`` is refused with an error.
 
 Null texts and items have no words.  An item whose id is null hits words but has no id to name.
 Repeated items and items that share windows each count; repeated ids are named once.  Repeated rows
@@ -21,7 +22,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 10
 PART_BYTES = 8 << 20
+MAX_BYTES = 256 << 20
+ROOM = 64 << 20
 
 _SPLIT = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -105,6 +108,8 @@ def _parts(benchmark: DataFrame) -> list[tuple[str, Broadcast]]:
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").filter("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > MAX_BYTES:
+        raise ValueError(f"the benchmark has {total} bytes of text; at most {MAX_BYTES} can be scanned for")
     count = -(-total // (PART_BYTES // 2)) or 1
     dealt = items.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(count)))
     return [(uuid.uuid4().hex, spark.sparkContext.broadcast([(r.id, r.text) for r in dealt.filter(F.col("part") == k).collect()]))
@@ -117,32 +122,55 @@ def scan_column(text: Column, benchmark: DataFrame, window: int = WINDOW) -> Col
 
     @F.arrow_udf(RESULT)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scanners = [_scanner(name, part, window) for name, part in parts]
-        for texts in batches:
-            out = []
-            for raw in texts.cast(pa.binary()).to_pylist():
-                found = words(raw or b"")
-                hits = [s.scan(found) for s in scanners]
-                runs = merged(list(chain.from_iterable(h[0] for h in hits)))
-                names = sorted(set().union(*(h[1] for h in hits)), key=str.encode)
-                out.append({"n_words": len(found), "n_hit": sum(b - a for a, b in runs), "n_items": len(names),
-                            "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest(), "items": names,
-                            "spans": code_points(raw or b"", runs)})
-            yield pa.array(out, _ARROW)
+        for group in _gathered(batches, ROOM if len(parts) > 1 else 0):
+            texts = [raw or b"" for batch in group for raw in batch]
+            runs: list[list[tuple[int, int]]] = [[] for _ in texts]
+            names: list[set[str]] = [set() for _ in texts]
+            sizes = [0] * len(texts)
+            for name, part in parts:
+                scanner = _scanner(name, part, window)
+                for k, raw in enumerate(texts):
+                    found = words(raw)
+                    sizes[k] = len(found)
+                    hits, items = scanner.scan(found)
+                    runs[k] += hits
+                    names[k] |= items
+            out = [_result(raw, size, merged(hits), items) for raw, size, hits, items in zip(texts, sizes, runs, names)]
+            for batch in group:
+                yield pa.array(out[: len(batch)], _ARROW)
+                out = out[len(batch):]
 
     return scan(text)
 
 
-_scanners: dict[str, Scanner] = {}
+def _gathered(batches: Iterator[pa.Array], room: int) -> Iterator[list[list[bytes | None]]]:
+    """Consecutive batches whose texts have about ``room`` bytes together, one batch at least."""
+    group, held = [], 0
+    for texts in batches:
+        group.append(texts.cast(pa.binary()).to_pylist())
+        held += texts.nbytes
+        if held >= room:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def _result(raw: bytes, size: int, runs: list[tuple[int, int]], items: set[str]) -> dict[str, object]:
+    names = sorted(items, key=str.encode)
+    return {"n_words": size, "n_hit": sum(b - a for a, b in runs), "n_items": len(names),
+            "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest(), "items": names, "spans": code_points(raw, runs)}
+
+
+_scanners: dict[tuple[str, int], Scanner] = {}
 
 
 def _scanner(name: str, part: Broadcast, window: int) -> Scanner:
-    """The scanner of this Python process for a part; the latest few are kept."""
-    if name not in _scanners:
-        if len(_scanners) >= 4:
-            _scanners.pop(next(iter(_scanners)))
-        _scanners[name] = Scanner(part.value, window)
-    return _scanners[name]
+    """The scanner of this Python process for a part; only the latest is kept."""
+    if (name, window) not in _scanners:
+        _scanners.clear()
+        _scanners[name, window] = Scanner(part.value, window)
+    return _scanners[name, window]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -206,6 +206,16 @@ def test_language_cases(spark, docs, nothing):
     assert langid.predict(nothing, filters).count() == 0
 
 
+def test_language_sample_of_distinct_texts(spark):
+    """Copies of a text change no filter."""
+    rows = [(k, f"{'the quick fox' if k % 2 else 'der flinke fuchs'} {'abcdefghij'[k % 10] * (k % 7 + 2)}", "en" if k % 2 else "de") for k in range(60)]
+    copies = [(1000 + k, rows[3][1], "en") for k in range(300)]
+    whole = spark.createDataFrame(rows, "doc_id long, text string, lang string").filter(~langid.held_out(F.col("doc_id")))
+    more = whole.unionByName(spark.createDataFrame(copies, whole.schema).join(whole.select("text").distinct(), "text", "left_semi"))
+    a, b = langid.learn(whole), langid.learn(more)
+    assert a.languages == b.languages and (a.table == b.table).all()
+
+
 def test_many_languages(spark):
     """More languages than one mask word holds."""
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -239,6 +249,20 @@ def test_secrets_ownership(spark, nothing):
     assert got[4].spans == "" and secretscan.scan(nothing).count() == 0
 
 
+def test_secrets_copies_count_once(spark):
+    """A live key stays live however often its text is copied or mirrored; one in texts of two owners is copied."""
+    mine, shared = "Zx81QqLm29PtRw77KdEbUv", "Ab12Cd34Ef56Gh78Ij90Kl"
+    rows = [(k, f"see {mine} here", "abc"[k % 3]) for k in range(9)] + [(20, f"one {shared}", "a"), (21, f"two {shared}", "b")]
+    got = {r.doc_id: r for r in secretscan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[k].spans == "token:4:26" and got[k].n_live == 1 for k in range(9))
+    assert got[20].spans == got[21].spans == ""
+    frame = spark.createDataFrame(rows + rows[:4], "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    wanted = con.sql(SQL["op5_secrets"])
+    assert ordered(secretscan.scan(frame).select(*wanted.columns).collect()) == ordered(wanted.fetchall())
+
+
 # 6 SimHash
 
 def test_fingerprint(sf_docs):
@@ -258,6 +282,29 @@ def test_near_is_hamming(radius):
     assert simhash.near(far, simhash.planes(np.full(70, (1 << 64) - 1, np.uint64)), 70, radius) is None
 
 
+def test_stars_abandon_blocks(monkeypatch):
+    """Blocks of far fingerprints are abandoned, own blocks too; blocks with a link are not, and no link is lost."""
+    calls = []
+    whole = simhash.near
+
+    def counted(*args):
+        calls.append(whole(*args))
+        return calls[-1]
+
+    monkeypatch.setattr(simhash, "near", counted)
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    rng = np.random.default_rng(11)
+    values = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    assert len(simhash.stars(values)[0]) == 0
+    assert len(calls) == 15 and all(hit is None for hit in calls)
+    calls.clear()
+    values = np.concatenate([values, values[:3] ^ np.uint64(5)])
+    member, root = simhash.stars(values)
+    assert {(int(a), int(b)) for a, b in zip(member, root)} == {
+        (max(int(v), int(v) ^ 5), min(int(v), int(v) ^ 5)) for v in values[:3]}
+    assert 0 < sum(hit is not None for hit in calls) <= 3
+
+
 def test_simhash_components(spark, docs, sf_docs, nothing, monkeypatch):
     rows = [(r[0], r[1]) for r in ROWS]
     assert ordered(simhash.near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id").collect()) == ordered(brute.simhash(rows))

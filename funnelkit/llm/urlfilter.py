@@ -5,9 +5,8 @@ on up to ``?``, ``#`` or the end.  A rule names a host and a path; it fits that
 the path starts with the rule's; the longest fitting rule decides.  All other urls are judged by a model of
 hashed character n-grams (``SIZES``) of host and path, trained from a small table of labelled urls.
 
-The labelled table of the query is a sample of the urls that the rules decide, ``LABELLED`` rows of each verdict in
-expectation (a url is in it if its hash falls below the rate, so the sample is bounded and does not depend on
-order or partitions).  Training and judging are Spark ML, on the JVM; the model has ``FEATURES`` weights.
+The labelled table of the query is ``url_labels.LABELLED``: 120 made-up urls under reserved names, half of them to block.  The
+rules' verdicts teach the model nothing.  Training and judging are Spark ML, on the JVM; the model has ``FEATURES`` weights.
 
 Null urls and urls without ``://`` have an empty host and path, fit no rule, and are allowed: there is nothing
 to judge.  With labels of one verdict only, that verdict is given; without any, all is allowed.  Repeated
@@ -22,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.llm.shared import written
+from funnelkit.llm.url_labels import LABELLED
 
 #: Fixed values: (rule, verdict).
 RULES = [
@@ -33,7 +33,6 @@ RULES = [
 ]
 SIZES = (3, 4, 5)
 FEATURES = 1 << 16
-LABELLED = 5000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,11 +51,11 @@ def rule_column(host: Column, path: Column, rules: list[tuple[str, str]]) -> Col
     for rule, _ in longest_first:
         name, _, rest = rule.partition("/")
         fits.append(F.when(((host == name) | host.endswith("." + name)) & path.startswith("/" + rest), F.lit(rule)))
-    return F.coalesce(*fits)
+    return F.coalesce(F.lit(None).cast("string"), *fits)
 
 
 def verdict_column(rule: Column, rules: list[tuple[str, str]]) -> Column:
-    return F.coalesce(*[F.when(rule == name, F.lit(verdict)) for name, verdict in rules])
+    return F.coalesce(F.lit(None).cast("string"), *[F.when(rule == name, F.lit(verdict)) for name, verdict in rules])
 
 
 def with_grams(parts: DataFrame) -> DataFrame:
@@ -82,14 +81,12 @@ def fit(labelled: DataFrame):
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled: DataFrame | None = None) -> DataFrame:
     """``row`` (the input row as a struct), page_id, host, path, rule, verdict, score (the model's chance
-    of block; null where a rule decides).  ``labelled``: url, label (1 block, 0 allow)."""
+    of block; null where a rule decides).  ``labelled``: url, label (1 block, 0 allow), ``LABELLED`` by default."""
     parts = written(with_parts(pages.select(F.struct("*").alias("row"), "page_id", "url")), "urls")  # urls are parsed once
     lean = parts.withColumn("rule", rule_column(F.col("host"), F.col("path"), rules))
     if labelled is None:
-        table = written(_from_rules(lean, rules), "labelled")
-    else:
-        table = with_parts(labelled.select("url", "label"))
-    model = fit(table.select("host", "path", "label"))
+        labelled = pages.sparkSession.createDataFrame(LABELLED, "url string, label int")
+    model = fit(with_parts(labelled.select("url", "label")).select("host", "path", "label"))
     ruled = verdict_column(F.col("rule"), rules)
     if model is None or isinstance(model, int):
         out = lean.withColumn("chance", F.lit(float(model or 0)))
@@ -102,13 +99,3 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled: Data
     chance = F.when(F.col("rule").isNull() & ~empty, F.round("chance", 9))
     return out.select("row", "page_id", "host", "path", "rule", chance.alias("score")).withColumn(
         "verdict", F.coalesce(ruled, F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))))
-
-
-def _from_rules(ruled: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """Distinct urls that a rule decides, about LABELLED of each verdict, with their label."""
-    decided = ruled.select("url", "host", "path", (verdict_column(F.col("rule"), rules) == "block").cast("int").alias("label")).filter("label is not null")
-    counts = {r.label: r["count"] for r in decided.groupBy("label").count().collect()}  # two rows at most
-    if not counts:
-        return decided.drop("url")
-    rate = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, LABELLED / n))) for k, n in counts.items()])
-    return decided.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < rate * (1 << 20)).distinct().drop("url")

@@ -22,8 +22,8 @@ Every occurrence of a disclosing term in a document with its entity becomes a sp
 base spans stay.  ``sanitised`` replaces base spans by their kind in brackets (generalised) and drops terms.
 
 All of it is DataFrame expressions.  Only documents that may have base spans make rows of words; the vocabulary of the
-whole corpus is one partial aggregation over each text's distinct words, which bounds and classes the terms' frequencies; exact
-ones are counted for the terms that the bound leaves open.  Words and
+whole corpus is one partial aggregation over each text's distinct words, which bounds and classes the terms' frequencies; the texts
+with base spans bound them too; exact ones are counted for the terms that both bounds leave open.  Words and
 entities meet through a join on (document, position bin), linear in a document's length.
 
 Null texts are empty.  Rows with equal doc_id and equal text are one document with one result, given for
@@ -111,11 +111,16 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return _terms(texts).groupBy("term").agg(places.alias("places"), F.bool_and("capital").alias("capital"))
 
 
-def term_frequency(texts: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
-    """term, places, capital, n_texts (distinct texts) of the terms of ``pairs`` (term, n_both) that may have
-    ``MIN_CHANCE`` by their places in the vocabulary ``known``; only those send a row a text."""
+def term_frequency(texts: DataFrame, held: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """term, places, capital, n_texts (distinct texts) of the terms of ``pairs`` (term, n_both) that may have ``MIN_CHANCE``.
+
+    Two bounds from below leave terms open: their places in the vocabulary ``known``, and their distinct texts among ``held`` (the
+    texts with base spans, some of ``texts``).  Places end at ``PLACES``; the second grows with the corpus, so words that
+    many texts have, beside values or not, are settled by it.  Only open terms send a row a text of the whole corpus."""
     most = pairs.groupBy("term").agg(F.max("n_both").alias("most"))
+    least = _terms(held).groupBy("term").agg(F.countDistinct("text_key").alias("n_held"))
     open_ = known.join(most, "term").filter(MIN_CHANCE * (F.col("places") + SMOOTH) <= F.col("most") + SMOOTH)
+    open_ = open_.join(least, "term").filter(MIN_CHANCE * (F.col("n_held") + SMOOTH) <= F.col("most") + SMOOTH)
     open_ = written(open_.select("term", "places", "capital"), "open")
     counts = _terms(texts).join(open_.select("term"), "term").groupBy("term").agg(F.countDistinct("text_key").alias("n_texts"))
     return counts.join(open_, "term")
@@ -155,7 +160,8 @@ def disclosures(spans: DataFrame, words: DataFrame, texts: DataFrame) -> DataFra
     total = texts.select("text_key", F.coalesce(letters, F.lit(0)).alias("letters")).groupBy("text_key").agg(F.max("letters").alias("letters"))
     total = written(total.agg(F.count("*").alias("n_all"), F.sum("letters").alias("n_letters")), "total")  # one row
     classes = by_chance(known, near.select("term", "text_key", "c", "d").distinct(), total)
-    found = pairs.join(term_frequency(texts, known, pairs), "term").join(entities, "entity").join(F.broadcast(classes), ["places", "capital"])
+    held = texts.filter(F.col("text").rlike(LIKELY))
+    found = pairs.join(term_frequency(texts, held, known, pairs), "term").join(entities, "entity").join(F.broadcast(classes), ["places", "capital"])
     common = F.col("n_entity") / F.col("n_all")
     chance = (F.col("n_both") + SMOOTH * common) / (F.col("n_texts") + SMOOTH)
     share = F.when(common < 1, 1 - F.log(chance) / F.log(common))

@@ -572,6 +572,26 @@ def test_personal_few_texts(spark):
     assert all(got[100 + k] == "" for k in range(50))
 
 
+def test_personal_frequent_words_send_no_rows(spark):
+    """A word in all places that many texts with values have is settled before the corpus is counted; spans equal brute force."""
+    tail = "Please see the weather report and the table for today"
+    texts = [f"Please ask {'Quentorius ' if k < 80 else ''}about offer via "
+             f"{f'box{k}@rare.example' if k < 80 else f'10.{k // 250}.{k % 250}.{k % 7}'} soon. {tail}" for k in range(300)]
+    texts += [f"Please ask about offer number {'abcdefghij'[k % 10] * (k // 10 + 1)} soon. {tail}" for k in range(100)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = frame.select("doc_id", pii.text_key(F.col("text")).alias("text_key"), "text")
+    held, known = keyed.filter(F.col("text").rlike(pii.LIKELY)), pii.vocabulary(keyed)
+    assert held.count() == 300 and known.filter(f"term = 'please' and places = {pii.PLACES}").count() == 1
+    pairs = spark.createDataFrame([("please", 80), ("quentorius", 80)], "term string, n_both long")
+    open_ = pii.term_frequency(keyed.unionByName(keyed), held, known, pairs).collect()
+    assert [(r.term, r.n_texts) for r in open_] == [("quentorius", 80)]
+    got = {r.doc_id: sorted((s.start, s.end) for s in r.list or [] if s.kind == "term") for r in pii.scan(frame).collect()}
+    keys = {r.text: r.text_key for r in keyed.collect()}
+    wanted = brute.term_spans(texts, place=keys.get)
+    assert all(got[k] == wanted[k] for k in range(len(texts))) and all((11, 21) in got[k] for k in range(80))
+    assert not any(got[k] for k in range(300, 400))
+
+
 def _planted():
     """Texts of common and once-only words; 60 hold a value beside a planted name, ``names`` by text."""
     rng = random.Random(5)

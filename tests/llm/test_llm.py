@@ -263,6 +263,29 @@ def test_secrets_every_copy_counts(spark):
     assert ordered(secretscan.scan(frame).select(*wanted.columns).collect()) == ordered(wanted.fetchall())
 
 
+def test_secrets_no_owner_or_row_left_out(spark):
+    """Counts of owners and rows on a planted table with copies, mirrors, repeated rows and nulls, by brute force and by SQL."""
+    chance = random.Random(5)
+    keys = [f"{chance.getrandbits(120):030x}Qz" for _ in range(60)]
+    texts = [f"text {n} {' '.join(chance.sample(keys, chance.choice((1, 1, 2))))}" for n in range(70)] + [f"token={keys[0]}", None, ""]
+    rows = [(chance.choice((n, n, None)), chance.choice(texts), chance.choice(("a", "a", "a", "b", "", None))) for n in range(170)]
+    # two texts with a common least owner, of five owners in all; one row six times
+    wide, often = "Zx81QqLm29PtRw77KdEbUv", "Ab12Cd34Ef56Gh78Ij90Kl"
+    rows += [(200 + n, f"one {wide}", o) for n, o in enumerate("abc")] + [(210 + n, f"two {wide}", o) for n, o in enumerate("ade")]
+    rows += [(220, f"key {often}", "a")] * 6
+    held = {key: [o or "" for _, t, o in rows if t and key in t] for key in (*keys, wide, often)}
+    live = {key for key, of in held.items() if len(set(of)) == 1 and len(of) <= 5}
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secretscan.scan(frame)
+    assert len(live) > 5 and len(held) - len(live) > 5
+    assert ordered(got.select("doc_id", "n_live").collect()) == ordered((i, sum(key in (t or "") for key in live)) for i, t, _ in rows)
+    assert not got.filter("doc_id >= 200 and (spans <> '' or n_live > 0)").count()
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas().astype({"doc_id": "Int64"}))
+    wanted = con.sql(SQL["op5_secrets"])
+    assert ordered(got.select(*wanted.columns).collect()) == ordered(wanted.fetchall())
+
+
 # 6 SimHash
 
 def test_fingerprint(sf_docs):
